@@ -12,6 +12,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 WS = r"(?U)\s+"
 
@@ -41,12 +42,12 @@ def filled_or_null(c: Column) -> Column:
     return F.when(filled(c), strip_ws(c))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _nfc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: unicodedata.normalize("NFC", x), na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _nfc_fold(s: pd.Series) -> pd.Series:
     return s.map(lambda x: unicodedata.normalize("NFC", unicodedata.normalize("NFC", x).casefold()), na_action="ignore")
 
