@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from ..functions.smiles import skeleton
 from ..functions.text import connectivity, filled, layer_key, strip_ws
 
+#: Structure texts drawn by one task.
+DRAWN_ROWS = 20_000
+
 
 def layer_of_molregno(bioactivity: DataFrame) -> DataFrame:
     """``molregno`` and its ``layer``: the smallest filled connectivity of its activity rows."""
@@ -32,6 +35,8 @@ def edges(rows: DataFrame, rings: bool) -> DataFrame:
     if rings:
         # Rows with one text are related by the text already, so only a text's first row needs its skeleton.
         first = rows.filter(F.col("smiles").isNotNull()).groupBy("smiles").agg(F.min("molregno").alias("node"))
+        # Drawing is Python work on few bytes: spread it by rows, which size-based coalescing would not.
+        first = first.repartition(max(2 * rows.sparkSession.sparkContext.defaultParallelism, rows.count() // DRAWN_ROWS))
         drawn = first.select("node", F.concat(F.lit("R:"), skeleton(F.col("smiles"))).alias("entity"))
     lines = rows.select(F.col("molregno").alias("node"), F.explode(F.array(*entities)).alias("entity"))
     return lines.unionByName(drawn) if rings else lines

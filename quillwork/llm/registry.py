@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ..plans.registry import gather
 
-MODULES = ("q_compounds", "q_activities", "q_vectors", "q_leakage")
+MODULES = ("q_compounds", "q_activities", "q_vectors", "q_leakage", "q_documents")
 
 
 def llm() -> tuple[dict, dict]:
