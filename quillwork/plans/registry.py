@@ -1,10 +1,47 @@
-"""All queries of the core, gathered from the plan modules."""
+"""Named queries: how plan modules declare them and how they are gathered."""
 
 from __future__ import annotations
 
+import functools
 import importlib
+from collections.abc import Callable
 
-MODULES = ("compaction",)
+from pyspark.sql import DataFrame, SparkSession
+
+from ..session import table
+
+MODULES = ("compaction", "filters", "joins", "aggregates", "ranking", "statistics", "strings", "ingest")
+
+
+class Tables:
+    """The tables of a data directory, by name: ``t.orders``."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.dir = spark, sf_dir
+
+    def __getattr__(self, name: str) -> DataFrame:
+        return table(self.spark, self.dir, name)
+
+
+class Plan:
+    """Collects a module's queries and their SQL."""
+
+    def __init__(self):
+        self.queries: dict[str, Callable] = {}
+        self.sql: dict[str, str] = {}
+
+    def add(self, name: str, sql: str | None = None):
+        def wrap(fn):
+            @functools.wraps(fn)
+            def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+                return fn(Tables(spark, sf_dir))
+
+            self.queries[name] = run
+            if sql is not None:
+                self.sql[name] = sql
+            return fn
+
+        return wrap
 
 
 def gather(package: str, modules: tuple[str, ...]) -> tuple[dict, dict]:
