@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
 
-MODULES = ("compaction", "filters", "joins", "aggregates", "ranking", "statistics", "strings", "ingest")
+MODULES = ("compaction", "filters", "joins", "aggregates", "ranking", "statistics", "strings", "ingest", "similarity", "quality", "learning", "incremental")
 
 
 class Tables:
