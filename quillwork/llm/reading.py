@@ -27,15 +27,15 @@ LONG_LETTERS = 9
 LONG_SENTENCE, LONG_SHARE = 22.0, 0.25
 #: Lower bounds of grades 1 to 4 on the smaller of the two reaches.
 GRADES = (0.5, 0.75, 1.0, 1.25)
-FEATURES = ("words_per_sentence", "long_share", "letters_per_word", "commas_per_sentence", "clauses_per_sentence", "distinct_root")
+FEATURES = ("words_per_sentence", "long_share", "letters_per_word", "commas_per_sentence", "clause_kinds", "distinct_root")
 #: Words that open a subordinate clause.
 CLAUSE_WORDS = ("although", "as", "because", "before", "but", "if", "since", "so", "that", "unless", "until", "when", "where", "whereas", "which", "while", "who")
-_SPACES = "\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\u0085"
+_SPACES = r"[\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
 
 def prose(text: Column) -> Column:
     """The text without lines that start with ``#``, ``-``, ``*``, ``|`` or ``>``; all white space is ASCII."""
-    return F.translate(F.regexp_replace(text, r"(?m)^[#\-*|>].*$", ""), _SPACES, " " * len(_SPACES))
+    return F.regexp_replace(F.regexp_replace(text, r"(?m)^[#\-*|>].*$", ""), _SPACES, " ")
 
 
 def language(lang: Column) -> Column:
@@ -51,18 +51,21 @@ def features(documents: DataFrame, key: str = "doc_id") -> DataFrame:
     sentence ends at ``.``, ``!`` or ``?`` before white space and a capital letter, or at the
     end. Without words all FEATURES are NULL; NULL text has no words.
     """
-    p = F.col("prose")
+    p, letters, words = F.col("prose"), F.col("letters"), F.col("words")
     d = documents.select(F.col(key), language(F.col("lang")).alias("language"), F.coalesce(prose(F.col("text")), F.lit("")).alias("prose"))
+    # Letters and white space are all that words are counted and measured by; each pass over the text is made once.
+    d = d.select(key, "language", "prose", F.lower(F.regexp_replace(p, r"[^\p{L}\s]++", "")).alias("letters"))
+    d = d.select(key, "language", "prose", "letters", F.array_remove(F.split(letters, r"\s+"), "").alias("words"))
     d = d.select(
         key,
         "language",
-        F.regexp_count(p, F.lit(r"[^\s\p{L}]*+\p{L}\S*+")).alias("n_words"),
-        F.regexp_count(p, F.lit(r"(?<!\S)(?:[^\s\p{L}]*+\p{L}){%d}\S*+" % LONG_LETTERS)).alias("n_long"),
+        F.size(words).alias("n_words"),
+        F.regexp_count(letters, F.lit(r"\S{%d}\S*+" % LONG_LETTERS)).alias("n_long"),
         (F.regexp_count(p, F.lit(r"[.!?](?=\s++\p{Lu})")) + 1).alias("n_sentences"),
-        F.length(F.regexp_replace(p, r"[^\p{L}]++", "")).alias("n_letters"),
-        (F.length(p) - F.length(F.translate(p, ",;", ""))).alias("n_commas"),
-        F.regexp_count(F.lower(p), F.lit(r"(?<!\S)(?:" + "|".join(CLAUSE_WORDS) + r")(?!\S)")).alias("n_clauses"),
-        F.size(F.array_distinct(F.split(F.lower(p), r"\s+"))).alias("n_distinct"),
+        F.length(F.array_join(words, "")).alias("n_letters"),
+        (F.length(p) - F.length(F.replace(p, F.lit(","), F.lit("")))).alias("n_commas"),
+        F.size(F.array_intersect(words, F.array(*(F.lit(w) for w in CLAUSE_WORDS)))).alias("n_kinds"),
+        F.size(F.array_distinct(words)).alias("n_distinct"),
     )
     w, s = F.nullif(F.col("n_words"), F.lit(0)), F.col("n_sentences")
     some = F.col("n_words") > 0
@@ -76,7 +79,7 @@ def features(documents: DataFrame, key: str = "doc_id") -> DataFrame:
         (F.col("n_long") / w).alias("long_share"),
         (F.col("n_letters") / w).alias("letters_per_word"),
         F.when(some, F.col("n_commas") / s).alias("commas_per_sentence"),
-        F.when(some, F.col("n_clauses") / s).alias("clauses_per_sentence"),
+        F.when(some, F.col("n_kinds").cast("double")).alias("clause_kinds"),
         (F.col("n_distinct") / F.sqrt(w)).alias("distinct_root"),
     )
 
@@ -119,17 +122,13 @@ def fit_ranker(z: np.ndarray, grade: np.ndarray, rounds: int = 300, ridge: float
 
 def isotonic(score: np.ndarray, grade: np.ndarray) -> tuple[list[float], list[float]]:
     """Ascending edges and the level from each edge on: the monotone step function nearest to the grades."""
-    order = np.lexsort((grade, score))
+    at, where = np.unique(score, return_inverse=True)
     blocks: list[list[float]] = []  # [sum, n, first score]
-    for s, g in zip(score[order], grade[order]):
-        if blocks and blocks[-1][3] == s:
-            blocks[-1][0] += g
-            blocks[-1][1] += 1
-        else:
-            blocks.append([float(g), 1, float(s), float(s)])
+    for s, total, n in zip(at, np.bincount(where, grade), np.bincount(where)):
+        blocks.append([float(total), float(n), float(s)])
         while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1]:
             a = blocks.pop()
-            blocks[-1] = [blocks[-1][0] + a[0], blocks[-1][1] + a[1], blocks[-1][2], a[3]]
+            blocks[-1] = [blocks[-1][0] + a[0], blocks[-1][1] + a[1], blocks[-1][2]]
     return [b[2] for b in blocks], [b[0] / b[1] for b in blocks]
 
 
@@ -141,8 +140,13 @@ def levels(documents: DataFrame, key: str = "doc_id") -> DataFrame:
     graded the level is NULL. An empty table gives no lines; other columns are ignored.
     """
     table = materialize(features(documents, key), "features")
-    spread = {r["language"]: r for r in table.filter("n_words > 0").groupBy("language").agg(*(F.avg(f).alias(f"m_{f}") for f in FEATURES), *(F.stddev_pop(f).alias(f"s_{f}") for f in FEATURES)).collect()}  # at most four lines
-    sample = table.filter((F.col("language") == "en") & (F.col("n_words") >= MIN_WORDS)).select(*FEATURES, F.xxhash64(key).alias("h"), key).orderBy("h", key).limit(SAMPLE).collect()
+    graded = (F.col("language") == "en") & (F.col("n_words") >= MIN_WORDS)
+    spread = {r["language"]: r for r in table.filter("n_words > 0").groupBy("language").agg(F.sum(F.when(graded, 1).otherwise(0)).alias("n_graded"), *(F.avg(f).alias(f"m_{f}") for f in FEATURES), *(F.stddev_pop(f).alias(f"s_{f}") for f in FEATURES)).collect()}  # at most four lines
+    # Of all gradable documents the expected few that can be among the SAMPLE smallest hashes reach the sort.
+    n_graded = spread["en"]["n_graded"] if "en" in spread else 0
+    cut = -(2**63) + int(2**64 * min(1.0, (SAMPLE + 8 * SAMPLE**0.5) / max(1, n_graded))) - 1
+    hashed = table.filter(graded).select(*FEATURES, F.xxhash64(key).alias("h"), key)
+    sample = hashed.filter(F.col("h") <= cut).orderBy("h", key).limit(SAMPLE).collect()
     if not sample:
         return table.withColumn("score", F.lit(None).cast("double")).withColumn("level", F.lit(None).cast("double"))
     x = np.array([[r[f] for f in FEATURES] for r in sample], float)
