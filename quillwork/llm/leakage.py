@@ -72,7 +72,9 @@ def words(text: str | None) -> list[str]:
 
 def gram_hashes(ids: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each N consecutive word numbers; equal hashes of different n-grams only cost an alignment."""
-    h = np.zeros(max(0, len(ids) - N + 1), np.uint64)
+    if len(ids) < N:
+        return np.zeros(0, np.uint64)
+    h = np.zeros(len(ids) - N + 1, np.uint64)
     for i in range(N):
         h = (h ^ ids[i : len(ids) - N + 1 + i].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(29)
