@@ -25,9 +25,11 @@ def components(edges: DataFrame) -> DataFrame:
     sends its label back has one line for it on the small side, and AQE splits the other.
     Rounds end when the sum of labels, which can only fall, stays the same.
     """
-    edges = edges.select(F.col("node").cast("bigint").alias("node"), "entity").filter("node IS NOT NULL AND entity IS NOT NULL")
+    given = materialize(edges.select(F.col("node").cast("bigint").alias("node"), "entity").filter("node IS NOT NULL AND entity IS NOT NULL"), "given-edges")
+    edges = given
     shared = edges.groupBy("entity").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi").select("entity", F.col("lo").alias("m"))
     first = materialize(edges.join(shared, "entity"), "edges")
+    forget(given)
     edges = first.select("node", "entity")
     labels = materialize(first.groupBy("node").agg(F.min("m").alias("label")), "labels")
     total = _sum(labels)
