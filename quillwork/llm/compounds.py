@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.smiles import skeleton
 from ..functions.text import connectivity, filled, layer_key, strip_ws
+from ..session import materialize
 
 #: Structure texts drawn by one task.
 DRAWN_ROWS = 20_000
@@ -37,6 +38,7 @@ def edges(rows: DataFrame, rings: bool) -> DataFrame:
         first = rows.filter(F.col("smiles").isNotNull()).groupBy("smiles").agg(F.min("molregno").alias("node"))
         # Drawing is Python work on few bytes: spread it by rows, which size-based coalescing would not.
         first = first.repartition(max(2 * rows.sparkSession.sparkContext.defaultParallelism, rows.count() // DRAWN_ROWS))
-        drawn = first.select("node", F.concat(F.lit("R:"), skeleton(F.col("smiles"))).alias("entity"))
+        # Written once: a filter on the key would otherwise draw all rows again, below the grouping.
+        drawn = materialize(first.select("node", F.concat(F.lit("R:"), skeleton(F.col("smiles"))).alias("entity")), "drawn")
     lines = rows.select(F.col("molregno").alias("node"), F.explode(F.array(*entities)).alias("entity"))
     return lines.unionByName(drawn) if rings else lines
