@@ -16,6 +16,7 @@ keys, so a third of all rows being copies of one vector neither fills a heap nor
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,8 +28,8 @@ from pyspark.sql import types as T
 
 from ..session import materialize
 
-#: Rows of a packed block; a block of 64 dimensions takes 16 KB, an Arrow batch of blocks stays small.
-BLOCK = 64
+#: Rows of a packed block; with 64 dimensions it takes 4 KB, so an Arrow batch of 10,000 blocks takes 40 MB.
+BLOCK = 16
 #: Query rows that one task holds, at most; a larger table gets more tasks.
 GROUP_ROWS = 16_384
 MIN_GROUPS = 12
@@ -37,17 +38,26 @@ TILE_Q, TILE_D = 1_024, 4_096
 
 
 def usable(vectors: DataFrame, key: str, vec: str, dim: int) -> DataFrame:
-    """``key``, ``unit`` (array<double> of length one): vectors that are not NULL, of another length, all zero, or with NULL, NaN or infinite members.
+    """``key``, ``unit`` (length one, rounded to six decimals) and ``h``, a hash of the direction, for each usable vector.
 
-    Lines with a NULL key are left out; of repeated keys one line is kept, that with the greatest vector.
+    Not usable are vectors that are NULL, of another length, all zero, or with NULL, NaN or
+    infinite members. Lines with a NULL key are left out; of repeated keys one line is kept,
+    that with the greatest vector.
     """
-    v = F.col(vec).cast("array<double>")
-    top = F.aggregate(v, F.lit(0.0), lambda a, x: F.greatest(a, F.abs(x)))
-    fine = F.col(key).isNotNull() & (F.size(v) == dim) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    rows = vectors.filter(fine).select(F.col(key).alias("key"), v.alias("v"), top.alias("top")).filter("top > 0")
-    scaled = F.transform("v", lambda x: x / F.col("top"))
-    rows = rows.select("key", scaled.alias("v")).withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)))
-    return rows.select("key", F.transform("v", lambda x: x / F.col("norm")).alias("unit")).groupBy("key").agg(F.max("unit").alias("unit"))
+    rows = vectors.filter(F.col(key).isNotNull() & (F.size(vec) == dim)).select(F.col(key).alias("key"), F.col(vec).cast("array<double>").alias("unit"))
+    schema = T.StructType([rows.schema["key"], T.StructField("unit", T.ArrayType(T.FloatType())), T.StructField("h", T.StringType())])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            x = np.vstack(pdf["unit"].to_list()).astype(float) if len(pdf) else np.zeros((0, dim))
+            top = np.abs(x).max(1, initial=0.0)
+            fine = np.isfinite(x).all(1) & (top > 0)
+            x = x[fine] / top[fine, None]
+            x = np.round(x / np.linalg.norm(x, axis=1, keepdims=True), 6).astype("<f4") + np.float32(0)
+            yield pd.DataFrame({"key": pdf["key"][fine].to_list(), "unit": list(x), "h": [hashlib.sha256(r.tobytes()).hexdigest()[:32] for r in x]})
+
+    made = rows.mapInPandas(run, schema)
+    return made.groupBy("key").agg(F.max(F.struct("unit", "h")).alias("m")).select("key", "m.unit", "m.h")
 
 
 def _pack(dim: int):
@@ -176,9 +186,8 @@ def neighbours(vectors: DataFrame, key: str, vec: str, dim: int, k: int = 5) ->
     neighbours at similarity 1.
     """
     spark = vectors.sparkSession
-    unit = usable(vectors, key, vec, dim).withColumn("unit", F.transform("unit", lambda x: F.round(x, 6) + F.lit(0.0)))
-    # The k + 1 smallest keys of a direction, kept small map-side; the id is that of the smallest key.
-    unit = materialize(unit.withColumn("h", F.sha2(F.concat_ws(",", F.transform("unit", lambda x: x.cast("string"))), 256)), "unit")
+    unit = materialize(usable(vectors, key, vec, dim), "unit")
+    # Of a direction the k + 1 smallest keys are kept; the smallest stands for it.
     kept = _smallest(unit.select("h", "key"), k + 1)
     heads = unit.join(kept.filter("pos = 0").select("key"), "key", "left_semi").withColumn("id", F.monotonically_increasing_id())
     heads = materialize(heads.select("id", "h", "unit"), "points")
