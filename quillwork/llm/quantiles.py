@@ -101,7 +101,7 @@ def summarise(values: DataFrame, keys: list[str], k: int = K) -> DataFrame:
 
 def merge(summary: DataFrame, keys: list[str], k: int = K) -> DataFrame:
     """Summaries combined to one for each of ``keys`` (a subset of theirs)."""
-    return _by_key(summary, keys, _schema(summary, keys), lambda pdf: _reduce(pdf, keys, k))
+    return _by_key(summary, keys, _schema(summary, keys), lambda pdf: _reduce(pdf, keys, k), FAN_IN * k)
 
 
 def percentiles(summary: DataFrame, keys: list[str], probs: list[float]) -> DataFrame:
@@ -137,8 +137,12 @@ def name_of(p: float) -> str:
     return "p" + f"{p * 100:g}".replace(".", "_")
 
 
-def _by_key(df: DataFrame, keys: list[str], schema: T.StructType, reduce) -> DataFrame:
-    """Bring each key together and hand whole keys to ``reduce``, many at a time."""
+def _by_key(df: DataFrame, keys: list[str], schema: T.StructType, reduce, most: int | None = None) -> DataFrame:
+    """Bring each key together and hand whole keys to ``reduce``, many at a time.
+
+    With ``most``, lines of one key beyond that many are reduced on the way, so that a key of
+    any number of summaries fits.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
@@ -152,6 +156,8 @@ def _by_key(df: DataFrame, keys: list[str], schema: T.StructType, reduce) -> Dat
             if cut:
                 yield reduce(pdf.iloc[:cut].reset_index(drop=True))
             held = pdf.iloc[cut:].reset_index(drop=True)
+            if most is not None and len(held) > most:
+                held = reduce(held)
         if held is not None and len(held):
             yield reduce(held)
 
