@@ -14,21 +14,23 @@ CONFIDENCE = (8, 9)
 
 
 def usable() -> Column:
-    """Exact relation, a value in nM of a known type, not a duplicate, no validity remark. NULL flags do not pass."""
-    return F.coalesce(
-        (F.col("standard_relation") == "=") & F.col("standard_value").isNotNull() & (F.col("standard_units") == "nM") & F.col("standard_type").isin(*TYPES) & (F.col("potential_duplicate") == 0) & (F.col("data_validity_comment").isNull() | (F.col("data_validity_comment") == "")),
-        F.lit(False),
-    )
+    """Exact relation, a value in nM of a known type, not a duplicate, no validity remark.
+
+    A plain conjunction, so that a filter on it reaches the scan; NULL where a flag is NULL,
+    which filters and counts take as no.
+    """
+    remark = F.col("data_validity_comment").isNull() | (F.col("data_validity_comment") == "")
+    return (F.col("standard_relation") == "=") & F.col("standard_value").isNotNull() & (F.col("standard_units") == "nM") & F.col("standard_type").isin(*TYPES) & (F.col("potential_duplicate") == 0) & remark
 
 
 def strict() -> Column:
-    """Usable, of a trusted assay class and confidence, with a target."""
-    return usable() & F.coalesce(F.col("assay_type").isin(*ASSAYS) & F.col("confidence_score").isin(*CONFIDENCE) & F.col("tid").isNotNull(), F.lit(False))
+    """Usable, of a trusted assay class and confidence, with a target. NULL counts as no."""
+    return usable() & F.col("assay_type").isin(*ASSAYS) & F.col("confidence_score").isin(*CONFIDENCE) & F.col("tid").isNotNull()
 
 
 def pool() -> Column:
-    """Rows whose measure may label a key: as ``usable`` with a NULL remark only, and a measure."""
-    return F.coalesce((F.col("standard_relation") == "=") & (F.col("potential_duplicate") == 0) & F.col("data_validity_comment").isNull() & F.col("pchembl_value").isNotNull() & ~F.isnan("pchembl_value"), F.lit(False))
+    """Rows whose measure may label a key: as ``usable`` with a NULL remark only, and a measure. NULL counts as no."""
+    return (F.col("standard_relation") == "=") & (F.col("potential_duplicate") == 0) & F.col("data_validity_comment").isNull() & F.col("pchembl_value").isNotNull() & ~F.isnan("pchembl_value")
 
 
 def imputed(measure: Column, value: Column) -> Column:

@@ -95,7 +95,7 @@ def fil_05(t):
 
 @q("fil_06_ablation", f"SELECT count(DISTINCT CASE WHEN {STRICT} THEN molregno END) AS n_strict, count(DISTINCT CASE WHEN {USABLE} AND assay_type IN ('B','F') AND tid IS NOT NULL THEN molregno END) AS n_any_confidence, count(DISTINCT CASE WHEN {USABLE} THEN molregno END) AS n_usable FROM activities")
 def fil_06(t):
-    loose = labels.usable() & F.coalesce(F.col("assay_type").isin("B", "F") & F.col("tid").isNotNull(), F.lit(False))
+    loose = labels.usable() & F.col("assay_type").isin("B", "F") & F.col("tid").isNotNull()
     one = lambda c: F.countDistinct(F.when(c, F.col("molregno")))
     return t.activities.agg(one(labels.strict()).alias("n_strict"), one(loose).alias("n_any_confidence"), one(labels.usable()).alias("n_usable"))
 

@@ -165,4 +165,44 @@ def snk_02(t):
     return tables.migrate_append(t.region, t.region.withColumn("n_nations", F.lit(5)))
 
 
+@q("src_03_sqlite_read_only", "SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def src_03(t):
+    import os
+    import sqlite3
+
+    path = reserve(t.spark, "sqlite").removeprefix("file://")
+    os.makedirs(os.path.dirname(path), exist_ok=True)
+    con = sqlite3.connect(path)
+    con.execute("CREATE TABLE nation (n_nationkey INTEGER PRIMARY KEY, n_name TEXT, n_regionkey INTEGER)")
+    con.executemany("INSERT INTO nation VALUES (?, ?, ?)", [tuple(r) for r in t.nation.limit(1000).collect()])  # 25 nations
+    con.commit()
+    con.close()
+    schema = T.StructType([T.StructField("n_nationkey", T.IntegerType()), T.StructField("n_name", T.StringType()), T.StructField("n_regionkey", T.IntegerType())])
+    return tables.read_sqlite(t.spark, path, "SELECT n_nationkey, n_name, n_regionkey FROM nation", schema, "n_nationkey", 3)
+
+
+@q("src_08_fetch_retry", "SELECT * FROM (VALUES ('a', 200, 1), ('b', 200, 3), ('c', 404, 1), ('d', 503, 5), ('e', 0, 0)) v(url, status, attempts)")
+def src_08(t):
+    import io
+    import urllib.error
+
+    script = {"a": [200], "b": [429, 503, 200], "c": [404], "d": [503] * 9}
+    tried = dict.fromkeys("abcde", 0)
+
+    class Answer(io.BytesIO):
+        status = 200
+
+    def opener(req, timeout):
+        u = req.full_url[-1]
+        tried[u] += 1
+        code = script[u][tried[u] - 1]
+        if code != 200:
+            raise urllib.error.HTTPError(req.full_url, code, "", {}, None)
+        return Answer(b"x")
+
+    rules = web.robots("User-agent: *\nDisallow: /e", "http://x.example")
+    got = [(u, web.fetch(f"http://x.example/{u}", rules, opener=opener, sleep=lambda s: None)[0]) for u in "abcde"]
+    return t.spark.createDataFrame([(u, s, tried[u]) for u, s in got], "url string, status int, attempts int")
+
+
 QUERIES, SQL = plan.queries, plan.sql

@@ -46,4 +46,28 @@ def ml_10(t):
     return c.select("inchikey_connectivity", (F.col("heavy_atom_count") < 6).alias("too_small"), (F.col("heavy_atom_count") > 70).alias("too_large"), F.col("smiles_flat").contains(".").alias("is_mixture"))
 
 
+@q("ml_05_frozen_before_scoring", "SELECT true AS frozen, true AS disjoint")
+def ml_05(t):
+    from ..operators.identity import content_hash
+    from ..operators.joins import overlap_counts
+    from ..operators.quality import one_row
+
+    train, test = t.embeddings.filter("vec_id % 5 <> 0"), t.embeddings.filter("vec_id % 5 = 0")
+    line = F.concat_ws(":", F.col("vec_id").cast("string"), F.col("label").cast("string"))
+    frozen = content_hash(train, line).first()["content_hash"]
+    disjoint = overlap_counts(train, test, "vec_id").first()["n_both"] == 0
+    return one_row(t.spark, {"frozen": ("boolean", frozen == content_hash(train.repartition(3), line).first()["content_hash"]), "disjoint": ("boolean", disjoint)})
+
+
+@q("ml_06_score_all_rows")
+def ml_06(t):
+    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+
+    rows = VectorAssembler(inputCols=[f"x{i}" for i in range(8)], outputCol="_x").transform(_rows(t))
+    model = RandomForestClassifier(featuresCol="_x", labelCol="y", numTrees=10, maxDepth=4, seed=42).fit(rows.filter("vec_id % 5 <> 0"))
+    return model.transform(rows).select("vec_id", "y", vector_to_array("probability")[1].alias("probability"))
+
+
 QUERIES, SQL = plan.queries, plan.sql

@@ -96,4 +96,22 @@ def cas_05(t):
     return x.groupBy(F.when(F.col("y").isNull(), "unlabelled").when(F.col("p") & F.col("y"), "TP").when(F.col("p"), "FP").when(F.col("y"), "FN").otherwise("TN").alias("status")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@q("cas_01_match_typing", "SELECT CASE WHEN status >= 500 THEN 'fetch_error' WHEN status = 404 OR len(coalesce(cids, [])) = 0 THEN 'no_match' WHEN len(cids) = 1 THEN 'exact_match' ELSE 'multiple_matches' END AS match_type, count(*) AS n FROM names GROUP BY 1")
+def cas_01(t):
+    return t.names.groupBy(tables.match_type(F.col("status"), F.col("cids")).alias("match_type")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@q("cas_10_ledger_states", "SELECT file_path, CASE WHEN bool_or(status >= 500) THEN 'failed' WHEN bool_or(len(coalesce(cids, [])) > 0) THEN 'has results' WHEN bool_and(name IS NULL AND status IS NULL) THEN 'empty' ELSE 'no results' END AS state FROM names GROUP BY 1")
+def cas_10(t):
+    some = F.coalesce(F.size("cids"), F.lit(0)) > 0
+    state = F.when(F.bool_or(F.coalesce(F.col("status") >= 500, F.lit(False))), "failed").when(F.bool_or(some), "has results").when(F.bool_and(F.col("name").isNull() & F.col("status").isNull()), "empty").otherwise("no results")
+    return t.names.groupBy("file_path").agg(state.alias("state"))
+
+
+@q("cas_11_review_flag", "SELECT molregno, coalesce(natural_product = 0, false) OR coalesce(molecular_weight > 700, false) AS review FROM compound_structures WHERE molecular_weight IS NULL OR NOT isnan(molecular_weight)")
+def cas_11(t):
+    s = t.compound_structures.filter("molecular_weight IS NULL OR NOT isnan(molecular_weight)")
+    return s.select("molregno", (F.coalesce(F.col("natural_product") == 0, F.lit(False)) | F.coalesce(F.col("molecular_weight") > 700, F.lit(False))).alias("review"))
+
+
 QUERIES, SQL = plan.queries, plan.sql

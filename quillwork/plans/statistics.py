@@ -114,4 +114,14 @@ def sta_17(t):
     return stats.permutation(t.customer, "c_acctbal", "c_mktsegment", "BUILDING", "MACHINERY", ["c_custkey"], n=500)
 
 
+@q("sta_04_rank_biserial", f"WITH r AS (SELECT o_orderstatus AS g, {_RANK.format(x='o_totalprice')} AS r FROM orders WHERE o_orderstatus IN ('F', 'O')), u AS (SELECT count(*) FILTER (WHERE g = 'F')::DOUBLE AS n1, count(*) FILTER (WHERE g = 'O')::DOUBLE AS n2, sum(r) FILTER (WHERE g = 'F') AS s FROM r) SELECT {_fl('1 - 2 * (s - n1 * (n1 + 1) / 2) / (n1 * n2)', 8)} AS rank_biserial FROM u")
+def sta_04(t):
+    return stats.mann_whitney(t.orders, "o_totalprice", "o_orderstatus", "F", "O").select(flat(F.col("rank_biserial"), 8).alias("rank_biserial"))
+
+
+@q("sta_06_epsilon_squared", f"WITH r AS (SELECT c_mktsegment AS g, {_RANK.format(x='c_acctbal')} AS r FROM customer), k AS (SELECT g, count(*)::DOUBLE AS n, sum(r) AS s FROM r GROUP BY 1), c AS (SELECT 1 - sum(t * t * t - t) / (max(n) * max(n) * max(n) - max(n)) AS c FROM (SELECT count(*)::DOUBLE AS t, (SELECT count(*)::DOUBLE FROM customer) AS n FROM customer GROUP BY c_acctbal)), h AS (SELECT (12 / (sum(n) * (sum(n) + 1)) * sum(s * s / n) - 3 * (sum(n) + 1)) / (SELECT c FROM c) AS h, count(*) AS k, sum(n) AS n FROM k) SELECT {_fl('(h - k + 1) / (n - k)', 8)} AS epsilon2 FROM h")
+def sta_06(t):
+    return stats.kruskal(t.customer, "c_acctbal", "c_mktsegment").select(flat(F.col("epsilon2"), 8).alias("epsilon2"))
+
+
 QUERIES, SQL = plan.queries, plan.sql

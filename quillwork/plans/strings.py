@@ -167,4 +167,35 @@ def str_30(t):
     return t.part.select("p_partkey", F.regexp_replace(F.regexp_replace(F.lower("p_name"), "[^a-z0-9]+", "-"), "^-+|-+$", "").alias("slug"))
 
 
+@q("str_10_resolver", "WITH b AS (SELECT plant_index, scientific_name, string_split_regex(trim(split_part(regexp_replace(scientific_name, '^[.\\s]+', ''), '(', 1)), '\\s+') AS w FROM plant_index) SELECT plant_index, CASE WHEN plant_index % 50 = 0 THEN 'checked by hand' WHEN len(w) >= 2 THEN w[1] || ' ' || w[2] END AS query, plant_index % 50 = 0 AS from_override FROM b")
+def str_10(t):
+    from ..operators.joins import override
+
+    p = t.plant_index.select("plant_index", "scientific_name")
+    by_hand = p.filter("plant_index % 50 = 0").select("plant_index", F.lit("checked by hand").alias("query"))
+    return override(p, by_hand, "plant_index", fn.binomial(F.col("scientific_name")), "query").select("plant_index", "query", "from_override")
+
+
+@q("str_12_two_variants", "WITH r AS (SELECT name, count(*) AS n_raw FROM names WHERE name IS NOT NULL GROUP BY 1), k AS (SELECT lower(trim(name)) AS name, count(*) AS n_clean FROM names WHERE name IS NOT NULL GROUP BY 1) SELECT r.name, CASE WHEN n_raw = n_clean THEN 'same' WHEN n_raw > n_clean THEN 'raw is better' ELSE 'candidate is better' END AS decision FROM r JOIN k ON k.name = lower(trim(r.name))")
+def str_12(t):
+    n = t.names.filter("name IS NOT NULL")
+    r = n.groupBy("name").agg(F.count(F.lit(1)).alias("n_raw"))
+    k = n.groupBy(F.lower(F.trim("name")).alias("k")).agg(F.count(F.lit(1)).alias("n_clean"))
+    d = F.when(F.col("n_raw") == F.col("n_clean"), "same").when(F.col("n_raw") > F.col("n_clean"), "raw is better").otherwise("candidate is better")
+    return r.join(k, F.col("k") == F.lower(F.trim("name"))).select("name", d.alias("decision"))
+
+
+@q("str_28_tier_cascade", r"SELECT inchikey_connectivity, CASE WHEN stereo_resolved AND length(trim(coalesce(inchikey, ''))) = 27 THEN 'high' WHEN regexp_matches(coalesce(compound_names, ''), '[\p{L}\p{N}]') THEN 'medium' ELSE 'low' END AS tier FROM compounds_unique")
+def str_28(t):
+    full = F.col("stereo_resolved") & (F.length(F.trim(F.coalesce("inchikey", F.lit("")))) == 27)
+    return t.compounds_unique.select("inchikey_connectivity", F.when(full, "high").when(filled(F.col("compound_names")), "medium").otherwise("low").alias("tier"))
+
+
+@q("str_31_page_flags", r"SELECT plant_index, array_to_string(list_filter([CASE WHEN NOT regexp_matches(coalesce(family, ''), '[\p{L}\p{N}]') THEN 'empty_family' END, CASE WHEN NOT regexp_matches(coalesce(synonym, ''), '[\p{L}\p{N}]') THEN 'empty_synonym' END, CASE WHEN contains(scientific_name, '?') OR contains(scientific_name, chr(65533)) THEN 'encoding' END], lambda x: x IS NOT NULL), ';') AS flags FROM plant_index")
+def str_31(t):
+    s = F.col("scientific_name")
+    flags = F.array(F.when(~filled(F.col("family")), "empty_family"), F.when(~filled(F.col("synonym")), "empty_synonym"), F.when(s.contains("?") | s.contains("\ufffd"), "encoding"))
+    return t.plant_index.select("plant_index", F.array_join(F.array_compact(flags), ";").alias("flags"))
+
+
 QUERIES, SQL = plan.queries, plan.sql

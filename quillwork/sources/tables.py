@@ -39,6 +39,31 @@ def read_jdbc(spark: SparkSession, url: str, query: str, partition: tuple[str, i
     return r.load()
 
 
+def read_sqlite(spark: SparkSession, path: str, query: str, schema: T.StructType, split_on: str, partitions: int = 8) -> DataFrame:
+    """A read-only scan of a SQLite file that every worker can reach, in ``partitions`` slices of a whole-number column.
+
+    A row with a NULL in that column is in the first slice.
+    """
+    names = schema.fieldNames()
+
+    def scan(batches):
+        import sqlite3
+
+        import pandas as pd
+
+        con = sqlite3.connect(f"file:{path}?mode=ro", uri=True)
+        try:
+            for slices in batches:
+                for i in slices["id"]:
+                    part = f"SELECT * FROM ({query}) WHERE coalesce(abs({split_on}) % {partitions}, 0) = {int(i)}"
+                    for rows in iter(lambda c=con.execute(part): c.fetchmany(10_000), []):
+                        yield pd.DataFrame(rows, columns=names)
+        finally:
+            con.close()
+
+    return spark.range(0, partitions, 1, partitions).mapInPandas(scan, schema)
+
+
 def name_records(lines: Column) -> Column:
     """A cached name record parsed from its JSON; NULL where it cannot be read."""
     return F.from_json(lines, NAME_RECORD)
