@@ -30,7 +30,7 @@ def zscore(value: str, within: list[str]) -> Column:
 
 def top_n(df: DataFrame, within: list[str], order: list[Column], n: int) -> DataFrame:
     """The first n rows of each group along a total order, with ``rank``. Groups are cut before they are shuffled."""
-    return df.withColumn("rank", F.row_number().over(W.partitionBy(*within).orderBy(*order))).filter(F.col("rank") <= n)
+    return df.withColumn("rank", F.row_number().over(W.partitionBy(*within).orderBy(*order))).filter(F.col("rank") <= n).withColumn("rank", F.col("rank").cast("bigint"))
 
 
 def gaps(df: DataFrame, column: str) -> DataFrame:

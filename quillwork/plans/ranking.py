@@ -21,13 +21,13 @@ def _fl(x: str, n: int = 6) -> str:
 @q("win_01_rank_three_keys", "SELECT l_suppkey, l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_suppkey ORDER BY (l_discount >= 0.05) DESC, l_extendedprice DESC, l_quantity DESC, l_orderkey, l_linenumber) AS rnk FROM lineitem")
 def win_01(t):
     w = W.partitionBy("l_suppkey").orderBy((F.col("l_discount") >= 0.05).desc(), F.desc("l_extendedprice"), F.desc("l_quantity"), "l_orderkey", "l_linenumber")
-    return t.lineitem.select("l_suppkey", "l_orderkey", "l_linenumber", F.row_number().over(w).alias("rnk"))
+    return t.lineitem.select("l_suppkey", "l_orderkey", "l_linenumber", F.row_number().over(w).cast("bigint").alias("rnk"))
 
 
 @q("win_02_rank_within_flag", "SELECT l_suppkey, l_orderkey, l_linenumber, CASE WHEN l_discount >= 0.05 THEN row_number() OVER (PARTITION BY l_suppkey ORDER BY (l_discount >= 0.05) DESC, l_extendedprice DESC, l_orderkey, l_linenumber) END AS rnk FROM lineitem")
 def win_02(t):
     w = W.partitionBy("l_suppkey").orderBy((F.col("l_discount") >= 0.05).desc(), F.desc("l_extendedprice"), "l_orderkey", "l_linenumber")
-    return t.lineitem.select("l_suppkey", "l_orderkey", "l_linenumber", F.when(F.col("l_discount") >= 0.05, F.row_number().over(w)).alias("rnk"))
+    return t.lineitem.select("l_suppkey", "l_orderkey", "l_linenumber", F.when(F.col("l_discount") >= 0.05, F.row_number().over(w)).cast("bigint").alias("rnk"))
 
 
 @q("win_03_rank_min_support", "WITH g AS (SELECT s_nationkey, l_suppkey, count(DISTINCT l_partkey) AS n, max(l_quantity) AS best, avg(l_quantity) FILTER (WHERE l_discount > 0.09) AS m FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL) SELECT s_nationkey, l_suppkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY floor(m * 1e6) DESC NULLS LAST, best DESC, n DESC, l_suppkey) AS rnk FROM g WHERE n >= 3")
@@ -35,7 +35,7 @@ def win_03(t):
     s = t.supplier.select("s_suppkey", "s_nationkey")
     g = t.lineitem.groupBy("l_suppkey").agg(F.countDistinct("l_partkey").alias("n"), F.max("l_quantity").alias("best"), F.avg(F.when(F.col("l_discount") > 0.09, F.col("l_quantity"))).alias("m")).filter("n >= 3")
     w = W.partitionBy("s_nationkey").orderBy(F.floor(F.col("m") * 1e6).desc_nulls_last(), F.desc("best"), F.desc("n"), "l_suppkey")
-    return g.join(s, F.col("l_suppkey") == F.col("s_suppkey")).select("s_nationkey", "l_suppkey", F.row_number().over(w).alias("rnk"))
+    return g.join(s, F.col("l_suppkey") == F.col("s_suppkey")).select("s_nationkey", "l_suppkey", F.row_number().over(w).cast("bigint").alias("rnk"))
 
 
 @q("win_04_global_percentile_rank", f"SELECT o_orderkey, rank() OVER (ORDER BY o_totalprice DESC) AS rnk, {_fl('rank() OVER (ORDER BY o_totalprice DESC) * 100.0::DOUBLE / count(*) OVER ()')} AS pct FROM orders")

@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import atexit
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def get_spark(app: str = "quillwork", cpus: int | str = "*", partitions: int = 8) -> SparkSession:
     """A local session with the settings every operator here relies on (UTC, AQE)."""
-    return (
+    spark = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(partitions))
@@ -22,10 +24,34 @@ def get_spark(app: str = "quillwork", cpus: int | str = "*", partitions: int = 8
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+    ship(spark)
+    return spark
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the workers, once an application, so that it need not be installed there."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    name = os.path.basename(root)
+    path = os.path.join(tempfile.mkdtemp(prefix=f"{name}-code-"), f"{name}.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, files in os.walk(root):
+            for f in sorted(files):
+                if f.endswith(".py"):
+                    full = os.path.join(folder, f)
+                    z.write(full, os.path.join(name, os.path.relpath(full, root)))
+    spark.sparkContext.addPyFile(path)
+    _shipped.add(app)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the Parquet tables of a data directory (a file or a folder of parts)."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -76,6 +102,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     sizes, and keeps column pruning for what follows.
     """
     spark = df.sparkSession
+    ship(spark)
     path = reserve(spark, label)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
