@@ -55,12 +55,20 @@ def calibration(df: DataFrame, score: str, label: str) -> DataFrame:
 
 
 def best_f1(df: DataFrame, score: str, label: str, thresholds: list[float]) -> DataFrame:
-    """The threshold with the highest F1, the first on ties, from one scan."""
-    s, y = F.col(score), F.col(label) == 1
-    wide = df.agg(F.sum(F.when(y, 1).otherwise(0)).alias("p"), *(F.sum(F.when((s >= x) & y, 1).otherwise(0)).alias(f"tp{i}") for i, x in enumerate(thresholds)), *(F.sum(F.when(s >= x, 1).otherwise(0)).alias(f"k{i}") for i, x in enumerate(thresholds)))
-    lines = F.array(*(F.struct(F.lit(float(x)).alias("threshold"), F.lit(i).alias("i"), F.col(f"tp{i}").alias("tp"), F.col(f"k{i}").alias("k")) for i, x in enumerate(thresholds)))
-    f1 = F.when(F.col("s.k") + F.col("p") > 0, 2.0 * F.col("s.tp") / (F.col("s.k") + F.col("p"))).otherwise(0.0)
-    return wide.select("p", F.explode(lines).alias("s")).select(F.col("s.threshold").alias("threshold"), f1.alias("f1"), F.col("s.i").alias("i")).orderBy(F.desc("f1"), "i").limit(1).drop("i")
+    """The threshold with the highest F1, the first on ties.
+
+    Rows are counted by how many thresholds they reach, map-side; suffix sums over those few
+    counts give every threshold's confusion. NULL scores reach none. Thresholds ascend.
+    """
+    steps = F.array(*(F.lit(float(x)) for x in thresholds))
+    reach = F.coalesce(F.size(F.filter(steps, lambda x: x <= F.col(score))), F.lit(0))
+    y = F.col(label) == 1
+    counts = df.groupBy(F.greatest(reach, F.lit(0)).alias("r")).agg(F.count(F.lit(1)).alias("k"), F.sum(F.when(y, 1).otherwise(0)).alias("tp"))
+    every = df.sparkSession.createDataFrame([(i, float(x)) for i, x in enumerate(thresholds)], "i int, threshold double")
+    total = counts.agg(F.coalesce(F.sum("tp"), F.lit(0)).alias("p"))
+    at = every.join(counts, F.col("r") > F.col("i"), "left").groupBy("i", "threshold").agg(F.coalesce(F.sum("k"), F.lit(0)).alias("k"), F.coalesce(F.sum("tp"), F.lit(0)).alias("tp")).crossJoin(total)  # thresholds by thresholds
+    f1 = F.when(F.col("k") + F.col("p") > 0, 2.0 * F.col("tp") / (F.col("k") + F.col("p"))).otherwise(0.0)
+    return at.select("threshold", f1.alias("f1"), "i").orderBy(F.desc("f1"), "i").limit(1).drop("i")
 
 
 def enrichment(df: DataFrame, score: str, label: str, shares: tuple[float, ...] = (0.01, 0.05)) -> DataFrame:

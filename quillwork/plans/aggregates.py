@@ -159,12 +159,12 @@ def agg_22(t):
     return t.events.groupBy("event_type").agg(p.alias("p")).select("event_type", *(flat(F.col("p")[i], 6).alias(n) for i, n in enumerate(("q05", "q25", "q50", "q75", "q95"))))
 
 
-@q("agg_23_describe", f"SELECT l_returnflag, count(*) AS n, {_fl('avg(l_extendedprice)', 2)} AS mean, {_fl('stddev_samp(l_extendedprice)', 2)} AS std, {_fl('stddev_pop(l_extendedprice)', 2)} AS std_pop, {_fl('quantile_cont(l_extendedprice, 0.5)', 2)} AS median, min(l_extendedprice) AS lo, max(l_extendedprice) AS hi, {_fl('quantile_cont(l_extendedprice, 0.75) - quantile_cont(l_extendedprice, 0.25)', 2)} AS iqr FROM lineitem GROUP BY 1")
+@q("agg_23_describe", f"SELECT l_returnflag, count(*) AS n, {_fl('avg(l_extendedprice)', 1)} AS mean, {_fl('stddev_samp(l_extendedprice)', 1)} AS std, {_fl('stddev_pop(l_extendedprice)', 1)} AS std_pop, {_fl('quantile_cont(l_extendedprice, 0.5)', 1)} AS median, min(l_extendedprice) AS lo, max(l_extendedprice) AS hi, {_fl('quantile_cont(l_extendedprice, 0.75) - quantile_cont(l_extendedprice, 0.25)', 1)} AS iqr FROM lineitem GROUP BY 1")
 def agg_23(t):
     x = F.col("l_extendedprice")
     p = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
     a = t.lineitem.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"), F.avg(x).alias("m"), F.stddev_samp(x).alias("s"), F.stddev_pop(x).alias("sp"), p.alias("p"), F.min(x).alias("lo"), F.max(x).alias("hi"))
-    return a.select("l_returnflag", "n", flat(F.col("m"), 2).alias("mean"), flat(F.col("s"), 2).alias("std"), flat(F.col("sp"), 2).alias("std_pop"), flat(F.col("p")[1], 2).alias("median"), "lo", "hi", flat(F.col("p")[2] - F.col("p")[0], 2).alias("iqr"))
+    return a.select("l_returnflag", "n", flat(F.col("m"), 1).alias("mean"), flat(F.col("s"), 1).alias("std"), flat(F.col("sp"), 1).alias("std_pop"), flat(F.col("p")[1], 1).alias("median"), "lo", "hi", flat(F.col("p")[2] - F.col("p")[0], 1).alias("iqr"))
 
 
 @q("agg_24_all_pseudo_group", f"SELECT coalesce(event_type, 'ALL') AS grp, count(*) AS n, {_fl('avg(value)', 4)} AS mean FROM events GROUP BY ROLLUP (event_type)")

@@ -120,7 +120,7 @@ def joi_15(t):
     return op.override(p, o, "p_partkey", rule, "size_class").select("p_partkey", "size_class", "from_override")
 
 
-@q("joi_16_fan_out_any", f"SELECT layer, count(*) AS n_rows, bool_or({STRICT}) AS any_strict, array_to_string(list_sort(list_distinct(list(target_chembl_id) FILTER (WHERE target_chembl_id IS NOT NULL))), '|') AS targets FROM activities JOIN {_MAP} USING (molregno) WHERE layer IS NOT NULL AND {USABLE} GROUP BY 1")
+@q("joi_16_fan_out_any", f"SELECT layer, count(*) AS n_rows, bool_or({STRICT}) AS any_strict, coalesce(array_to_string(list_sort(list_distinct(list(target_chembl_id) FILTER (WHERE target_chembl_id IS NOT NULL))), '|'), '') AS targets FROM activities JOIN {_MAP} USING (molregno) WHERE layer IS NOT NULL AND {USABLE} GROUP BY 1")
 def joi_16(t):
     m = t.compound_bioactivity_raw.filter("molregno IS NOT NULL").groupBy("molregno").agg(F.min(layer_key(F.col("inchikey_connectivity"))).alias("layer")).filter("layer IS NOT NULL")
     one = t.activities.filter(labels.usable()).groupBy("molregno", "target_chembl_id").agg(F.count(F.lit(1)).alias("n"), F.bool_or(F.coalesce(labels.strict(), F.lit(False))).alias("s"))

@@ -56,9 +56,9 @@ def win_06(t):
     return t.orders.select("o_orderkey", flat(op.percent_rank_of_ties("o_totalprice", ["o_custkey"]), 6).alias("pct"))
 
 
-@q("win_07_cumulative_recovery", f"WITH e AS (SELECT event_id, value * 1000000 + event_id AS k, event_type = 'purchase' AS hit FROM events) SELECT event_id, row_number() OVER (ORDER BY k DESC) AS rnk, sum(CASE WHEN hit THEN 1 ELSE 0 END) OVER (ORDER BY k DESC ROWS UNBOUNDED PRECEDING)::BIGINT AS found, {_fl('sum(CASE WHEN hit THEN 1 ELSE 0 END) OVER (ORDER BY k DESC ROWS UNBOUNDED PRECEDING)::DOUBLE / nullif(sum(CASE WHEN hit THEN 1 ELSE 0 END) OVER (), 0)')} AS share FROM e")
+@q("win_07_cumulative_recovery", f"WITH e AS (SELECT event_id, value * 100000000 + event_id AS k, event_type = 'purchase' AS hit FROM events) SELECT event_id, row_number() OVER (ORDER BY k DESC) AS rnk, sum(CASE WHEN hit THEN 1 ELSE 0 END) OVER (ORDER BY k DESC ROWS UNBOUNDED PRECEDING)::BIGINT AS found, {_fl('sum(CASE WHEN hit THEN 1 ELSE 0 END) OVER (ORDER BY k DESC ROWS UNBOUNDED PRECEDING)::DOUBLE / nullif(sum(CASE WHEN hit THEN 1 ELSE 0 END) OVER (), 0)')} AS share FROM e")
 def win_07(t):
-    e = t.events.select("event_id", (F.col("value") * 1000000 + F.col("event_id")).alias("k"), (F.col("event_type") == "purchase").alias("hit"))
+    e = t.events.select("event_id", (F.col("value") * 100000000 + F.col("event_id")).alias("k"), (F.col("event_type") == "purchase").alias("hit"))
     c = op.cumulative(e, "k", F.col("hit"))
     return c.select("event_id", F.col("rank").alias("rnk"), "found", flat(F.col("share"), 6).alias("share"))
 
