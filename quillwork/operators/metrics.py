@@ -57,13 +57,14 @@ def calibration(df: DataFrame, score: str, label: str) -> DataFrame:
 def best_f1(df: DataFrame, score: str, label: str, thresholds: list[float]) -> DataFrame:
     """The threshold with the highest F1, the first on ties.
 
-    Rows are counted by how many thresholds they reach, map-side; suffix sums over those few
+    Rows are counted by score and then by how many thresholds that reaches, map-side; suffix sums over those few
     counts give every threshold's confusion. NULL scores reach none. Thresholds ascend.
     """
     steps = F.array(*(F.lit(float(x)) for x in thresholds))
     reach = F.coalesce(F.size(F.filter(steps, lambda x: x <= F.col(score))), F.lit(0))
     y = F.col(label) == 1
-    counts = df.groupBy(F.greatest(reach, F.lit(0)).alias("r")).agg(F.count(F.lit(1)).alias("k"), F.sum(F.when(y, 1).otherwise(0)).alias("tp"))
+    each = df.groupBy(score).agg(F.count(F.lit(1)).alias("k"), F.sum(F.when(y, 1).otherwise(0)).alias("tp"))
+    counts = each.groupBy(F.greatest(reach, F.lit(0)).alias("r")).agg(F.sum("k").alias("k"), F.sum("tp").alias("tp"))
     every = df.sparkSession.createDataFrame([(i, float(x)) for i, x in enumerate(thresholds)], "i int, threshold double")
     total = counts.agg(F.coalesce(F.sum("tp"), F.lit(0)).alias("p"))
     at = every.join(counts, F.col("r") > F.col("i"), "left").groupBy("i", "threshold").agg(F.coalesce(F.sum("k"), F.lit(0)).alias("k"), F.coalesce(F.sum("tp"), F.lit(0)).alias("tp")).crossJoin(total)  # thresholds by thresholds
