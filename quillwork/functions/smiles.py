@@ -183,3 +183,61 @@ def graph_counts(s: pd.Series) -> pd.DataFrame:
                             todo.append(j)
         out.append((len(atoms), bonds, len(ring_core(near)), parts))
     return pd.DataFrame(out, columns=["n_atoms", "n_bonds", "n_ring_core", "n_fragments"]).astype("Int32")
+
+
+def circular_bits(text: str | None, radius: int = 2, width: int = 2048) -> list[int] | None:
+    """On-bits of a circular fingerprint: a hash of every atom's surroundings up to ``radius`` bonds, folded to ``width``.
+
+    An atom starts as its element, degree and place in the ring core; each step hashes it with
+    its sorted neighbours. Equal however the text is written; None if unreadable.
+    """
+    graph = parse(text.strip()) if text and text.strip() else None
+    if graph is None:
+        return None
+    atoms, near = graph
+    core = set(ring_core(near))
+    label = [f"{a}{len(near[i])}{int(i in core)}" for i, a in enumerate(atoms)]
+    seen = set(label)
+    for _ in range(radius):
+        label = [hashlib.md5("|".join([label[i], *sorted(label[j] for j in near[i])]).encode()).hexdigest() for i in range(len(atoms))]
+        seen.update(label)
+    return sorted({int.from_bytes(hashlib.md5(x.encode()).digest()[:4], "little") % width for x in seen})
+
+
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def circular_fingerprint(s: pd.Series) -> pd.Series:
+    """Column form of ``circular_bits`` with radius 2 and 2,048 bits."""
+    return s.map(circular_bits, na_action="ignore").astype(object)
+
+
+PROPERTIES = ("n_heavy", "n_rings", "n_hetero", "n_halogen", "n_chain_bonds", "n_branch_atoms", "ring_share")
+
+
+def properties_of(text: str | None) -> tuple | None:
+    """Heavy atoms, independent rings, hetero and halogen atoms, bonds outside the ring core, atoms with three neighbours or more, and the ring core's share of atoms; None if unreadable."""
+    graph = parse(text.strip()) if text and text.strip() else None
+    if graph is None:
+        return None
+    atoms, near = graph
+    core = set(ring_core(near))
+    bonds = sum(map(len, near)) // 2
+    inside = sum(j in core for i in core for j in near[i]) // 2
+    parts, seen = 0, set()
+    for i in range(len(atoms)):
+        if i not in seen:
+            parts += 1
+            todo = [i]
+            seen.add(i)
+            while todo:
+                for j in near[todo.pop()]:
+                    if j not in seen:
+                        seen.add(j)
+                        todo.append(j)
+    return (len(atoms), bonds - len(atoms) + parts, sum(a not in ("C", "H") for a in atoms), sum(a in ("F", "Cl", "Br", "I") for a in atoms), bonds - inside, sum(len(n) >= 3 for n in near), len(core) / len(atoms))
+
+
+@F.pandas_udf(T.StructType([T.StructField(n, T.DoubleType() if n == "ring_share" else T.IntegerType()) for n in PROPERTIES]))
+def properties(s: pd.Series) -> pd.DataFrame:
+    """Column form of ``properties_of``; all NULL if unreadable."""
+    rows = [(properties_of(x) if isinstance(x, str) else None) or (None,) * len(PROPERTIES) for x in s]
+    return pd.DataFrame(rows, columns=list(PROPERTIES)).astype({n: "float64" if n == "ring_share" else "Int32" for n in PROPERTIES})

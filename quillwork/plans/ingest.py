@@ -205,4 +205,24 @@ def src_08(t):
     return t.spark.createDataFrame([(u, s, tried[u]) for u, s in got], "url string, status int, attempts int")
 
 
+@q("src_10_robots_gate", "SELECT * FROM (VALUES ('/plants/1', true), ('/private/1', false), ('/private/open', true), ('/', true)) v(path, allowed)")
+def src_10(t):
+    rules = web.robots("User-agent: *\nAllow: /private/open\nDisallow: /private/\nCrawl-delay: 1", "http://x.example")
+    return t.spark.createDataFrame([(p, rules.can_fetch("quillwork", f"http://x.example{p}")) for p in ("/plants/1", "/private/1", "/private/open", "/")], "path string, allowed boolean")
+
+
+@q("snk_04_manifest", "SELECT (SELECT count(*) FROM region) AS n_regions, (SELECT count(*) FROM nation) AS n_nations, 1::BIGINT AS version")
+def snk_04(t):
+    import json
+    import os
+    import tempfile
+
+    with tempfile.TemporaryDirectory() as d:  # a control-plane file on the driver
+        path = os.path.join(d, "manifest.json")
+        tables.write_manifest(path, {"version": 1, "n_regions": t.region.count(), "n_nations": t.nation.count()})
+        with open(path) as f:
+            m = json.load(f)
+    return t.spark.createDataFrame([(m["n_regions"], m["n_nations"], m["version"])], "n_regions bigint, n_nations bigint, version bigint")
+
+
 QUERIES, SQL = plan.queries, plan.sql

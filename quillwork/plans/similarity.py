@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.columns import flat
-from ..functions.smiles import graph_counts, scaffold
+from ..functions.smiles import circular_fingerprint, graph_counts, properties, scaffold
 from ..functions.text import connectivity, filled
 from ..operators import joins, similarity as op
 from .registry import Plan
@@ -95,4 +95,28 @@ def ml_17(t):
     return best.select("vec_id", flat(F.col("best"), 6).alias("best"), flat(F.col("top"), 6).alias("top"), (F.col("best") <= 2.0).alias("passes"))
 
 
+def _fingerprints(t):
+    from ..session import materialize
+
+    c = t.compounds_unique.filter(filled(F.col("smiles_flat"))).select(F.col("inchikey_connectivity").alias("id"), "n_plants", circular_fingerprint(F.col("smiles_flat")).alias("bits"))
+    return materialize(c, "fingerprints")  # written once; both sides of the search read it
+
+
+@q("ml_12_circular_fingerprint")
+def ml_12(t):
+    return _fingerprints(t).select("id", F.size("bits").alias("n_bits"), F.array_join(F.slice(F.transform("bits", lambda b: b.cast("string")), 1, 5), ",").alias("first_bits"))
+
+
+@q("ml_12_structure_neighbours")
+def ml_12n(t):
+    f = _fingerprints(t)
+    return op.nearest(f.filter("n_plants > 1"), f.filter("n_plants = 1"), 2048)
+
+
+@q("ml_13_structure_properties")
+def ml_13(t):
+    s = t.compound_structures.filter(filled(F.col("canonical_smiles")))
+    return s.select("molregno", properties(F.col("canonical_smiles")).alias("p")).select("molregno", "p.*")
+
+
 QUERIES, SQL = plan.queries, plan.sql

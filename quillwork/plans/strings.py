@@ -198,4 +198,11 @@ def str_31(t):
     return t.plant_index.select("plant_index", F.array_join(F.array_compact(flags), ";").alias("flags"))
 
 
+@q("str_15_name_group")
+def str_15(t):
+    # names of a genus: variants of one another, or several
+    g = t.plant_index.filter(filled(F.col("scientific_name"))).select(F.substring_index(fn.species_key(F.col("scientific_name")), " ", 1).alias("genus"), fn.species_key(F.col("scientific_name")).alias("n")).distinct()
+    return g.groupBy("genus").agg(F.array_sort(F.collect_set("n")).alias("names")).filter(F.size("names") >= 2).select("genus", F.size("names").alias("n_names"), fn.name_group(F.col("names")).alias("kind"))
+
+
 QUERIES, SQL = plan.queries, plan.sql

@@ -89,6 +89,21 @@ def test_skeleton_does_not_depend_on_writing(seed):
     assert smiles.skeleton_key(_shuffled(s, seed)) == smiles.skeleton_key(s)
 
 
+@settings(max_examples=20, deadline=None)
+@given(st.integers(0, 10_000))
+def test_fingerprints_and_properties_do_not_depend_on_writing(seed):
+    s = "c1(ncc(o1)CSCC2C(CNCC(C2)Cc3oc4ccccc4c3)N)COCSCOCCCCCC"
+    assert smiles.circular_bits(_shuffled(s, seed)) == smiles.circular_bits(s)
+    assert smiles.properties_of(_shuffled(s, seed)) == smiles.properties_of(s)
+
+
+def test_properties():
+    assert smiles.properties_of("C1CCCCC1C(Cl)=O") == (9, 1, 2, 1, 3, 2, 6 / 9)
+    assert smiles.properties_of("CC.[Na+]") == (3, 0, 1, 0, 1, 0, 0.0)
+    assert smiles.properties_of("C(") is None and smiles.circular_bits(" ") is None
+    assert len(smiles.circular_bits("CCO")) <= 9
+
+
 def test_text(spark):
     assert one(spark, " a   b\t", text.squeeze) == "a b"
     assert one(spark, "É", text.fold) == "é"
