@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import name_key
@@ -84,7 +84,9 @@ def compact(rows: DataFrame, target_bytes: int = TARGET_BYTES, path: str | None
     """Rewrite a name cache into a few files that hold each distinct record exactly once.
 
     Of rows that hold the same record the earliest ``written_at`` is kept (NULL is latest),
-    on ties the smallest ``record_id``; rows with neither name nor status hold no record.
+    on ties the smallest ``record_id``; rows with neither name nor status, or without
+    ``record_id``, hold no record. Lines that share a ``record_id`` are one row delivered again:
+    it is written once.
     Every group becomes one file. A record that occurs in a third of all rows is reduced
     map-side to its survivor, so no task sees all its copies. A row whose path is NULL goes
     to group 0. Extra columns of ``rows`` are carried along; columns named like the
@@ -94,9 +96,10 @@ def compact(rows: DataFrame, target_bytes: int = TARGET_BYTES, path: str | None
     rows = rows.drop("_name", "_status", "_cids", "group_id")
     frozen = materialize(manifest(rows), "manifest")
     plan = materialize(plan_groups(frozen, target_bytes), "plan")
-    keyed = record_key(rows.filter(F.col("name").isNotNull() | F.col("status").isNotNull()))
+    keyed = record_key(rows.filter(_holds_record()))
     keep = keyed.groupBy("_name", "_status", "_cids").agg(F.min(F.struct(F.col("written_at").isNull().alias("late"), F.col("written_at").alias("at"), F.col("record_id").alias("id"))).alias("k")).select(F.col("k.id").alias("record_id"))
-    kept = rows.join(keep, "record_id", "left_semi").join(plan.select("file_path", "group_id"), "file_path", "left").select(*rows.columns, F.coalesce("group_id", F.lit(0)).alias("group_id"))
+    # the semi-join has brought equal ids together, so dropping their repeats moves nothing
+    kept = rows.join(keep, "record_id", "left_semi").dropDuplicates(["record_id"]).join(plan.select("file_path", "group_id"), "file_path", "left").select(*rows.columns, F.coalesce("group_id", F.lit(0)).alias("group_id"))
     last = plan.agg(F.max("group_id")).first()[0]
     path = path or reserve(spark, "compacted")
     kept.repartitionById((last or 0) + 1, F.col("group_id")).write.parquet(path)
@@ -105,16 +108,22 @@ def compact(rows: DataFrame, target_bytes: int = TARGET_BYTES, path: str | None
     return Compaction(plan, path, written, report)
 
 
+def _holds_record() -> Column:
+    return F.col("record_id").isNotNull() & (F.col("name").isNotNull() | F.col("status").isNotNull())
+
+
 def reconcile(rows: DataFrame, written: DataFrame, plan: DataFrame) -> DataFrame:
-    """One row of counts; ``balanced`` holds if every row is written, a repeat or empty, and none is written twice."""
-    empty = F.col("name").isNull() & F.col("status").isNull()
-    a = rows.agg(F.count(F.lit(1)).alias("n_rows"), F.coalesce(F.sum(F.when(empty, 1).otherwise(0)), F.lit(0)).alias("n_empty"))
+    """One row of counts; ``balanced`` holds if every line is written, a repeat of a record, a line delivered again or empty, and no id is written twice."""
+    a = rows.agg(F.count(F.lit(1)).alias("n_rows"), F.coalesce(F.sum(F.when(_holds_record(), 0).otherwise(1)), F.lit(0)).alias("n_empty"))
     b = written.agg(F.count(F.lit(1)).alias("n_written"), F.countDistinct("record_id").alias("n_written_ids"), F.countDistinct("group_id").alias("n_files_after"))
     c = plan.agg(F.count(F.lit(1)).alias("n_files_before"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes_before"))
     d = dropped(rows, written).agg(F.count(F.lit(1)).alias("n_repeats"))
-    return a.crossJoin(b).crossJoin(c).crossJoin(d).withColumn("balanced", (F.col("n_rows") == F.col("n_empty") + F.col("n_repeats") + F.col("n_written")) & (F.col("n_written") == F.col("n_written_ids")))
+    e = rows.join(written.select("record_id"), "record_id", "left_semi").agg(F.count(F.lit(1)).alias("_n"))
+    out = a.crossJoin(b).crossJoin(c).crossJoin(d).crossJoin(e)  # one line each
+    out = out.withColumn("n_again", F.col("_n") - F.col("n_written")).drop("_n")
+    return out.withColumn("balanced", (F.col("n_rows") == F.col("n_empty") + F.col("n_repeats") + F.col("n_again") + F.col("n_written")) & (F.col("n_written") == F.col("n_written_ids")))
 
 
 def dropped(rows: DataFrame, written: DataFrame) -> DataFrame:
     """Rows that hold a record but were not written: repeats of a written one."""
-    return rows.filter(F.col("name").isNotNull() | F.col("status").isNotNull()).join(written.select("record_id"), "record_id", "left_anti")
+    return rows.filter(_holds_record()).join(written.select("record_id"), "record_id", "left_anti")

@@ -46,6 +46,16 @@ def test_groups_follow_cumulative_size(spark):
     assert done.report.first().balanced
 
 
+def test_lines_delivered_again(spark):
+    one = (1, "a", 10, T0, "x", 200, ["1"], None)
+    df = rows(spark, one, one, (2, "a", 10, T1, "X", 200, ["1"], None), (None, "a", 10, T0, "y", 200, [], None), (3, "a", 10, T0, "x", 404, None, None))
+    done = c.compact(df, 100)
+    assert sorted(r.record_id for r in done.written.collect()) == [1, 3]
+    assert [r.record_id for r in c.dropped(df, done.written).collect()] == [2]
+    r = done.report.first()
+    assert r.balanced and (r.n_again, r.n_empty, r.n_repeats) == (1, 1, 1)
+
+
 def test_empty_table(spark):
     df = rows(spark)
     done = c.compact(df, 100)
