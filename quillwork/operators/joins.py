@@ -7,14 +7,6 @@ from pyspark.sql import functions as F
 
 from .identity import first_seen
 
-#: A side is broadcast by hint only up to this many rows; beyond it the join shuffles.
-BROADCAST_ROWS = 200_000
-
-
-def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``limit`` rows (counting stops there), else as it is."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
-
 
 def lookup(left: DataFrame, right: DataFrame, on: list[str], order: list[Column], values: dict[str, Column | None]) -> DataFrame:
     """Left join that keeps the row count: of repeated right keys the first along ``order`` counts.

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .identity import first_seen
 from .prefix import running_total, value_ranks
 
@@ -33,19 +34,21 @@ def top_n(df: DataFrame, within: list[str], order: list[Column], n: int) -> Data
     return df.withColumn("rank", F.row_number().over(W.partitionBy(*within).orderBy(*order))).filter(F.col("rank") <= n).withColumn("rank", F.col("rank").cast("bigint"))
 
 
+def _numbered(df: DataFrame, column: str) -> DataFrame:
+    ids = df.filter(F.col(column).isNotNull()).select(F.col(column).cast("bigint").alias("v")).distinct().withColumn("one", F.lit(1))
+    return running_total(ids, "v", "one").select("v", "before")
+
+
 def gaps(df: DataFrame, column: str) -> DataFrame:
-    """``first_missing``, ``last_missing`` of every gap in a set of whole numbers, in parallel over ranges."""
-    ranked = islands(df, column)
-    # neighbours of islands are few; one line an island goes through the ordered step
-    nxt = F.lead("first").over(W.orderBy("first"))
-    return ranked.select((F.col("last") + 1).alias("first_missing"), (nxt - 1).alias("last_missing")).filter("first_missing <= last_missing")
+    """``first_missing``, ``last_missing`` of every gap in a set of whole numbers: each number meets the next by its rank."""
+    here = materialize(_numbered(df, column), "numbered")
+    after = here.select(F.col("v").alias("w"), (F.col("before") - 1).alias("before"))
+    return here.join(after, "before").select((F.col("v") + 1).alias("first_missing"), (F.col("w") - 1).alias("last_missing")).filter("first_missing <= last_missing")
 
 
 def islands(df: DataFrame, column: str) -> DataFrame:
     """``first``, ``last``, ``n`` of every run of consecutive whole numbers; NULLs and repeats aside."""
-    ids = df.filter(F.col(column).isNotNull()).select(F.col(column).cast("bigint").alias("v")).distinct().withColumn("one", F.lit(1))
-    numbered = running_total(ids, "v", "one")
-    return numbered.groupBy((F.col("v") - F.col("before")).alias("g")).agg(F.min("v").alias("first"), F.max("v").alias("last"), F.count(F.lit(1)).alias("n")).drop("g")
+    return _numbered(df, column).groupBy((F.col("v") - F.col("before")).alias("g")).agg(F.min("v").alias("first"), F.max("v").alias("last"), F.count(F.lit(1)).alias("n")).drop("g")
 
 
 def compact_ranges(first: Column, last: Column) -> Column:

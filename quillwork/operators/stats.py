@@ -29,13 +29,13 @@ def group_ranks(df: DataFrame, value: str, group: str) -> tuple[DataFrame, float
 def kruskal(df: DataFrame, value: str, group: str) -> DataFrame:
     """One row: ``h`` with tie correction, ``k`` groups, ``n``, ``epsilon2`` = (h - k + 1) / (n - k), ``p``. NULLs below two groups."""
     sums, ties = group_ranks(df, value, group)
-    rows = sums.collect()  # one line a group
-    n, k = sum(r["n"] for r in rows), len(rows)
+    r = sums.agg(F.count(F.lit(1)).alias("k"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.sum(F.col("rank_sum") * F.col("rank_sum") / F.col("n")).alias("s")).first()
+    n, k = r["n"], r["k"]
     h = p = e = None
     if k >= 2 and n > k:
         c = 1 - ties / (n**3 - n)
         if c > 0:
-            h = (12 / (n * (n + 1)) * math.fsum(r["rank_sum"] ** 2 / r["n"] for r in rows) - 3 * (n + 1)) / c
+            h = (12 / (n * (n + 1)) * r["s"] - 3 * (n + 1)) / c
             p, e = numerics.chi2_sf(h, k - 1), (h - k + 1) / (n - k)
     return df.sparkSession.createDataFrame([(k, n, h, e, p)], "k int, n bigint, h double, epsilon2 double, p double")
 

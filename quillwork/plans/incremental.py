@@ -44,4 +44,10 @@ def ext_dedupe(t):
     return live.drain(live.deduplicated(live.read_events(t.spark, t.dir), ["event_id"])).select("event_id")
 
 
+@q("ext_stream_sessions", "WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM events), s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM e) SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, g")
+def ext_sessions(t):
+    s = live.drain(live.sessions(live.read_events(t.spark, t.dir), "6 hours"), "complete")
+    return s.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n")
+
+
 QUERIES, SQL = plan.queries, plan.sql
