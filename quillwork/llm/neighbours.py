@@ -35,6 +35,8 @@ GROUP_ROWS = 16_384
 MIN_GROUPS = 12
 #: Tile sizes: query rows by data rows.
 TILE_Q, TILE_D = 1_024, 4_096
+#: Share of a tile from which its survivors are recomputed as one float product.
+DENSE = 0.02
 
 
 def usable(vectors: DataFrame, key: str, vec: str, dim: int) -> DataFrame:
@@ -162,15 +164,23 @@ def _search(dim: int, k: int):
                             cut = np.partition(tile, tile.shape[1] - k - 1, axis=1)[:, tile.shape[1] - k - 1]
                             least = np.maximum(least, cut - 2 * bound / scale[rows])
                         hit = np.flatnonzero(tile >= least[:, None])
-                        if not len(hit):
-                            continue
+                        exact = None
+                        if len(hit) > DENSE * tile.size:
+                            # A crowd within the bound: one float product is cheaper than its pairs one by one.
+                            exact = qf[rows] @ real.T
+                            least = heaps.floor[rows]
+                            if least.min(initial=0.0) < -1.5 and tile.shape[1] > 4 * k:
+                                least = np.maximum(least, np.partition(exact, tile.shape[1] - k - 1, axis=1)[:, tile.shape[1] - k - 1])
+                            hit = np.flatnonzero(exact >= least[:, None])
                         i, j = np.divmod(hit, tile.shape[1])
-                        i += b
-                        other = ids[j] != qid[i]
+                        other = ids[j] != qid[i + b]
                         i, j = i[other], j[other]
                         for s in range(0, len(i), 200_000):
                             ii, jj = i[s : s + 200_000], j[s : s + 200_000]
-                            heaps.push(ii, np.einsum("ij,ij->i", qf[ii], real[jj]), ids[jj])
+                            sim = np.einsum("ij,ij->i", qf[ii + b], real[jj]) if exact is None else exact[ii, jj]
+                            good = sim >= heaps.floor[ii + b]
+                            if good.any():
+                                heaps.push(ii[good] + b, sim[good], ids[jj[good]])
         if state is not None:
             yield close()
 

@@ -52,6 +52,16 @@ def test_copies(spark):
     assert all(len(v) == 5 for v in got.values()) and all(s == pytest.approx(1) for _, s in got["c020"])
 
 
+def test_near_copies(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "TILE_D", 128)
+    rng = np.random.default_rng(8)
+    same = rng.normal(size=16)
+    vecs = {f"c{i:03d}": same + rng.normal(size=16) * 0.01 for i in range(300)} | {f"o{i:03d}": rng.normal(size=16) for i in range(300)}
+    got, want = result(frame(spark, vecs), 5, 16), brute(vecs, 5)
+    for a in want:
+        assert [s for _, s in got[a]] == pytest.approx([s for _, s in want[a]], abs=2e-5)
+
+
 def test_few_and_none(spark):
     one = {"a": np.ones(4)}
     assert result(frame(spark, one), 5, 4) == {}
