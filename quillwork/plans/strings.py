@@ -67,7 +67,16 @@ def str_08(t):
     return t.names.select("record_id", fn.clean(F.col("name")).alias("name"))
 
 
-@q("str_09_name_shape")
+_SHAPE = r"""SELECT plant_index, CASE WHEN regexp_matches(scientific_name, '(?i)\bsubsp\b') THEN 'subspecies' WHEN regexp_matches(scientific_name, '(?i)\bvar\b') THEN 'variety'
+  WHEN starts_with(trim(scientific_name), '.') OR regexp_matches(scientific_name, '\(\s*\)') THEN 'defect'
+  WHEN contains(scientific_name, '(') AND contains(scientific_name, ')') THEN CASE WHEN len(string_split_regex(trim(split_part(scientific_name, '(', 1)), '\s+')) = 2 THEN 'parenthetical author' ELSE 'defect' END
+  WHEN regexp_matches(scientific_name, ' (ex|et|&|sensu|non) ') OR regexp_matches(scientific_name, '\bf\.') OR n > 3 THEN CASE WHEN n >= 2 THEN 'several authors' ELSE 'defect' END
+  WHEN n = 3 THEN 'one author' WHEN n = 2 THEN 'no author' ELSE 'defect' END AS shape,
+  CASE WHEN len(w) >= 2 THEN w[1] || ' ' || w[2] END AS binomial
+FROM (SELECT *, len(string_split_regex(trim(scientific_name), '\s+')) AS n, string_split_regex(trim(split_part(regexp_replace(scientific_name, '^[.\s]+', ''), '(', 1)), '\s+') AS w FROM plant_index)"""
+
+
+@q("str_09_name_shape", _SHAPE)
 def str_09(t):
     return t.plant_index.select("plant_index", fn.shape_class(F.col("scientific_name")).alias("shape"), fn.binomial(F.col("scientific_name")).alias("binomial"))
 
