@@ -56,5 +56,13 @@ n AS (SELECT doc_id, len(ws) AS words, len(list_filter(ws, lambda x: length(rege
 SELECT doc_id FROM n WHERE words >= 50 AND words > 22 * sentences AND 4 * long > words
 """
 
+#: The cases do not depend on the tokenizer; runs between white space stand for tokens.
+_P7 = r"""
+WITH d AS (SELECT regexp_replace(lower(regexp_replace(source, '^\s+|\s+$', '', 'g')), '[-_\s]', '_', 'g') AS k, len(regexp_split_to_array(trim(coalesce(text, '')), '\s+')) AS n FROM documents WHERE source IS NOT NULL),
+t AS (SELECT source, regexp_replace(lower(trim(source)), '[-_\s]', '_', 'g') AS k, target_weight AS w, max_repeats AS m FROM mix_targets),
+s AS (SELECT t.source, t.w, t.m, coalesce(sum(d.n), 0) AS size FROM t LEFT JOIN d USING (k) GROUP BY ALL)
+SELECT source FROM s WHERE w / (SELECT sum(w) FROM s) * (SELECT sum(size) FROM s) > m * size
+"""
+
 QUERIES = {"p7_copies": p7_copies, "p7_report": p7_report, "p7_found": p7_found, "p8_levels": p8_levels, "p8_profile": p8_profile, "p8_found": p8_found}
-SQL = {"p8_found": _P8}
+SQL = {"p7_found": _P7, "p8_found": _P8}
