@@ -12,23 +12,23 @@ plan = Plan()
 q = plan.add
 
 
-@q("fil_11_resume", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) OR c_custkey % 11 = 0")
+@q("fil_11_resume", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) OR c_acctbal < 0")
 def fil_11(t):
     done = t.orders.select(F.col("o_custkey").alias("c_custkey")).distinct()
-    return op.pending(t.customer.select("c_custkey"), done, "c_custkey", t.customer.filter("c_custkey % 11 = 0"))
+    return op.pending(t.customer.select("c_custkey"), done, "c_custkey", t.customer.filter("c_acctbal < 0"))
 
 
-@q("src_12_guarded_append", "SELECT user_id, event_type, min(event_id) AS event_id FROM events WHERE event_id % 2 = 1 AND (user_id, event_type) NOT IN (SELECT user_id, event_type FROM events WHERE event_id % 2 = 0) GROUP BY ALL")
+@q("src_12_guarded_append", "SELECT user_id, event_type, min(event_id) AS event_id FROM events WHERE ts >= TIMESTAMP '2024-01-05' AND (user_id, event_type) NOT IN (SELECT user_id, event_type FROM events WHERE ts < TIMESTAMP '2024-01-05') GROUP BY ALL")
 def src_12(t):
-    e = t.events.select("user_id", "event_type", "event_id")
-    return op.append_new(e.filter("event_id % 2 = 0"), e.filter("event_id % 2 = 1"), ["user_id", "event_type"], "event_id")
+    e = t.events.select("user_id", "event_type", "event_id", "ts")
+    return op.append_new(e.filter("ts < TIMESTAMP_NTZ '2024-01-05'"), e.filter("ts >= TIMESTAMP_NTZ '2024-01-05'"), ["user_id", "event_type"], "event_id").drop("ts")
 
 
-@q("snk_03_failure_table", "WITH o AS (SELECT user_id, event_id, value FROM events WHERE value < 30 AND event_id % 2 = 0), n AS (SELECT user_id, event_id, value FROM events WHERE value < 30 AND event_id % 2 = 1), u AS (SELECT *, 0 AS r FROM o UNION ALL SELECT *, 1 FROM n), w AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY r DESC, event_id DESC) AS i FROM u) SELECT user_id, event_id, value FROM w WHERE i = 1 AND user_id NOT IN (SELECT user_id FROM events WHERE value > 95)")
+@q("snk_03_failure_table", "WITH o AS (SELECT user_id, event_id, value FROM events WHERE value < 30 AND ts < TIMESTAMP '2024-01-05'), n AS (SELECT user_id, event_id, value FROM events WHERE value < 30 AND ts >= TIMESTAMP '2024-01-05'), u AS (SELECT *, 0 AS r FROM o UNION ALL SELECT *, 1 FROM n), w AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY r DESC, event_id DESC) AS i FROM u) SELECT user_id, event_id, value FROM w WHERE i = 1 AND user_id NOT IN (SELECT user_id FROM events WHERE value > 150)")
 def snk_03(t):
-    e = t.events.select("user_id", "event_id", "value")
+    e = t.events.select("user_id", "event_id", "value", "ts")
     bad = e.filter("value < 30")
-    return op.merge_failures(bad.filter("event_id % 2 = 0"), bad.filter("event_id % 2 = 1"), e.filter("value > 95"), "user_id", "event_id")
+    return op.merge_failures(bad.filter("ts < TIMESTAMP_NTZ '2024-01-05'"), bad.filter("ts >= TIMESTAMP_NTZ '2024-01-05'"), e.filter("value > 150"), "user_id", "event_id").drop("ts")
 
 
 @q("ext_stream_windowed_counts", "SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, event_type, count(*) AS n, floor(avg(value) * 1e6 + 0.5) / 1e6 AS mean FROM events GROUP BY ALL")

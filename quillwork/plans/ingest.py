@@ -136,10 +136,10 @@ _XYZ = "floor(embedding[{i}]::DOUBLE * 1000) / 100"
 def _pdb(t):
     xyz = [F.format_string("%8.3f", F.floor(F.element_at("embedding", i).cast("double") * 1000) / 100) for i in (1, 2, 3)]
     line = F.concat(F.lit("ATOM  "), F.lpad(F.col("vec_id").cast("string"), 5, " "), F.lit("  CA  ALA A"), F.lpad((F.col("vec_id") % 900).cast("string"), 4, " "), F.lit("    "), *xyz, F.lit("  1.00  0.00          "), F.lit(" C"), F.lit(" "))
-    return t.embeddings.filter("vec_id < 99999").select(line.alias("value"))
+    return t.embeddings.select(line.alias("value"))
 
 
-@q("src_20_fixed_width_atoms", f"SELECT vec_id::INT AS serial, 'CA' AS atom, 'ALA' AS residue, (vec_id % 900)::INT AS residue_no, {_XYZ.format(i=1)} AS x, {_XYZ.format(i=2)} AS y, {_XYZ.format(i=3)} AS z FROM embeddings WHERE vec_id < 99999")
+@q("src_20_fixed_width_atoms", f"SELECT vec_id::INT AS serial, 'CA' AS atom, 'ALA' AS residue, (vec_id % 900)::INT AS residue_no, {_XYZ.format(i=1)} AS x, {_XYZ.format(i=2)} AS y, {_XYZ.format(i=3)} AS z FROM embeddings")
 def src_20(t):
     path = reserve(t.spark, "pdb")
     _pdb(t).write.text(path)

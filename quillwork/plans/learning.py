@@ -12,7 +12,7 @@ q = plan.add
 
 
 def _rows(t):
-    return t.embeddings.select("vec_id", (F.col("label") % 2).alias("y"), "label", *(F.element_at("embedding", i + 1).cast("double").alias(f"x{i}") for i in range(8)))
+    return t.embeddings.select("vec_id", (F.col("label") % 2).alias("y"), "label", (F.element_at("embedding", 10) > 0).alias("held"), *(F.element_at("embedding", i + 1).cast("double").alias(f"x{i}") for i in range(8)))
 
 
 @q("ml_01_forest_grouped_cv")
@@ -52,7 +52,8 @@ def ml_05(t):
     from ..operators.joins import overlap_counts
     from ..operators.quality import one_row
 
-    train, test = t.embeddings.filter("vec_id % 5 <> 0"), t.embeddings.filter("vec_id % 5 = 0")
+    held = F.element_at("embedding", 10) > 0
+    train, test = t.embeddings.filter(~held), t.embeddings.filter(held)
     line = F.concat_ws(":", F.col("vec_id").cast("string"), F.col("label").cast("string"))
     frozen = content_hash(train, line).first()["content_hash"]
     disjoint = overlap_counts(train, test, "vec_id").first()["n_both"] == 0
@@ -66,7 +67,7 @@ def ml_06(t):
     from pyspark.ml.functions import vector_to_array
 
     rows = VectorAssembler(inputCols=[f"x{i}" for i in range(8)], outputCol="_x").transform(_rows(t))
-    model = RandomForestClassifier(featuresCol="_x", labelCol="y", numTrees=10, maxDepth=4, seed=42).fit(rows.filter("vec_id % 5 <> 0"))
+    model = RandomForestClassifier(featuresCol="_x", labelCol="y", numTrees=10, maxDepth=4, seed=42).fit(rows.filter("NOT held"))
     return model.transform(rows).select("vec_id", "y", vector_to_array("probability")[1].alias("probability"))
 
 

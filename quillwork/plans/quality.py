@@ -14,10 +14,10 @@ plan = Plan()
 q = plan.add
 
 
-@q("int_02_upstream_hash_table", "SELECT n_nationkey, sha256(n_name) AS expected, sha256(CASE WHEN n_nationkey % 7 = 3 THEN upper(n_name) || '*' ELSE n_name END) AS actual FROM nation WHERE n_nationkey % 7 = 3")
+@q("int_02_upstream_hash_table", "SELECT n_nationkey, sha256(n_name) AS expected, sha256(upper(n_name) || '*') AS actual FROM nation WHERE n_regionkey = 3")
 def int_02(t):
     want = t.nation.select("n_nationkey", F.sha2("n_name", 256).alias("h"))
-    have = t.nation.select("n_nationkey", F.sha2(F.when(F.col("n_nationkey") % 7 == 3, F.concat(F.upper("n_name"), F.lit("*"))).otherwise(F.col("n_name")), 256).alias("h"))
+    have = t.nation.select("n_nationkey", F.sha2(F.when(F.col("n_regionkey") == 3, F.concat(F.upper("n_name"), F.lit("*"))).otherwise(F.col("n_name")), 256).alias("h"))
     return op.mismatches(want, have, "n_nationkey", "h")
 
 
@@ -50,10 +50,10 @@ def int_07(t):
     return op.idempotent(t.plant_index, "scientific_name", fn.species_key)
 
 
-@q("int_08_manifest_check", "SELECT s_suppkey, s_name AS expected, NULL::VARCHAR AS actual FROM supplier WHERE s_suppkey % 50 = 0")
+@q("int_08_manifest_check", "SELECT s_suppkey, s_name AS expected, NULL::VARCHAR AS actual FROM supplier WHERE s_acctbal < 0")
 def int_08(t):
-    s = t.supplier.select("s_suppkey", "s_name")
-    return op.mismatches(s, s.filter("s_suppkey % 50 <> 0"), "s_suppkey", "s_name")
+    s = t.supplier.select("s_suppkey", "s_name", "s_acctbal")
+    return op.mismatches(s, s.filter("s_acctbal >= 0"), "s_suppkey", "s_name")
 
 
 @q("int_01_hash_gate", "SELECT true AS unchanged, 0::BIGINT AS n_changed")
@@ -81,17 +81,17 @@ def cas_07(t):
     return first_seen(a, [F.col("target_chembl_id"), F.col("doc_id")], [F.col("first_activity")])
 
 
-@q("cas_03_evidence_cascade", "WITH known AS (SELECT DISTINCT molregno FROM compound_structures WHERE natural_product = 1), exact AS (SELECT molregno, max(pchembl_value) AS best FROM activities WHERE NOT isnan(pchembl_value) AND molregno IS NOT NULL GROUP BY 1) SELECT s.molregno, CASE WHEN k.molregno IS NOT NULL AND s.molregno % 10 = 0 THEN 'curated' WHEN e.best >= 6 THEN 'strong' WHEN e.best >= 5 THEN 'moderate' WHEN e.best IS NOT NULL THEN 'weak' ELSE 'none' END AS evidence FROM compound_structures s LEFT JOIN known k USING (molregno) LEFT JOIN exact e USING (molregno)")
+@q("cas_03_evidence_cascade", "WITH known AS (SELECT DISTINCT molregno FROM compound_structures WHERE natural_product = 1), exact AS (SELECT molregno, max(pchembl_value) AS best FROM activities WHERE NOT isnan(pchembl_value) AND molregno IS NOT NULL GROUP BY 1) SELECT s.molregno, CASE WHEN k.molregno IS NOT NULL AND s.molecular_weight < 400 THEN 'curated' WHEN e.best >= 6 THEN 'strong' WHEN e.best >= 5 THEN 'moderate' WHEN e.best IS NOT NULL THEN 'weak' ELSE 'none' END AS evidence FROM compound_structures s LEFT JOIN known k USING (molregno) LEFT JOIN exact e USING (molregno)")
 def cas_03(t):
-    s = t.compound_structures.select("molregno", (F.col("natural_product") == 1).alias("known"))
+    s = t.compound_structures.select("molregno", "molecular_weight", (F.col("natural_product") == 1).alias("known"))
     e = t.activities.filter("NOT isnan(pchembl_value) AND molregno IS NOT NULL").groupBy("molregno").agg(F.max("pchembl_value").alias("best"))
-    rule = F.when(F.col("known") & (F.col("molregno") % 10 == 0), "curated").when(F.col("best") >= 6, "strong").when(F.col("best") >= 5, "moderate").when(F.col("best").isNotNull(), "weak").otherwise("none")
+    rule = F.when(F.col("known") & (F.col("molecular_weight") < 400), "curated").when(F.col("best") >= 6, "strong").when(F.col("best") >= 5, "moderate").when(F.col("best").isNotNull(), "weak").otherwise("none")
     return s.join(e, "molregno", "left").select("molregno", rule.alias("evidence"))
 
 
-@q("cas_05_confusion_status", "WITH x AS (SELECT l_orderkey, l_linenumber, l_partkey, (l_discount * 7 + l_tax * 3) >= 0.5 AS p, CASE WHEN l_orderkey % 3 = 0 THEN l_returnflag = 'R' END AS y FROM lineitem) SELECT CASE WHEN y IS NULL THEN 'unlabelled' WHEN p AND y THEN 'TP' WHEN p THEN 'FP' WHEN y THEN 'FN' ELSE 'TN' END AS status, count(*) AS n FROM x GROUP BY 1")
+@q("cas_05_confusion_status", "WITH x AS (SELECT l_orderkey, l_linenumber, l_partkey, (l_discount * 7 + l_tax * 3) >= 0.5 AS p, CASE WHEN l_linestatus = 'F' THEN l_returnflag = 'R' END AS y FROM lineitem) SELECT CASE WHEN y IS NULL THEN 'unlabelled' WHEN p AND y THEN 'TP' WHEN p THEN 'FP' WHEN y THEN 'FN' ELSE 'TN' END AS status, count(*) AS n FROM x GROUP BY 1")
 def cas_05(t):
-    p, y = (F.col("l_discount") * 7 + F.col("l_tax") * 3) >= 0.5, F.when(F.col("l_orderkey") % 3 == 0, F.col("l_returnflag") == "R")
+    p, y = (F.col("l_discount") * 7 + F.col("l_tax") * 3) >= 0.5, F.when(F.col("l_linestatus") == "F", F.col("l_returnflag") == "R")
     x = t.lineitem.select(p.alias("p"), y.alias("y"))
     return x.groupBy(F.when(F.col("y").isNull(), "unlabelled").when(F.col("p") & F.col("y"), "TP").when(F.col("p"), "FP").when(F.col("y"), "FN").otherwise("TN").alias("status")).agg(F.count(F.lit(1)).alias("n"))
 

@@ -13,12 +13,12 @@ from .registry import Plan
 plan = Plan()
 q = plan.add
 
-_BITS = "WITH b AS (SELECT vec_id, label, list_filter(range(len(embedding)), lambda i: embedding[i + 1] > 0) AS s FROM embeddings), p AS (SELECT a.vec_id AS q, r.vec_id AS n, r.label AS y, len(list_intersect(a.s, r.s))::DOUBLE / (len(a.s) + len(r.s) - len(list_intersect(a.s, r.s))) AS sim FROM b a JOIN b r ON {on}), w AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY sim DESC, n) AS i FROM p)"
+_BITS = "WITH b AS (SELECT vec_id, label, embedding[10] > 0 AS held, list_filter(range(len(embedding)), lambda i: embedding[i + 1] > 0) AS s FROM embeddings), p AS (SELECT a.vec_id AS q, r.vec_id AS n, r.label AS y, len(list_intersect(a.s, r.s))::DOUBLE / (len(a.s) + len(r.s) - len(list_intersect(a.s, r.s))) AS sim FROM b a JOIN b r ON {on}), w AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY sim DESC, n) AS i FROM p)"
 
 
 def _bits(t):
     width = len(t.embeddings.select("embedding").first()[0])
-    return t.embeddings.select(F.col("vec_id").alias("id"), "label", op.sign_bits(F.col("embedding")).alias("bits")), width
+    return t.embeddings.select(F.col("vec_id").alias("id"), "label", (F.element_at("embedding", 10) > 0).alias("held"), op.sign_bits(F.col("embedding")).alias("bits")), width
 
 
 @q("joi_17_nn_tanimoto", _BITS.format(on="a.label = 0 AND r.label <> 0") + " SELECT q AS id, n AS nearest, floor(sim * 1e9 + 0.5) / 1e9 AS similarity FROM w WHERE i = 1")
@@ -33,11 +33,11 @@ def joi_18(t):
     return op.nearest(b, b, width, exclude_self=True).select("id", "nearest", flat(F.col("similarity"), 9).alias("similarity"))
 
 
-@q("ml_03_one_nn_classifier", _BITS.format(on="a.vec_id % 5 = 0 AND r.vec_id % 5 <> 0") + " SELECT q AS id, (y % 2)::DOUBLE AS predicted, floor(sim * 1e9 + 0.5) / 1e9 AS similarity FROM w WHERE i = 1")
+@q("ml_03_one_nn_classifier", _BITS.format(on="a.held AND NOT r.held") + " SELECT q AS id, (y % 2)::DOUBLE AS predicted, floor(sim * 1e9 + 0.5) / 1e9 AS similarity FROM w WHERE i = 1")
 def ml_03(t):
     b, width = _bits(t)
     b = b.withColumn("y", F.col("label") % 2)
-    return op.nearest(b.filter("id % 5 = 0"), b.filter("id % 5 <> 0"), width, label="y").select("id", F.col("label").alias("predicted"), flat(F.col("similarity"), 9).alias("similarity"))
+    return op.nearest(b.filter("held"), b.filter("NOT held"), width, label="y").select("id", F.col("label").alias("predicted"), flat(F.col("similarity"), 9).alias("similarity"))
 
 
 @q("sta_14_nn_domain_bins", _BITS.format(on="a.label = 0 AND r.label <> 0") + " SELECT CASE WHEN sim >= 0.5 THEN '>=0.5' WHEN sim >= 0.4 THEN '0.4-0.5' WHEN sim >= 0.3 THEN '0.3-0.4' ELSE '<0.3' END AS bin, count(*) AS n FROM w WHERE i = 1 GROUP BY 1")

@@ -91,9 +91,9 @@ def str_13(t):
     return t.names.filter("name IS NOT NULL").select("record_id", fn.unmatched_class(F.col("name")).alias("kind"))
 
 
-@q("str_14_stereo_free_key", r"""SELECT record_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(translate(translate(lower(trim(name)), '?±+"''', ''), '-', ' '), '\b(alpha|beta|gamma|delta|epsilon|omega)\b', ' ', 'g'), '\b(cis|trans|meso|allo|neo|iso|sec|tert)\b', ' ', 'g'), '\b[0-9]+[a-z]?\b', ' ', 'g'), '\b[ezrsdl]\b', ' ', 'g'), '\bdl\b', ' ', 'g'), '[^a-z0-9]', '', 'g') AS key FROM names WHERE regexp_matches(name, '^[ -~]*$')""")
+@q("str_14_stereo_free_key", r"""SELECT record_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(translate(translate(lower(trim(name)), '?±+"''', ''), '-', ' '), '\b(alpha|beta|gamma|delta|epsilon|omega)\b', ' ', 'g'), '\b(cis|trans|meso|allo|neo|iso|sec|tert)\b', ' ', 'g'), '\b[0-9]+[a-z]?\b', ' ', 'g'), '\b[ezrsdl]\b', ' ', 'g'), '\bdl\b', ' ', 'g'), '[^a-z0-9]', '', 'g') AS key FROM names""")
 def str_14(t):
-    return t.names.filter(F.col("name").rlike(r"^[ -~]*$")).select("record_id", fn.stereo_free(F.col("name")).alias("key"))
+    return t.names.select("record_id", fn.stereo_free(F.col("name")).alias("key"))
 
 
 @q("str_16_bracket_aware_split")
@@ -176,12 +176,12 @@ def str_30(t):
     return t.part.select("p_partkey", F.regexp_replace(F.regexp_replace(F.lower("p_name"), "[^a-z0-9]+", "-"), "^-+|-+$", "").alias("slug"))
 
 
-@q("str_10_resolver", "WITH b AS (SELECT plant_index, scientific_name, string_split_regex(trim(split_part(regexp_replace(scientific_name, '^[.\\s]+', ''), '(', 1)), '\\s+') AS w FROM plant_index) SELECT plant_index, CASE WHEN plant_index % 50 = 0 THEN 'checked by hand' WHEN len(w) >= 2 THEN w[1] || ' ' || w[2] END AS query, plant_index % 50 = 0 AS from_override FROM b")
+@q("str_10_resolver", "WITH b AS (SELECT plant_index, scientific_name, family, string_split_regex(trim(split_part(regexp_replace(scientific_name, '^[.\\s]+', ''), '(', 1)), '\\s+') AS w FROM plant_index) SELECT plant_index, CASE WHEN family IS NULL THEN 'checked by hand' WHEN len(w) >= 2 THEN w[1] || ' ' || w[2] END AS query, family IS NULL AS from_override FROM b")
 def str_10(t):
     from ..operators.joins import override
 
-    p = t.plant_index.select("plant_index", "scientific_name")
-    by_hand = p.filter("plant_index % 50 = 0").select("plant_index", F.lit("checked by hand").alias("query"))
+    p = t.plant_index.select("plant_index", "scientific_name", "family")
+    by_hand = p.filter("family IS NULL").select("plant_index", F.lit("checked by hand").alias("query"))
     return override(p, by_hand, "plant_index", fn.binomial(F.col("scientific_name")), "query").select("plant_index", "query", "from_override")
 
 
