@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import filled, filled_number, filled_or_null, strip_ws
+from ..functions.text import filled, filled_number, filled_or_null, name_key, strip_ws
 from ..session import materialize
 from . import compounds, truth
 from .components import components
@@ -33,6 +33,21 @@ def grouped(structures: DataFrame, bioactivity: DataFrame, trust: DataFrame) ->
     return rows.join(labels, "molregno").join(keyed.select("molregno", "layer"), "molregno").join(ranks, "source", "left").withColumn("trust", F.coalesce("trust", F.lit(0)))
 
 
+def _claims(rows: DataFrame, *carry: str) -> DataFrame:
+    """Every row's filled fields as claims: ``value`` is what votes are counted by, ``spelled`` how the row writes it.
+
+    Names count without letter case, composition and white space differences, weights to two decimals.
+    """
+    by = {f: F.col(f) for f in FIELDS} | {"pref_name": F.col("_name_key"), "molecular_weight": F.round(F.col("molecular_weight").cast("double"), 2).cast("string")}
+    pairs = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), by[f].alias("value"), F.col(f).alias("spelled")) for f in FIELDS))).alias("p")
+    return rows.withColumn("_name_key", name_key(F.col("pref_name"))).select("group", *carry, "source", F.col("loaded_at").alias("at"), pairs).select("group", *carry, "source", "at", "p.field", "p.value", "p.spelled").filter("value IS NOT NULL")
+
+
+def _prior(trust: DataFrame) -> DataFrame:
+    top = trust.agg(F.max("trust")).first()[0] or 1
+    return trust.filter("source_name IS NOT NULL").groupBy(F.lower(strip_ws(F.col("source_name"))).alias("source")).agg((F.max("trust") / F.lit(float(top) * 1.25)).alias("reliability"))
+
+
 def resolve(structures: DataFrame, bioactivity: DataFrame, trust: DataFrame) -> DataFrame:
     """One line for each group of two or more rows.
 
@@ -52,14 +67,15 @@ def resolve(structures: DataFrame, bioactivity: DataFrame, trust: DataFrame) ->
     at_best = (F.col("completeness") == F.col("c")) & F.col("loaded_at").eqNullSafe(F.col("l")) & (F.col("trust") == F.col("t"))
     dominant = rows.join(best, "group").filter(at_best).groupBy("group").agg(F.min("molregno").alias("molregno"))
 
-    pairs = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in FIELDS))).alias("p")
-    claims = rows.select("group", "molregno", "source", F.col("loaded_at").alias("at"), pairs).select("group", "molregno", "source", "at", "p.field", "p.value")
-    top = trust.agg(F.max("trust")).first()[0] or 1
-    prior = trust.filter("source_name IS NOT NULL").groupBy(F.lower(strip_ws(F.col("source_name"))).alias("source")).agg((F.max("trust") / F.lit(float(top) * 1.25)).alias("reliability"))
-    _, support = truth.discover(claims, prior)
+    claims = materialize(_claims(rows, "molregno"), "claims")
+    _, support = truth.discover(claims, _prior(trust))
     support = materialize(support, "support")
 
-    merged = support.filter("wins").groupBy("group").agg(*(F.max(F.when(F.col("field") == f, F.col("value"))).alias(f) for f in FIELDS), F.min("support").alias("least_support"))
+    # A winner comes out as most of its claims spell it, on ties as the latest does.
+    won = claims.join(support.filter("wins").select("group", "field", "value", "support"), ["group", "field", "value"])
+    spelled = won.groupBy("group", "field", "spelled").agg(F.count(F.lit(1)).alias("n"), F.max("at").alias("at"), F.max("support").alias("support"))
+    best_spelling = spelled.groupBy("group", "field").agg(F.max(F.struct("n", "at", "spelled")).alias("s"), F.max("support").alias("support"))
+    merged = best_spelling.groupBy("group").agg(*(F.max(F.when(F.col("field") == f, F.col("s.spelled"))).alias(f) for f in FIELDS), F.min("support").alias("least_support"))
     open_groups = best.join(dominant, "group", "left_anti").select("group")
     backed = claims.join(open_groups, "group", "left_semi").join(support.select("group", "field", "value", "support"), ["group", "field", "value"], "left").groupBy("group", "molregno").agg(F.sum(F.coalesce("support", F.lit(0.0))).alias("s"))
     backed = backed.groupBy("group").agg(F.max(F.struct(F.round("s", 9).alias("s"), (-F.col("molregno")).alias("m"))).alias("b")).select("group", (-F.col("b.m")).alias("molregno"))
@@ -70,8 +86,4 @@ def resolve(structures: DataFrame, bioactivity: DataFrame, trust: DataFrame) ->
 def reliability_table(structures: DataFrame, bioactivity: DataFrame, trust: DataFrame) -> DataFrame:
     """The reliabilities alone, for profiling sources."""
     rows = materialize(grouped(structures, bioactivity, trust), "grouped")
-    pairs = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in FIELDS))).alias("p")
-    claims = rows.select("group", "source", F.col("loaded_at").alias("at"), pairs).select("group", "source", "at", "p.field", "p.value")
-    top = trust.agg(F.max("trust")).first()[0] or 1
-    prior = trust.filter("source_name IS NOT NULL").groupBy(F.lower(strip_ws(F.col("source_name"))).alias("source")).agg((F.max("trust") / F.lit(float(top) * 1.25)).alias("reliability"))
-    return truth.discover(claims, prior)[0]
+    return truth.discover(_claims(rows), _prior(trust))[0]

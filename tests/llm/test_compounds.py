@@ -45,6 +45,12 @@ def test_survivors(spark):
     assert out[2].pref_name == "x" and out[2].molecular_weight == "1.0"
 
 
+def test_spellings_vote_together(spark):
+    rows = [row(1, "Rutin ", key=K1, src="good", at=T[0]), row(2, "RUTIN", key=K1, src="good", at=T[1]), row(3, "rutin", key=K1, src="good", at=T[2]), row(4, "rutin", key=K1, src="bad", at=T[0]), row(5, "other", key=K1, src="good", at=T[4]), row(6, "other", key=K1, src="good", at=T[4])]
+    (r,) = survivors.resolve(*frames(spark, rows)).collect()
+    assert r.pref_name == "rutin" and r.molregno == 5 and r.rule == "dominant"
+
+
 def test_survivors_empty(spark):
     assert survivors.resolve(*frames(spark, [])).count() == 0
     assert survivors.resolve(*frames(spark, [row(1), row(2)], trust=())).count() == 0
