@@ -91,7 +91,7 @@ def str_13(t):
     return t.names.filter("name IS NOT NULL").select("record_id", fn.unmatched_class(F.col("name")).alias("kind"))
 
 
-@q("str_14_stereo_free_key", r"""SELECT record_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(translate(translate(lower(trim(name)), '?±+"''', ''), '-', ' '), '\b(alpha|beta|gamma|delta|epsilon|omega)\b', ' ', 'g'), '\b(cis|trans|meso|allo|neo|iso|sec|tert)\b', ' ', 'g'), '\b[0-9]+[a-z]?\b', ' ', 'g'), '\b[ezrsdl]\b', ' ', 'g'), '\bdl\b', ' ', 'g'), '[^a-z0-9]', '', 'g') AS key FROM names""")
+@q("str_14_stereo_free_key", r"""SELECT record_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(translate(translate(lower(trim(nfc_normalize(name))), '?±+"''', ''), '-', ' '), '\b(alpha|beta|gamma|delta|epsilon|omega)\b', ' ', 'g'), '\b(cis|trans|meso|allo|neo|iso|sec|tert)\b', ' ', 'g'), '\b[0-9]+[a-z]?\b', ' ', 'g'), '\b[ezrsdl]\b', ' ', 'g'), '\bdl\b', ' ', 'g'), '[^a-z0-9]', '', 'g') AS key FROM names""")
 def str_14(t):
     return t.names.select("record_id", fn.stereo_free(F.col("name")).alias("key"))
 
