@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..session import table
 from . import mixture, reading
 
-#: Level from which a document is looked at closely; the rule's demanding documents have grades of 3 and 4.
+#: Level that demanding documents are expected to reach where scores follow the rule; nothing is left out by it.
 LOOK = 1.0
 
 
@@ -42,9 +42,8 @@ def p8_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Demanding English documents: a level that calls for a look, then the exact rule."""
-    near = p8_levels(spark, sf_dir).filter(F.col("level") >= LOOK)
-    return near.filter((F.col("language") == "en") & (F.col("n_words") >= 50) & (F.col("n_words") > 22 * F.col("n_sentences")) & (4 * F.col("n_long") > F.col("n_words"))).select("doc_id")
+    """Demanding English documents: the exact rule on every document, whatever its level, as no level follows from the rule."""
+    return p8_levels(spark, sf_dir).filter((F.col("language") == "en") & (F.col("n_words") >= 50) & (F.col("n_words") > 22 * F.col("n_sentences")) & (4 * F.col("n_long") > F.col("n_words"))).select("doc_id")
 
 
 _P8 = r"""

@@ -155,6 +155,18 @@ def test_found(spark, sf):
     check(q_documents.p8_found(spark, sf), connect(sf), q_documents.SQL["p8_found"])
 
 
+def test_found_whatever_the_level(spark, tmp_path):
+    def sentence(n, n_long):
+        return ("W" + " ".join(["ordinaryword"] * n_long + ["plain"] * (n - n_long))[1:]) + ". "
+
+    docs = [(i, sentence(6, 1 + i % 5) * 12, "en") for i in range(40)] + [(100 + i, sentence(8 + i % 5, 1) * 8, "en") for i in range(40)]
+    docs += [(200 + i, sentence(24 + i % 3, 7) * 4, "en") for i in range(10)] + [(300, "plain " * 200_000, "en")]
+    spark.createDataFrame(docs, "doc_id bigint, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    levels = {r.doc_id: r.level for r in q_documents.p8_levels(spark, str(tmp_path)).collect()}
+    assert min(levels[200 + i] for i in range(10)) < q_documents.LOOK
+    assert {r.doc_id for r in q_documents.p8_found(spark, str(tmp_path)).collect()} == {200 + i for i in range(10)}
+
+
 def test_unreachable_sources(spark, sf):
     from quillwork.session import table
 
