@@ -6,9 +6,14 @@ then running totals by ranges; no task sorts the whole table.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import forget, materialize
 from .prefix import running_total
 
 
@@ -104,3 +109,76 @@ def bootstrap(df: DataFrame, means: dict[str, tuple[str, str | None]], n: int =
     w = poisson_weight(seed, F.col("_b"), *ids)
     per = draws.withColumn("_w", w).filter("_w > 0").groupBy(*within, "_b").agg(*((F.sum(F.when(F.col(v).isNotNull() & (F.col(c) if c else F.lit(True)), F.col("_w") * F.col(v))) / F.sum(F.when(F.col(v).isNotNull() & (F.col(c) if c else F.lit(True)), F.col("_w")))).alias(name) for name, (v, c) in means.items()))
     return per.groupBy(*within).agg(F.count(F.lit(1)).alias("n_draws"), *(x for name in means for x in (F.percentile(name, F.lit(0.025)).alias(f"{name}_lo"), F.percentile(name, F.lit(0.975)).alias(f"{name}_hi"))))
+
+
+#: Distinct scores whose resampled counts are held at a time.
+SCORE_CHUNK = 1_000
+
+
+def _resampled(pdf: pd.DataFrame, n: int, seed: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Scores from the highest down, with the positives and negatives at each in every one of ``n`` resamples.
+
+    The sum of k independent Poisson(1) counts is a Poisson(k) count, so one draw stands for all rows of a score and label.
+    """
+    pdf = pdf.sort_values("s", ascending=False, na_position="first")
+    for at in range(0, len(pdf), SCORE_CHUNK):
+        part = pdf.iloc[at : at + SCORE_CHUNK]
+        pos, neg = np.empty((len(part), n)), np.empty((len(part), n))
+        for i, (h, p, m) in enumerate(zip(part["h"].to_numpy("int64").view("uint64"), part["pos"], part["neg"])):
+            rng = np.random.Generator(np.random.Philox(key=np.array([seed, h], "uint64")))
+            pos[i], neg[i] = rng.poisson(p, n), rng.poisson(m, n)
+        yield part["s"].to_numpy(float), pos, neg
+
+
+def bootstrap_ranking(df: DataFrame, score: str, label: str, n: int = 1000, seed: int = 42) -> DataFrame:
+    """AUROC, average precision and Brier score, each with its 95 percent percentile interval over ``n`` resamples.
+
+    Resamples of a single class are skipped; ``n_draws`` counts the others, and without any the
+    intervals are NULL. Counts by score are range partitioned from the highest score down;
+    every partition adds its part of all resamples, so only sums of partitions reach the driver.
+    Rows with NULL score or label are out.
+    """
+    spark = df.sparkSession
+    lines = score_counts(df, score, label).withColumn("s", F.col("s").cast("double")).withColumn("h", F.xxhash64("s"))
+    laid = materialize(lines.repartitionByRange(max(2, spark.sparkContext.defaultParallelism), F.col("s").desc()).withColumn("pid", F.spark_partition_id()), "scores")
+
+    def totals(pdf: pd.DataFrame) -> pd.DataFrame:
+        pos, neg = np.zeros(n), np.zeros(n)
+        for _, p, m in _resampled(pdf, n, seed):
+            pos += p.sum(0)
+            neg += m.sum(0)
+        return pd.DataFrame({"pid": [pdf["pid"].iloc[0]], "pos": [pos], "neg": [neg]})
+
+    sums = sorted(laid.groupBy("pid").applyInPandas(totals, "pid int, pos array<double>, neg array<double>").collect())  # one line a partition
+    start, tp, fp = {}, np.zeros(n), np.zeros(n)
+    for r in sums:
+        start[r["pid"]] = (tp, fp)
+        tp, fp = tp + np.array(r["pos"]), fp + np.array(r["neg"])
+    before = spark.sparkContext.broadcast(start)
+
+    def parts(pdf: pd.DataFrame) -> pd.DataFrame:
+        tp, fp = before.value[pdf["pid"].iloc[0]]
+        wins, steps, squares = np.zeros(n), np.zeros(n), np.zeros(n)
+        for s, p, m in _resampled(pdf, n, seed):
+            tps, fps = tp + p.cumsum(0), fp + m.cumsum(0)
+            wins += (m * (tps - p / 2)).sum(0)
+            steps += (p * tps / np.maximum(tps + fps, 1)).sum(0)
+            squares += ((1 - s[:, None]) ** 2 * p + s[:, None] ** 2 * m).sum(0)
+            tp, fp = tps[-1], fps[-1]
+        return pd.DataFrame({"wins": [wins], "steps": [steps], "squares": [squares]})
+
+    rows = laid.groupBy("pid").applyInPandas(parts, "wins array<double>, steps array<double>, squares array<double>").collect()
+    both = (tp > 0) & (fp > 0)
+    wins, steps, squares = (np.sum([r[c] for r in rows], axis=0)[both] if rows else np.zeros(0) for c in ("wins", "steps", "squares"))
+    tp, fp = tp[both], fp[both]
+    forget(laid)
+    seen = {
+        "auroc": (auroc(df, score, label).first()["auroc"], wins / (tp * fp)),
+        "average_precision": (average_precision(df, score, label).first()["average_precision"], steps / tp),
+        "brier": (brier(df.filter(F.col(score).isNotNull() & F.col(label).isNotNull()), score, label).first()["brier"], squares / (tp + fp)),
+    }
+    out, kinds = [int(both.sum())], ["n_draws bigint"]
+    for name, (value, draws) in seen.items():
+        out += [value, *(map(float, np.percentile(draws, [2.5, 97.5])) if len(draws) else (None, None))]
+        kinds += [f"{name} double", f"{name}_lo double", f"{name}_hi double"]
+    return spark.createDataFrame([tuple(out)], ", ".join(kinds))

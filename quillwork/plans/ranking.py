@@ -187,7 +187,7 @@ def smp_04(t):
 def smp_05(t):
     from ..operators.metrics import bootstrap
 
-    return bootstrap(t.events, {"mean_value": ("value", None)}, n=200, seed=42)
+    return bootstrap(t.events, {"mean_value": ("value", None)}, seed=42)
 
 
 QUERIES, SQL = plan.queries, plan.sql

@@ -100,7 +100,7 @@ def sta_14(t):
 
 @q("sta_15_bootstrap_interval")
 def sta_15(t):
-    return metrics.bootstrap(_scored(t).withColumn("e", (F.col("s") - F.col("y")) * (F.col("s") - F.col("y"))), {"brier": ("e", None)}, n=100, seed=7)
+    return metrics.bootstrap_ranking(_scored(t), "s", "y", seed=7)
 
 
 @q("sta_16_domain_summary", f"SELECT p_brand, count(*) AS n, {_fl('count(*) FILTER (WHERE p_size >= 30) * 100.0::DOUBLE / count(*)', 4)} AS pct_in, {_fl('count(*) FILTER (WHERE p_size BETWEEN 15 AND 29) * 100.0::DOUBLE / count(*)', 4)} AS pct_near, {_fl('avg(p_size)', 4)} AS mean_size FROM part GROUP BY 1")
@@ -111,7 +111,7 @@ def sta_16(t):
 
 @q("sta_17_permutation_test")
 def sta_17(t):
-    return stats.permutation(t.customer, "c_acctbal", "c_mktsegment", "BUILDING", "MACHINERY", ["c_custkey"], n=500)
+    return stats.permutation(t.customer, "c_acctbal", "c_mktsegment", "BUILDING", "MACHINERY", ["c_custkey"])
 
 
 @q("sta_04_rank_biserial", f"WITH r AS (SELECT o_orderstatus AS g, {_RANK.format(x='o_totalprice')} AS r FROM orders WHERE o_orderstatus IN ('F', 'O')), u AS (SELECT count(*) FILTER (WHERE g = 'F')::DOUBLE AS n1, count(*) FILTER (WHERE g = 'O')::DOUBLE AS n2, sum(r) FILTER (WHERE g = 'F') AS s FROM r) SELECT {_fl('1 - 2 * (s - n1 * (n1 + 1) / 2) / (n1 * n2)', 8)} AS rank_biserial FROM u")

@@ -96,6 +96,40 @@ def test_bootstrap_is_poisson(spark):
     assert 0.45 < r.m_lo < 0.5 < r.m_hi < 0.55 and r.n_draws == 100
 
 
+def test_bootstrap_of_rank_metrics(spark, monkeypatch):
+    monkeypatch.setattr(metrics, "SCORE_CHUNK", 3)
+    rng = np.random.default_rng(1)
+    rows = [(float(s), int(rng.random() < s)) for s in rng.integers(0, 40, 400) / 40]
+    df = spark.createDataFrame([*rows, (None, 1), (0.5, None)], "s double, y int")
+    r = metrics.bootstrap_ranking(df, "s", "y").first()
+    assert r.n_draws == 1000
+
+    def rank_metrics(s, y):
+        pos, neg = s[y == 1], s[y == 0]
+        at = [(s >= x).sum() for x in pos], [(pos >= x).sum() for x in pos]
+        return np.mean((pos[:, None] > neg) + (pos[:, None] == neg) / 2), np.mean(np.array(at[1]) / at[0]), np.mean((s - y) ** 2)
+
+    s, y = (np.array(c) for c in zip(*rows))
+    assert (r.auroc, r.average_precision, r.brier) == pytest.approx(rank_metrics(s, y))
+    draws = np.array([rank_metrics(s[i], y[i]) for i in (rng.integers(0, 400, 400) for _ in range(1000))])
+    lo, hi = np.percentile(draws, [2.5, 97.5], axis=0)
+    width = hi - lo
+    assert np.all(np.abs(lo - [r.auroc_lo, r.average_precision_lo, r.brier_lo]) < 0.15 * width)
+    assert np.all(np.abs(hi - [r.auroc_hi, r.average_precision_hi, r.brier_hi]) < 0.15 * width)
+    few = metrics.bootstrap_ranking(spark.createDataFrame([(0.1, 0), (0.9, 1)], "s double, y int"), "s", "y").first()
+    assert 300 < few.n_draws < 500 and few.auroc_lo == 1.0  # both rows drawn: (1 - 1/e)^2 of the resamples
+    one = metrics.bootstrap_ranking(df.filter("y = 1"), "s", "y").first()
+    assert one.n_draws == 0 and one.auroc is None and one.auroc_lo is None
+
+
+def test_draws_of_the_queries(spark, sf):
+    from quillwork.plans import ranking, statistics
+
+    assert statistics.QUERIES["sta_17_permutation_test"](spark, sf).first().n_draws == 10_000
+    assert statistics.QUERIES["sta_15_bootstrap_interval"](spark, sf).first().n_draws == 1_000
+    assert ranking.QUERIES["smp_05_bootstrap_mean"](spark, sf).first().n_draws == 1_000
+
+
 def test_stats_edges(spark):
     df = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("b", 3.0), ("b", 4.0)], "g string, v double")
     m = stats.mann_whitney(df, "v", "g", "a", "b").first()
