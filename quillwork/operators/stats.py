@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import numerics
-from .prefix import value_ranks
+from .prefix import running_total, value_ranks
 
 
 def _with_rank(df: DataFrame, value: str) -> DataFrame:
@@ -82,3 +82,22 @@ def permutation(df: DataFrame, value: str, group: str, first, second, ids: list[
     draws = d.select(*ids, "v", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("b")).groupBy("b").agg((F.avg(F.when(side, F.col("v"))) - F.avg(F.when(~side, F.col("v")))).alias("d"))
     r = draws.agg(F.count("d").alias("n"), F.sum(F.when(F.abs("d") >= far - 1e-12, 1).otherwise(0)).alias("k")).first()
     return df.sparkSession.createDataFrame([(seen["a"] - seen["b"], r["n"], (1 + (r["k"] or 0)) / (1 + r["n"]))], "difference double, n_draws bigint, p double")
+
+
+def top_share(df: DataFrame, score: str, key: str, marked: Column, percent: int = 5) -> DataFrame:
+    """Hypergeometric test of the ``percent`` of rows with the highest scores, rounded up: one row with ``n``, ``marked``, ``drawn``, ``found`` and ``p`` (at least as many found).
+
+    Equal scores enter by ``key``, which is unique; NULL scores come last.
+    """
+    rows = df.select(F.col(score).alias("s"), F.col(key).alias("k"), F.when(marked, 1).otherwise(0).alias("m"))
+    counts = rows.groupBy("s").agg(F.count(F.lit(1)).alias("c"), F.sum("m").alias("m"))
+    total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.coalesce(F.sum("m"), F.lit(0)).alias("k")).first()
+    n, k = total["n"], total["k"]
+    drawn = -(-n * percent // 100)
+    ahead = running_total(counts, "s", "c", descending=True)
+    found = ahead.filter(F.col("before") + F.col("c") <= drawn).agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0]
+    edge = ahead.filter((F.col("before") < drawn) & (F.col("before") + F.col("c") > drawn)).first()  # the score that enters in part
+    if edge is not None:
+        tied = running_total(rows.filter(F.col("s").eqNullSafe(F.lit(edge["s"]))).select("k", "m", F.lit(1).alias("c")), "k", "c")
+        found += tied.filter(F.col("before") < drawn - edge["before"]).agg(F.sum("m")).first()[0]
+    return df.sparkSession.createDataFrame([(n, k, drawn, found, numerics.hypergeom_sf(found, n, k, drawn) if n else None)], "n bigint, marked bigint, drawn bigint, found bigint, p double")

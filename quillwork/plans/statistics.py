@@ -50,11 +50,7 @@ def sta_05(t):
 
 @q("sta_07_hypergeometric")
 def sta_07(t):
-    from ..functions.numerics import hypergeom_sf
-
-    r = t.orders.agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("o_orderpriority") == "1-URGENT", 1).otherwise(0)).alias("k")).first()
-    top = t.orders.orderBy(F.desc("o_totalprice"), "o_orderkey").limit(100).filter("o_orderpriority = '1-URGENT'").count()
-    return t.spark.createDataFrame([(r["n"], r["k"], 100, top, hypergeom_sf(top, r["n"], r["k"], 100))], "n bigint, marked bigint, drawn int, found bigint, p double")
+    return stats.top_share(t.orders, "o_totalprice", "o_orderkey", F.col("o_orderpriority") == "1-URGENT")
 
 
 @q("sta_08_recovery_enrichment", f"WITH c AS (SELECT s, sum(y) AS pos, count(*) AS b FROM {_SCORED} GROUP BY 1), r AS (SELECT pos, b, coalesce(sum(b) OVER (ORDER BY s DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(b) OVER () AS n, sum(pos) OVER () AS p FROM c) SELECT share, max(n)::BIGINT AS n, max(p)::BIGINT AS n_pos, sum(CASE WHEN before < ceil(n * share) THEN pos ELSE 0 END)::BIGINT AS found, {_fl('sum(CASE WHEN before < ceil(n * share) THEN pos ELSE 0 END)::DOUBLE / max(p) / share')} AS enrichment FROM r, (VALUES (0.01::DOUBLE), (0.05::DOUBLE)) v(share) GROUP BY share")

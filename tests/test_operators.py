@@ -130,6 +130,20 @@ def test_draws_of_the_queries(spark, sf):
     assert ranking.QUERIES["smp_05_bootstrap_mean"](spark, sf).first().n_draws == 1_000
 
 
+def test_share_of_the_ranking_is_drawn(spark, sf):
+    from quillwork.functions.numerics import hypergeom_sf
+    from quillwork.plans.statistics import QUERIES
+
+    df = spark.createDataFrame([(i, None if i == 0 else float(min(i, 130)), i in (131, 135, 139, 5)) for i in range(140)], "id int, v double, m boolean")
+    r = stats.top_share(df, "v", "id", F.col("m")).first()  # 130 to 139 share the highest value, seven of them are drawn
+    assert tuple(r)[:4] == (140, 4, 7, 2) and r.p == hypergeom_sf(2, 140, 4, 7)
+    assert tuple(stats.top_share(df.filter("v > 1e9"), "v", "id", F.col("m")).first())[:4] == (0, 0, 0, 0)
+    o = spark.read.parquet(f"{sf}/orders.parquet").toPandas().sort_values(["o_totalprice", "o_orderkey"], ascending=[False, True])
+    top = o.head(-(-len(o) // 20))
+    r = QUERIES["sta_07_hypergeometric"](spark, sf).first()
+    assert (r.n, r.drawn, r.found) == (len(o), len(top), (top.o_orderpriority == "1-URGENT").sum())
+
+
 def test_stats_edges(spark):
     df = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("b", 3.0), ("b", 4.0)], "g string, v double")
     m = stats.mann_whitney(df, "v", "g", "a", "b").first()
