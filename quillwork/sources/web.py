@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import materialize
+
 #: Path words that point to a detail page, and routes that never are one.
 DETAIL_WORDS = ("plant", "plants", "phytochemical", "phytochemicals", "compound", "compounds", "species", "detail", "details")
 OTHER_ROUTES = ("/admin/", "/login", "/register", "/search", "/about", "/contact", "/feedback", "/robots.txt", "/sitemap")
@@ -77,21 +79,22 @@ def sitemap_urls(docs: DataFrame, xml: str = "xml") -> DataFrame:
     return docs.select("*", kind.alias("kind"), F.explode(locs).alias("loc"))
 
 
-def expand_sitemaps(docs: DataFrame, roots: list[str], max_depth: int = 10) -> DataFrame:
+def expand_sitemaps(docs: DataFrame, roots: list[str], max_depth: int = 1_000) -> DataFrame:
     """All page addresses reached from the root maps through index maps; ``docs`` has ``url`` and ``xml``.
 
-    Maps already visited are not read again, so circular indexes end; depth is bounded.
+    Maps already visited are not read again, so circular indexes end. Maps that are still
+    unread after ``max_depth`` levels are an error.
     """
     spark = docs.sparkSession
-    listed = sitemap_urls(docs).select("url", "kind", "loc")
+    listed = materialize(sitemap_urls(docs).select("url", "kind", "loc"), "listed")
     frontier = spark.createDataFrame([(r,) for r in roots], "url string").distinct()
-    visited, pages = frontier, None
+    visited = frontier
     for _ in range(max_depth):
-        hit = listed.join(frontier, "url", "left_semi")
-        found = hit.filter("kind = 'urlset'").select("loc")
-        pages = found if pages is None else pages.unionByName(found)
-        frontier = hit.filter("kind = 'index'").select(F.col("loc").alias("url")).distinct().join(visited, "url", "left_anti")
+        hit = listed.filter("kind = 'index'").join(frontier, "url", "left_semi")
+        frontier = materialize(hit.select(F.col("loc").alias("url")).distinct().join(visited, "url", "left_anti"), "frontier")
         if frontier.isEmpty():
             break
         visited = visited.unionByName(frontier)
-    return pages.distinct()
+    else:
+        raise RuntimeError(f"site maps nested deeper than {max_depth} levels")
+    return listed.filter("kind = 'urlset'").join(visited, "url", "left_semi").select("loc").distinct()
