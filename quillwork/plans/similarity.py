@@ -104,7 +104,7 @@ def _fingerprints(t):
 
 @q("ml_12_circular_fingerprint")
 def ml_12(t):
-    return _fingerprints(t).select("id", F.size("bits").alias("n_bits"), F.array_join(F.slice(F.transform("bits", lambda b: b.cast("string")), 1, 5), ",").alias("first_bits"))
+    return _fingerprints(t).select("id", F.size("bits").alias("n_bits"), F.array_join(F.transform(F.array_sort("bits"), lambda b: b.cast("string")), ",").alias("bits"))
 
 
 @q("ml_12_structure_neighbours")
