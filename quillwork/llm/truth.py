@@ -47,6 +47,8 @@ def reliabilities(votes: DataFrame, prior: DataFrame) -> DataFrame:
         moved = now.agg(F.max("moved")).first()[0]
         if moved is None or moved < TOLERANCE:
             break
+    else:
+        raise RuntimeError(f"reliabilities still move by {moved} after {MAX_ROUNDS} rounds")
     forget(flat)
     return now.select("source", "reliability")
 

@@ -80,6 +80,14 @@ def test_truth_beats_majority(spark):
     assert right > majority and right > 270
 
 
+def test_unfinished_truth_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(truth, "MAX_ROUNDS", 1)
+    claims = spark.createDataFrame([("g", "f", v, s, 1) for v, s in (("x", "a"), ("x", "b"), ("y", "c"))], "group string, field string, value string, source string, at int")
+    prior = spark.createDataFrame([("a", 0.5), ("b", 0.4), ("c", 0.3)], "source string, reliability double")
+    with pytest.raises(RuntimeError):
+        truth.discover(claims, prior)
+
+
 def test_truth_matches_plain_rounds(spark):
     claims, raw = _claims(spark, 60, 1)
     prior = {s: 0.6 for s in "abcd"}
