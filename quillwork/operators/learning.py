@@ -43,20 +43,28 @@ def class_weights(rows: DataFrame, label: str) -> DataFrame:
 
 
 def forest_cv(rows: DataFrame, features: list[str], label: str, group: str, grid: list[dict], k: int = 5, seed: int = 42) -> DataFrame:
-    """Mean AUROC and average precision of each grid point over grouped folds: ``point``, ``auroc``, ``average_precision``, ``chosen`` (best mean average precision, the first on ties)."""
+    """Mean AUROC and average precision of each grid point over grouped folds: ``point``, ``auroc``, ``average_precision``, ``chosen`` (best mean average precision, the first on ties), ``n_invalid``.
+
+    Rows with a NULL or NaN feature or a NULL label are in no fold; ``n_invalid`` counts them.
+    """
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
     from ..session import materialize
 
-    data = VectorAssembler(inputCols=features, outputCol="_x", handleInvalid="skip").transform(group_folds(rows, group, label, k, seed))
+    data = VectorAssembler(inputCols=features, outputCol="_x", handleInvalid="skip").transform(rows.filter(F.col(label).isNotNull()))
+    data = group_folds(data, group, label, k, seed)
     data = materialize(class_weights(data.select("_x", F.col(label).cast("double").alias("_y"), "fold"), "_y"), "folds")
+    n_invalid = rows.count() - data.count()
+    parts = rows.sparkSession.sparkContext.defaultParallelism  # a small table is one partition, deep trees are much work
     out = []
     for i, point in enumerate(grid):
         scores = []
         for f in range(k):
-            model = RandomForestClassifier(featuresCol="_x", labelCol="_y", weightCol="weight", seed=seed, **point).fit(data.filter(F.col("fold") != f))
+            train = data.filter(F.col("fold") != f).repartition(parts).persist()  # a fit of deep trees reads it often
+            model = RandomForestClassifier(featuresCol="_x", labelCol="_y", weightCol="weight", seed=seed, cacheNodeIds=True, **point).fit(train)
+            train.unpersist()
             s = model.transform(data.filter(F.col("fold") == f)).select("_y", F.round(vector_to_array("probability")[1], 9).alias("s"))
             s = materialize(s, "scores")
             a, p = auroc(s, "s", "_y").first()["auroc"], average_precision(s, "s", "_y").first()["average_precision"]
@@ -65,7 +73,7 @@ def forest_cv(rows: DataFrame, features: list[str], label: str, group: str, grid
         mean = np.mean(scores, axis=0) if scores else (float("nan"), float("nan"))
         out.append((i, str(point), float(mean[0]), float(mean[1])))
     best = max(range(len(out)), key=lambda i: (out[i][3], -i))
-    return rows.sparkSession.createDataFrame([(*o, i == best) for i, o in enumerate(out)], "point int, parameters string, auroc double, average_precision double, chosen boolean")
+    return rows.sparkSession.createDataFrame([(*o, i == best, n_invalid) for i, o in enumerate(out)], "point int, parameters string, auroc double, average_precision double, chosen boolean, n_invalid bigint")
 
 
 def principal_components(rows: DataFrame, vec: str, k: int = 2, keep: tuple[str, ...] = ()) -> DataFrame:

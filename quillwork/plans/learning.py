@@ -11,14 +11,22 @@ plan = Plan()
 q = plan.add
 
 
+#: Members of a vector, each a feature.
+WIDTH = 64
+FEATURES = [f"x{i}" for i in range(WIDTH)]
+#: The surveyed grid; trees grow as deep as Spark lets them.
+GRID = [{"numTrees": n, "featureSubsetStrategy": m, "maxDepth": 30} for n in (300, 600) for m in ("sqrt", "0.1")]
+
+
 def _rows(t):
-    return t.embeddings.select("vec_id", (F.col("label") % 2).alias("y"), "label", (F.element_at("embedding", 10) > 0).alias("held"), *(F.element_at("embedding", i + 1).cast("double").alias(f"x{i}") for i in range(8)))
+    return t.embeddings.select("vec_id", "embedding", (F.col("label") % 2).alias("y"), "label", (F.element_at("embedding", 10) > 0).alias("held"), *(F.element_at("embedding", i + 1).cast("double").alias(f) for i, f in enumerate(FEATURES)))
 
 
 @q("ml_01_forest_grouped_cv")
 def ml_01(t):
+    # the table has no scaffolds, so hashes stand for groups
     rows = _rows(t).withColumn("grp", F.pmod(F.xxhash64("vec_id"), F.lit(40)))
-    return op.forest_cv(rows, [f"x{i}" for i in range(8)], "y", "grp", [{"numTrees": 10, "maxDepth": d} for d in (3, 6)], k=3)
+    return op.forest_cv(rows, FEATURES, "y", "grp", GRID)
 
 
 @q("ml_02_group_folds")
@@ -66,9 +74,20 @@ def ml_06(t):
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
-    rows = VectorAssembler(inputCols=[f"x{i}" for i in range(8)], outputCol="_x").transform(_rows(t))
-    model = RandomForestClassifier(featuresCol="_x", labelCol="y", numTrees=10, maxDepth=4, seed=42).fit(rows.filter("NOT held"))
-    return model.transform(rows).select("vec_id", "y", vector_to_array("probability")[1].alias("probability"))
+    from ..operators.similarity import nearest, sign_bits
+    from ..session import materialize
+
+    # every row comes out: without a whole vector the probability is NULL, without a vector the similarity too
+    rows = _rows(t)
+    whole = VectorAssembler(inputCols=FEATURES, outputCol="_x", handleInvalid="skip").transform(rows)
+    train = materialize(op.class_weights(whole.filter("NOT held AND y IS NOT NULL").select("_x", F.col("y").cast("double").alias("y")), "y"), "train")
+    train = train.repartition(t.spark.sparkContext.defaultParallelism).persist()  # a fit of deep trees reads it often
+    model = RandomForestClassifier(featuresCol="_x", labelCol="y", weightCol="weight", seed=42, cacheNodeIds=True, **GRID[0]).fit(train)
+    train.unpersist()
+    scored = model.transform(whole).select("vec_id", vector_to_array("probability")[1].alias("probability"))
+    bits = rows.select("vec_id", "held", sign_bits(F.col("embedding")).alias("bits"))
+    near = nearest(bits, bits.filter("NOT held"), WIDTH, key="vec_id").select("vec_id", "nearest", "similarity")
+    return rows.select("vec_id", "y").join(scored, "vec_id", "left").join(near, "vec_id", "left")
 
 
 QUERIES, SQL = plan.queries, plan.sql
