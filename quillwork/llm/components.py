@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..session import forget, materialize
@@ -31,8 +31,7 @@ def components(edges: DataFrame) -> DataFrame:
     first = materialize(edges.join(shared, "entity"), "edges")
     forget(given)
     edges = first.select("node", "entity")
-    labels = materialize(first.groupBy("node").agg(F.min("m").alias("label")), "labels")
-    total = _sum(labels)
+    labels, total = _written(first.groupBy("node").agg(F.min("m").alias("label")))
     for _ in range(MAX_ROUNDS):
         if total is None:
             break
@@ -40,10 +39,11 @@ def components(edges: DataFrame) -> DataFrame:
         near = edges.join(best, "entity").groupBy("node").agg(F.min("m").alias("label"))
         near = materialize(near, "near")
         hop = near.select(F.col("node").alias("via"), F.col("label").alias("beyond"))
-        fresh = materialize(near.join(hop, F.col("label") == F.col("via"), "left").select("node", F.least("label", F.coalesce("beyond", "label")).alias("label")), "labels")
+        before = total
+        fresh, total = _written(near.join(hop, F.col("label") == F.col("via"), "left").select("node", F.least("label", F.coalesce("beyond", "label")).alias("label")))
         forget(near)
         forget(labels)
-        labels, before, total = fresh, total, _sum(fresh)
+        labels = fresh
         if total == before:
             break
     else:
@@ -52,5 +52,8 @@ def components(edges: DataFrame) -> DataFrame:
     return labels
 
 
-def _sum(labels: DataFrame):
-    return labels.agg(F.sum(F.col("label").cast("decimal(38,0)"))).first()[0]
+def _written(labels: DataFrame):
+    """The labels as a table, and their sum, which the job that writes them brings along."""
+    seen = Observation()
+    out = materialize(labels.observe(seen, F.sum(F.col("label").cast("decimal(38,0)")).alias("total")), "labels")
+    return out, seen.get["total"]

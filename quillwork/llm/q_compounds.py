@@ -24,8 +24,8 @@ def p2_reliability(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Groups whose survivor dominates all their rows."""
-    return p2_survivors(spark, sf_dir).filter("rule = 'dominant'").select(F.col("layer").alias("inchikey_connectivity"), "molregno")
+    """Groups whose survivor has all the support: completeness, recency and trust elect the same row."""
+    return survivors.elect(*_three(spark, sf_dir)).survivors.filter("rule = 'dominant'").select(F.col("layer").alias("inchikey_connectivity"), "molregno")
 
 
 def _related(spark, d):

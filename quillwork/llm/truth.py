@@ -13,14 +13,15 @@ patterns with their multiplicities; the claims are read once before and once aft
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import forget, materialize
 
 TOLERANCE = 1e-4
-MAX_ROUNDS = 40
+#: Rounds after which unfinished estimates are an error.
+MAX_ROUNDS = 200
 #: Reliabilities are kept within these, so that weights stay finite and no source is silenced.
 LOW, HIGH = 0.01, 0.99
 
@@ -42,9 +43,11 @@ def reliabilities(votes: DataFrame, prior: DataFrame) -> DataFrame:
         share = F.sum(F.col("c") * F.col("tau")).over(W.partitionBy("pid", "k")) / F.sum(F.col("c") * F.col("mult") * F.col("tau")).over(W.partitionBy("pid"))
         x = x.withColumn("share", share).groupBy("source", "reliability").agg((F.sum(F.col("n") * F.col("mult") * F.col("c") * F.col("share")) / F.sum(F.col("n") * F.col("mult") * F.col("c"))).alias("new"))
         new = F.greatest(F.least("new", F.lit(HIGH)), F.lit(LOW))
-        old, now = now, materialize(x.select("source", new.alias("reliability"), F.abs(new - F.col("reliability")).alias("moved")), "reliability")
+        seen = Observation()  # the largest move comes out of the job that writes the round
+        moves = x.select("source", new.alias("reliability"), F.abs(new - F.col("reliability")).alias("moved")).observe(seen, F.max("moved").alias("moved"))
+        old, now = now, materialize(moves, "reliability")
         forget(old)
-        moved = now.agg(F.max("moved")).first()[0]
+        moved = seen.get["moved"]
         if moved is None or moved < TOLERANCE:
             break
     else:

@@ -51,6 +51,35 @@ def test_spellings_vote_together(spark):
     assert r.pref_name == "rutin" and r.molregno == 5 and r.rule == "dominant"
 
 
+def test_dominance_is_full_agreement(spark):
+    """The elected row has all the support exactly where some row is best by all three criteria."""
+    rng = np.random.default_rng(5)
+    rows, groups = [], {}
+    for g in range(120):
+        key = "".join(chr(65 + (g // 26**i) % 26) for i in range(14)) + "-UHFFFAOYSA-N"
+        for i in range(int(rng.integers(2, 5))):
+            m = g * 10 + i
+            full, at, src = int(rng.integers(0, 3)), None if rng.random() < 0.1 else T[rng.integers(0, 3)], [None, "good", "bad"][rng.integers(0, 3)]
+            rows.append(row(m, name="x" if full > 0 else None, formula="F" if full > 1 else None, key=key, src=src, at=at))
+            groups.setdefault(key[:14], []).append((full, at is not None, at or T[0], {"good": 5, "bad": 1}.get(src, 0), -m))
+    want = {}
+    for layer, xs in groups.items():
+        best = [x for x in xs if all(x[0] >= y[0] and x[1:3] >= y[1:3] and x[3] >= y[3] for y in xs)]
+        if best:
+            want[layer] = -max(x[4] for x in best)
+    out = survivors.elect(*frames(spark, rows)).survivors.collect()
+    assert {r.layer: r.molregno for r in out if r.rule == "dominant"} == want and 20 < len(want) < 110
+    assert len(out) == 120 and all(0 < r.agreement <= 1 for r in out)
+
+
+def test_no_survivor_without_votes(spark, monkeypatch):
+    """The survivors come out of truth discovery: without its votes there are none."""
+    real = truth.discover
+    monkeypatch.setattr(truth, "discover", lambda claims, prior: real(claims.filter(F.col("field") != survivors.SURVIVOR), prior))
+    rows = [row(1, "x", key=K1, src="good", at=T[0]), row(2, "y", key=K1, src="good", at=T[1])]
+    assert survivors.elect(*frames(spark, rows)).survivors.count() == 0
+
+
 def test_survivors_empty(spark):
     assert survivors.resolve(*frames(spark, [])).count() == 0
     assert survivors.resolve(*frames(spark, [row(1), row(2)], trust=())).count() == 0
