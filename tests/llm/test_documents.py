@@ -63,6 +63,16 @@ def test_mix_is_repeatable_and_seeded(spark):
     assert one != {r.doc_id: r.copies for r in _mix(spark, docs, t, seed=7)[0].collect()}
 
 
+def test_found_reads_the_rounded_copies(spark, tmp_path):
+    docs = [(i, "word " * 20, "big") for i in range(300)] + [(1000 + i, "word " * 20, "small") for i in range(20)] + [(2000 + i, "word " * 20, "even") for i in range(40)]
+    spark.createDataFrame(docs, "doc_id bigint, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([("big", 0.5, 1), ("small", 0.3, 2), ("even", 0.1, 1), ("gone", 0.1, 3)], "source string, target_weight double, max_repeats int").write.parquet(f"{tmp_path}/mix_targets.parquet")
+    assert {r.source for r in q_documents.p7_found(spark, str(tmp_path)).collect()} == {"small", "gone"}
+    # a source whose records all come less often than they may is no case, though rounding leaves it a little short
+    even = q_documents.p7_report(spark, str(tmp_path)).filter("source = 'even'").first()
+    assert 0 < even.n_copies < 40 and abs(even.actual_tokens - even.target_tokens) < 25
+
+
 def test_mix_edges(spark):
     copies, report = _mix(spark, [], [("a", 1.0, 1)])
     assert copies.count() == 0 and report.first().actual_share == 0
