@@ -31,7 +31,7 @@ def day_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     by_molecule = quantiles.summarise(valid_values(table(spark, sf_dir, "activities")), ["molregno", "batch_day"])
     layers = layer_of_molregno(table(spark, sf_dir, "compound_bioactivity_raw"))
-    return by_molecule.join(layers, "molregno").select(F.col("layer").alias("inchikey_connectivity"), "batch_day", "value", "weight")
+    return by_molecule.join(layers, "molregno").select(F.col("layer").alias("inchikey_connectivity"), "batch_day", "value", "weight", "err")
 
 
 def p4_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
