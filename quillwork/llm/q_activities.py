@@ -57,4 +57,10 @@ v AS (SELECT key AS inchikey_connectivity, value FROM l JOIN k USING (molregno)
 """
 
 QUERIES = {"p4_percentiles": p4_percentiles, "p4_days": p4_days, "p4_found": p4_found}
-SQL = {"p4_found": _VALUES + "SELECT inchikey_connectivity FROM v GROUP BY 1 HAVING count(*) >= 50 AND round(quantile_disc(value, 0.9) - quantile_disc(value, 0.1), 6) >= 2.5"}
+_PERCENTS = ", ".join(f"quantile_disc(value, {p}) AS {quantiles.name_of(p)}" for p in PROBS)
+#: Summaries of keys with at most ``quantiles.K`` values are exact, so exact percentiles must come out; larger keys are tested against their counted bound.
+SQL = {
+    "p4_percentiles": _VALUES + f"SELECT inchikey_connectivity, count(*) AS n, 0.0 AS rank_error, {_PERCENTS} FROM v GROUP BY 1",
+    "p4_days": _VALUES.replace("SELECT key AS inchikey_connectivity, value", "SELECT batch_day, value") + f"SELECT batch_day, count(*) AS n, 0.0 AS rank_error, {_PERCENTS} FROM v GROUP BY 1",
+    "p4_found": _VALUES + "SELECT inchikey_connectivity FROM v GROUP BY 1 HAVING count(*) >= 50 AND round(quantile_disc(value, 0.9) - quantile_disc(value, 0.1), 6) >= 2.5",
+}

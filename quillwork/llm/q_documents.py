@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from ..session import table
 from . import mixture, reading
 
-#: Level that demanding documents are expected to reach where scores follow the rule; nothing is left out by it.
-LOOK = 1.0
+#: Words per sentence and share of long words that demanding documents exceed.
+DEMANDING = {"words_per_sentence": 22.0, "long_share": 0.25}
 
 
 def _mix(spark, d):
@@ -42,8 +42,11 @@ def p8_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Demanding English documents: the exact rule on every document, whatever its level, as no level follows from the rule."""
-    return p8_levels(spark, sf_dir).filter((F.col("language") == "en") & (F.col("n_words") >= 50) & (F.col("n_words") > 22 * F.col("n_sentences")) & (4 * F.col("n_long") > F.col("n_words"))).select("doc_id")
+    """Demanding English documents: those at a level such documents cannot fall below, then the exact rule on them."""
+    docs, models = reading.levelled(table(spark, sf_dir, "documents"))
+    least = models["en"].floor(DEMANDING) if "en" in models else 0.0
+    reach = docs.filter((F.col("language") == "en") & (F.col("n_words") >= reading.MIN_WORDS) & (F.col("level") >= least))
+    return reach.filter((F.col("n_words") > 22 * F.col("n_sentences")) & (4 * F.col("n_long") > F.col("n_words"))).select("doc_id")
 
 
 _P8 = r"""
