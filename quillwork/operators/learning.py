@@ -6,33 +6,20 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .balance import place
 from .metrics import auroc, average_precision
 
-#: Groups placed one by one; the rest follow by hash, which evens them out.
-LARGE_GROUPS = 10_000
-
 
 def group_folds(rows: DataFrame, group: str, label: str, k: int = 5, seed: int = 42) -> DataFrame:
     """Adds ``fold`` (0 to k - 1): groups stay together, folds have like class counts.
 
-    The LARGE_GROUPS largest groups go, in order of size, where the spread of class counts
-    over folds grows least; the others by a hash of the group. NULL groups are one group.
+    Groups of every size are placed by one rule (``balance.place``). NULL groups are one
+    group; a label other than 1 is the negative class.
     """
     g = F.coalesce(F.col(group).cast("string"), F.lit("\x00"))
-    sizes = rows.groupBy(g.alias("_g")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).alias("p"))
-    top = sizes.orderBy(F.desc("n"), "_g").limit(LARGE_GROUPS).collect()
-    have = np.zeros((k, 2))
-    total = np.array([sum(r["n"] - r["p"] for r in top), sum(r["p"] for r in top)], float)
-    placed = []
-    for r in top:
-        v = np.array([r["n"] - r["p"], r["p"]], float)
-        cost = [(((have + np.eye(k)[f][:, None] * v) / np.maximum(total, 1)).std(0).sum(), have[f].sum(), f) for f in range(k)]
-        f = min(cost)[2]
-        have[f] += v
-        placed.append((r["_g"], f))
-    known = rows.sparkSession.createDataFrame(placed, "_g string, _f int")
-    rest = F.pmod(F.xxhash64(F.lit(seed), "_g"), F.lit(k)).cast("int")
-    return rows.withColumn("_g", g).join(known, "_g", "left").withColumn("fold", F.coalesce("_f", rest)).drop("_g", "_f")
+    keyed = rows.withColumn("_g", g)
+    folds = place(keyed.select("_g", F.coalesce(F.col(label) == 1, F.lit(False)).alias("_l")), "_g", "_l", [1.0 / k] * k, seed)
+    return keyed.join(folds.select("_g", F.col("part").alias("fold")), "_g").drop("_g")
 
 
 def class_weights(rows: DataFrame, label: str) -> DataFrame:

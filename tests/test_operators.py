@@ -223,3 +223,36 @@ def test_empty_tables(spark):
     assert metrics.calibration(e, "v", "y").count() == 10
     assert labels.funnel(e, [("all", F.col("v") > 0)]).count() == 2
     assert dt.date(2025, 1, 1)
+
+
+def test_dealt_groups_have_like_labels(spark):
+    """100,000 groups of all sizes: whole, in the wanted shares, with like label counts."""
+    from quillwork.operators import balance
+
+    n = F.when(F.col("id") < 3, 20_000).when(F.col("id") < 300, F.col("id") % 37 + 5).otherwise(F.col("id") % 3 + 1)
+    rows = spark.range(100_000).select(F.col("id").alias("g"), F.explode(F.sequence(F.lit(1), n)).alias("i")).select("g", F.when((F.col("g") * 7 + F.col("i")) % 10 < F.when(F.col("g") % 2 == 0, 7).otherwise(2), "x").otherwise("y").alias("label"))
+    shares = [0.8, 0.1, 0.1]
+    parts = balance.place(rows, "g", "label", shares)
+    assert parts.count() == parts.select("g").distinct().count() == 100_000
+    got = {(r.part, r.label): r["count"] for r in rows.join(parts, "g").groupBy("part", "label").count().collect()}
+    for label in "xy":
+        whole = sum(v for (_, name), v in got.items() if name == label)
+        for p, share in enumerate(shares):
+            assert abs(got[p, label] - share * whole) < 0.005 * whole
+    assert {r.g: r.part for r in parts.filter("g < 500").collect()} == {r.g: r.part for r in balance.place(rows.repartition(5), "g", "label", shares).filter("g < 500").collect()}
+
+
+def test_deal_edges(spark):
+    import numpy as np
+    import pytest
+
+    from quillwork.operators import balance
+
+    assert balance.deal([(24, 0, 1, np.array([8.0]))], np.array([[8.0], [0.0]])) == [(24, 0, [1, 0])]
+    assert balance.deal([(0, 0, 10, np.array([10.0]))], np.array([[5.0], [5.0]])) == [(0, 0, [5, 5])]
+    e = spark.createDataFrame([], "g bigint, label int")
+    assert balance.place(e, "g", "label", [1.0, 1.0]).count() == 0
+    with pytest.raises(ValueError):
+        balance.place(e, "g", "label", [0.0])
+    odd = spark.createDataFrame([(1, None, "a"), (None, 1, "b"), (2, 3, "c")], "g bigint, label int, n string")
+    assert sorted(r.g for r in balance.place(odd, "g", "label", [1.0, 1.0]).collect()) == [1, 2]
