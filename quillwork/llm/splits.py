@@ -2,23 +2,16 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import strip_ws
+from ..operators.balance import place
 from ..session import materialize
 from . import compounds
 from .components import components
 
 SHARES = {"train": 0.8, "validation": 0.1, "test": 0.1}
-#: A component with this share of all records or more is placed one by one on the driver: at most 1 / LARGE of them exist.
-LARGE = 1e-4
-#: Buckets of the running sum over small components.
-BUCKETS = 1024
-MAX_LABELS = 64
-
 
 def related(structures: DataFrame, bioactivity: DataFrame) -> DataFrame:
     """``molregno`` and ``component``: rows related by layer, structure text or ring skeleton, also through other rows.
@@ -34,59 +27,14 @@ def assign(records: DataFrame, shares: dict[str, float] = SHARES, seed: int = 42
     """Give each component one split: ``component``, ``split``, ``n``.
 
     ``records`` has ``component`` and ``label`` (the stratum; NULL is a label of its own), at
-    most MAX_LABELS labels. Large components are placed first, the largest at the head, each
-    where the squared relative deviation of the splits' label counts from their targets grows
-    least. Small ones follow by a running sum of their sizes in hashed order within the label
-    most of their records have, cut at what the large ones left of each target. Proportions
+    most 64 labels. Components of every size are placed by one rule (``balance.place``), the
+    largest first, so that label counts deviate least from the splits' targets. Proportions
     hold as far as a component that is larger than a split's whole share allows. Empty input
     gives no lines.
     """
     names = list(shares)
-    want = np.array([shares[s] for s in names], float)
-    if (want < 0).any() or not want.sum() > 0:
-        raise ValueError("shares must be positive")
-    want /= want.sum()
-    label = F.coalesce(F.col("label").cast("string"), F.lit("\x00null"))
-    counts = materialize(records.filter("component IS NOT NULL").groupBy("component", label.alias("label")).agg(F.count(F.lit(1)).alias("n")), "label-counts")
-    totals = {r[0]: r[1] for r in counts.groupBy("label").agg(F.sum("n")).limit(MAX_LABELS + 1).collect()}
-    if len(totals) > MAX_LABELS:
-        raise ValueError(f"more than {MAX_LABELS} labels")
-    labels = sorted(totals)
-    spark = records.sparkSession
-    n_all = sum(totals.values())
-    wide = counts.groupBy("component").agg(F.sum("n").alias("n"), *(F.sum(F.when(F.col("label") == x, F.col("n")).otherwise(0)).alias(f"n{i}") for i, x in enumerate(labels)))
-    wide = materialize(wide, "components")
-    least = max(1, int(np.ceil(n_all * LARGE)))
-    target = np.outer(want, [totals[x] for x in labels]) if labels else np.zeros((len(names), 0))
-    have = np.zeros_like(target)
-    placed = []
-    for r in sorted(wide.filter(F.col("n") >= least).collect(), key=lambda r: (-r["n"], r["component"])):
-        v = np.array([r[f"n{i}"] for i in range(len(labels))], float)
-        scale = np.maximum(target, 1.0)
-        cost = (((have + v - target) / scale) ** 2 - ((have - target) / scale) ** 2).sum(1) + ((have.sum(1) + v.sum() - target.sum(1)) ** 2 - (have.sum(1) - target.sum(1)) ** 2) / np.maximum(target.sum(1), 1.0) ** 2
-        cost[want == 0] = np.inf
-        k = int(np.argmin(cost))
-        have[k] += v
-        placed.append((r["component"], names[k]))
-    large = spark.createDataFrame(placed, "component bigint, split string")
-    left = np.maximum(target - have, 0.0)
-    small = wide.filter(F.col("n") < least)
-    major = F.array_position(F.array(*(F.col(f"n{i}") for i in range(len(labels)))), F.greatest(*(F.col(f"n{i}") for i in range(len(labels))), F.lit(-1), F.lit(-1))) - 1 if labels else F.lit(0)
-    small = small.select("component", "n", major.cast("int").alias("stratum"), F.xxhash64(F.lit(seed), "component").alias("h")).withColumn("bucket", F.pmod("h", F.lit(BUCKETS)))
-    sums = small.groupBy("stratum", "bucket").agg(F.sum("n").alias("b"))
-    offsets = sums.select("stratum", "bucket", (F.sum("b").over(W.partitionBy("stratum").orderBy("bucket")) - F.col("b")).alias("before"), F.sum("b").over(W.partitionBy("stratum")).alias("total"))
-    inner = W.partitionBy("stratum", "bucket").orderBy("h", "component").rowsBetween(W.unboundedPreceding, W.currentRow)
-    at = small.join(offsets, ["stratum", "bucket"]).withColumn("mid", (F.col("before") + F.sum("n").over(inner) - F.col("n") / 2.0) / F.col("total"))
-    pick = F.lit(names[-1])
-    for i in reversed(range(len(labels))):
-        rest = left[:, i] if left[:, i].sum() > 0 else want
-        edge = np.cumsum(rest) / rest.sum()
-        cut = F.lit(names[int(np.max(np.nonzero(rest)[0]))])
-        for k in reversed(range(len(names) - 1)):
-            cut = F.when(F.col("mid") < float(edge[k]), F.lit(names[k])).otherwise(cut)
-        pick = F.when(F.col("stratum") == i, cut).otherwise(pick)
-    split = large.unionByName(at.select("component", pick.alias("split")))
-    return wide.select("component", "n").join(split, "component")
+    parts = place(records, "component", "label", [shares[s] for s in names], seed)
+    return parts.select("component", F.element_at(F.array(*map(F.lit, names)), F.col("part") + 1).alias("split"), "n")
 
 
 def split_name(c):

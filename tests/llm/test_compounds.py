@@ -190,9 +190,7 @@ def test_torn_edges(spark):
     assert splits.torn(draft.limit(0), comp).count() == 0
 
 
-@pytest.mark.parametrize("large", [1e-4, 0.02])
-def test_assignment_keeps_groups_and_shares(spark, monkeypatch, large):
-    monkeypatch.setattr(splits, "LARGE", large)
+def test_assignment_keeps_groups_and_shares(spark):
     df = spark.range(4000).select((F.when(F.col("id") < 1200, 7).otherwise(F.col("id") / 3)).cast("bigint").alias("component"), (F.col("id") % 3).alias("label"))
     df = df.unionByName(df.limit(60).select((F.col("component") + 10_000).alias("component"), F.lit(None).cast("bigint").alias("label")))
     out = splits.assign(df)
