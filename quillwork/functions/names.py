@@ -2,20 +2,50 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import re
+from functools import reduce
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .text import nfc, squeeze
 
-#: What marks a name as a mixture or a general term, first match counts.
+#: General terms that are no single compound, the first that matches counts.
 NONSPECIFIC = (
+    ("oil", r"(?i)^(essential\s+)?oils?$"),
+    ("essential oil", r"(?i)\bessential\s+oils?\b"),
     ("extract", r"(?i)\bextracts?\b"),
     ("unknown", r"(?i)\bunknown\b"),
-    ("oil", r"(?i)\boils?\b"),
+    ("unidentified", r"(?i)\bunidentified\b"),
+    ("fatty acid", r"(?i)\bfatty\s+acids?\b"),
     ("fraction", r"(?i)\bfractions?\b"),
     ("crude", r"(?i)\bcrude\b"),
+    ("class", r"(?i)^(total\s+)?(alkaloids|flavonoids|saponins|tannins|phenolics|terpenoids|glycosides)$"),
+    ("resin", r"(?i)^(resin|gum|wax)$"),
+    ("oleoresin", r"(?i)\boleoresin\b"),
+)
+#: Structural classes of names that found no match, the first that matches counts.
+UNMATCHED = (
+    ("stereo prefix", r"^\([^)]+\)-"),
+    ("inverted", r", "),
+    ("bracketed synonym", r"\([A-Za-z0-9\s\-]{2,}\)|\[.+\]"),
+    ("class or plural", r"(?i)s$|derivatives|fraction|extract|glycosides|alkaloids|phenols|flavonoids|tannins|saponins"),
 )
+#: Words of a compound name that tell isomers apart and not compounds, and words that say little.
+STEREO_WORDS = ("alpha", "beta", "gamma", "delta", "epsilon", "omega", "cis", "trans", "meso", "allo", "neo", "iso", "sec", "tert", "e", "z", "r", "s", "d", "l", "dl")
+LIGHT_WORDS = ("alpha", "beta", "gamma", "delta", "cis", "trans", "allo", "meso", "neo", "sec", "tert", "iso", "acid", "ester")
+#: Words that join the authors of a scientific name, and authors whose son is cited as "f.".
+AUTHOR_LINKS = ("ex", "ex.", "&", "et", "sensu", "non")
+FATHERS = ("hook.", "burm.", "l.", "forst.", "schult.", "hallier")
+#: Least ratio of matching blocks at which two stems are spellings of one name.
+SAME_STEM = 0.82
+
+
+def first_match(c: Column, table: tuple[tuple[str, str], ...]) -> Column:
+    """The label of the first pattern of a table that the text matches, else NULL."""
+    return F.coalesce(*(F.when(c.rlike(pattern), F.lit(label)) for label, pattern in table))
 
 
 def encoding_loss(c: Column) -> Column:
@@ -24,8 +54,8 @@ def encoding_loss(c: Column) -> Column:
 
 
 def nonspecific(c: Column) -> Column:
-    """The first pattern a general term matches, else NULL."""
-    return F.coalesce(*(F.when(c.rlike(p), F.lit(n)) for n, p in NONSPECIFIC))
+    """The general term a name is or holds, else NULL."""
+    return first_match(c, NONSPECIFIC)
 
 
 def clean(c: Column) -> Column:
@@ -58,46 +88,103 @@ def change_class(raw: Column, key: Column) -> Column:
     )
 
 
+def _words(c: Column) -> Column:
+    return F.filter(F.split(c, r"(?U)\s+"), lambda w: w != "")
+
+
+def name_parts(c: Column) -> dict[str, Column]:
+    """What a scientific name is made of: words, words before a bracket, rank, bracket pair, joined authors."""
+    words = _words(c)
+    marks = F.split(F.lower(c), r"(?U)\W+")
+    n = F.size(words)
+    inner = F.slice(words, 2, F.greatest(n - 2, F.lit(0)))
+    # a father and then "f.", both as the ends and starts of words
+    sons = F.exists(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.coalesce(F.try_element_at(words, i + 1), F.lit("")).startswith("f.") & F.lower(F.coalesce(F.try_element_at(words, i), F.lit(""))).rlike(r"(^|\W)(" + "|".join(f.replace(".", r"\.") for f in FATHERS) + r")$"))
+    return {
+        "words": words,
+        "n": n,
+        "before": _words(F.substring_index(c, "(", 1)),
+        "rank": F.when(F.array_contains(marks, "subsp"), "subsp.").when(F.array_contains(marks, "var"), "var."),
+        "bracketed": c.contains("(") & c.contains(")"),
+        "joined": F.arrays_overlap(inner, F.array(*map(F.lit, AUTHOR_LINKS))) | sons,
+    }
+
+
+def _pair(words: Column) -> Column:
+    return F.when(F.size(words) >= 2, F.array_join(F.slice(words, 1, 2), " "))
+
+
 def shape_class(c: Column) -> Column:
-    """Syntactic class of a scientific name: rank marks, defects, author citations, bare binomials."""
-    n = F.size(F.split(F.trim(c), r"\s+"))
-    before = F.size(F.split(F.trim(F.substring_index(c, "(", 1)), r"\s+"))
-    return (
-        F.when(c.rlike(r"(?i)\bsubsp\b"), "subspecies")
-        .when(c.rlike(r"(?i)\bvar\b"), "variety")
-        .when(F.trim(c).startswith(".") | c.rlike(r"\(\s*\)"), "defect")
-        .when(c.contains("(") & c.contains(")"), F.when(before == 2, F.lit("parenthetical author")).otherwise("defect"))
-        .when(c.rlike(r" (ex|et|&|sensu|non) ") | c.rlike(r"\bf\.") | (n > 3), F.when(n >= 2, F.lit("several authors")).otherwise("defect"))
-        .when(n == 3, "one author")
-        .when(n == 2, "no author")
-        .otherwise("defect")
-    )
+    """What a scientific name consists of: infraspecific rank, bracketed author, several authors, one, none; or a defect."""
+    p = name_parts(c)
+    starts_bare = ~F.coalesce(F.try_element_at(p["words"], F.lit(1)), F.lit(".")).startswith(".")
+    sound = starts_bare & ~c.rlike(r"\(\s*\)")
+    authors = F.when(p["bracketed"], F.when(F.size(p["before"]) == 2, "parenthetical author")).when((p["joined"] | (p["n"] > 3)) & (p["n"] >= 2), "several authors").when(p["n"] == 3, "one author").when(p["n"] == 2, "no author")
+    ranked = F.when(p["rank"] == "subsp.", "subspecies").when(p["rank"] == "var.", "variety")
+    return F.when(c.isNotNull(), F.coalesce(ranked, F.when(sound, authors), F.lit("defect")))
 
 
 def binomial(c: Column) -> Column:
     """The first two words of a name, without what a bracket opens; NULL with fewer than two."""
-    w = F.split(F.trim(F.substring_index(F.regexp_replace(c, r"^[.\s]+", ""), "(", 1)), r"\s+")
-    return F.when(F.size(w) >= 2, F.concat_ws(" ", w[0], w[1]))
+    return _pair(_words(F.substring_index(F.regexp_replace(c, r"(?U)^[.\s]+", ""), "(", 1)))
 
 
-def unmatched_class(c: Column) -> Column:
-    """Structural class of a compound name: stereo prefix, inverted, synonym in brackets, plural, other."""
-    low = F.lower(c)
-    return (
-        F.when(c.rlike(r"^\([^)]+\)-"), "stereo prefix")
-        .when(c.contains(", "), "inverted")
-        .when(c.rlike(r"\([A-Za-z0-9\s\-]{2,}\)|\[.+\]"), "bracketed synonym")
-        .when(low.endswith("s") | low.rlike("derivatives|fraction|extract|glycosides|alkaloids"), "class or plural")
-        .otherwise("other")
+def query_name(c: Column) -> Column:
+    """``pattern`` and ``query`` of a scientific name, by the first of these that yields a name to ask for.
+
+    A subspecies or variety keeps its rank and epithet (a variety only the first two words
+    before it), a bracketed author leaves the two words before the bracket, several authors or
+    one leave the first two words. Anything else is for ``review`` and asked for as it is.
+    """
+    p = name_parts(c)
+    cut = lambda rank: F.split(F.trim(c), rf"(?i)\s*\b{rank}\b\.?\s*", 2)
+    epithet = lambda rank: F.nullif(F.regexp_extract(F.try_element_at(cut(rank), F.lit(2)), r"^([A-Za-z]+)", 1), F.lit(""))
+    lead = {"subsp": F.trim(F.substring_index(cut("subsp")[0], "(", 1)), "var": F.coalesce(_pair(_words(cut("var")[0])), cut("var")[0])}
+    infra = lambda rank: F.when(F.array_contains(F.split(F.lower(c), r"(?U)\W+"), rank), F.concat(lead[rank], F.lit(f" {rank}. "), epithet(rank)))
+    tries = (
+        ("subspecies", infra("subsp")),
+        ("variety", infra("var")),
+        ("parenthetical author", F.when(p["bracketed"] & (F.size(p["before"]) == 2), _pair(p["before"]))),
+        ("several authors", F.when(p["joined"] | (p["n"] > 3), _pair(p["words"]))),
+        ("one author", F.when(p["n"] == 3, _pair(p["words"]))),
+        ("review", F.trim(c)),
     )
+    return F.coalesce(*(F.when(q.isNotNull(), F.struct(F.lit(pattern).alias("pattern"), q.alias("query"))) for pattern, q in tries))
+
+
+def short_query(c: Column) -> Column:
+    """``pattern`` and ``query`` by brackets and number of words alone: the small form of ``query_name``."""
+    p = name_parts(c)
+    by_count = F.when(p["bracketed"], F.struct(F.lit("parenthetical author").alias("pattern"), F.trim(F.substring_index(c, "(", 1)).alias("query")))
+    by_count = by_count.when(p["n"] == 3, F.struct(F.lit("one author").alias("pattern"), _pair(p["words"]).alias("query"))).when(p["n"] > 3, F.struct(F.lit("several authors").alias("pattern"), _pair(p["words"]).alias("query")))
+    return by_count.when(c.isNotNull(), F.struct(F.lit("other").alias("pattern"), F.trim(c).alias("query")))
+
+
+def variant_decision(raw: Column, candidate: Column) -> Column:
+    """Which of two spellings finds rows: ``raw matched``, ``improved``, ``both empty``; ``needs review`` where a count is missing."""
+    return F.when(raw > 0, "raw matched").when((raw == 0) & (candidate > 0), "improved").when((raw == 0) & (candidate == 0), "both empty").otherwise("needs review")
+
+
+def unmatched_class(c: Column) -> Column:
+    """Structural class of a compound name that found no match."""
+    return F.when(c.isNotNull(), F.coalesce(first_match(c, UNMATCHED), F.lit("other")))
 
 
 def stereo_free(c: Column) -> Column:
-    """Key without stereo words, locants, case and punctuation; composed first, so that it does not depend on composition."""
-    x = F.translate(F.translate(F.lower(F.trim(nfc(c))), "?±+\"'", ""), "-", " ")
-    for p in (r"\b(alpha|beta|gamma|delta|epsilon|omega)\b", r"\b(cis|trans|meso|allo|neo|iso|sec|tert)\b", r"\b[0-9]+[a-z]?\b", r"\b[ezrsdl]\b", r"\bdl\b"):
-        x = F.regexp_replace(x, p, " ")
-    return F.regexp_replace(x, "[^a-z0-9]", "")
+    """Key of a compound name: its words that are neither stereo words nor locants, as plain letters and digits.
+
+    A locant is a number with at most one letter. Names are composed first, so that the key
+    does not depend on composition; signs of rotation and of doubt stand for nothing.
+    """
+    words = F.split(F.regexp_replace(F.lower(nfc(c)), r"[?\u00b1+]", ""), r"(?U)\W+")
+    telling = F.filter(words, lambda w: ~w.isin(*STEREO_WORDS) & ~w.rlike(r"^[0-9]+[a-z]?$"))
+    return F.regexp_replace(F.array_join(telling, ""), "[^a-z0-9]", "")
+
+
+def lead_word(c: Column) -> Column:
+    """The first word of three letters or more that is not a LIGHT_WORD; NULL without one."""
+    words = F.split(F.lower(c), r"(?U)[\s()\[\]+\u00b1?,/\\0-9-]+")
+    return F.try_element_at(F.filter(words, lambda w: (F.length(w) >= 3) & ~w.isin(*LIGHT_WORDS)), F.lit(1))
 
 
 def light_term(c: Column) -> Column:
@@ -152,31 +239,29 @@ def split_outside_brackets(s):
     return s.map(one, na_action="ignore")
 
 
-@F.pandas_udf(T.StringType())
-def name_group(s):
-    """``one`` if the names of a group are variants of one another, ``several`` otherwise.
+def phrase_contexts(rows: DataFrame, text: str, phrases: tuple[str, ...], reach: int = 40) -> DataFrame:
+    """One line for each place where a phrase stands: ``phrase``, ``before`` and ``after`` (up to ``reach`` characters) in place of the text.
 
-    Variants share their stereo-free stem or their leading word, or the least similar pair of
-    stems reaches 0.82 by matching blocks. The input is an array of names.
+    Only texts that hold some phrase go through Python, once for all phrases.
     """
-    import re
-    from difflib import SequenceMatcher
-    from itertools import combinations
+    kind = T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in ("phrase", "before", "after")]))
+
+    @F.pandas_udf(kind)
+    def find(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: [(p, x[max(0, m.start() - reach) : m.start()], x[m.end() : m.end() + reach]) for p in phrases for m in re.finditer(re.escape(p), x)])
 
-    drop = re.compile(r"\b(alpha|beta|gamma|delta|epsilon|omega|cis|trans|meso|allo|neo|iso|sec|tert|dl|[ezrsdl]|[0-9]+[a-z]?)\b")
-    small = {"alpha", "beta", "gamma", "delta", "cis", "trans", "allo", "meso", "neo", "sec", "tert", "iso", "acid", "ester"}
+    keep = [c for c in rows.columns if c != text]
+    some = reduce(lambda a, b: a | b, (F.col(text).contains(p) for p in phrases))
+    return rows.filter(some).select(*keep, F.explode(find(text)).alias("m")).select(*keep, "m.*")
 
-    def stem(x: str) -> str:
-        x = re.sub(r"[?±+]", "", x.lower().strip(" \"'")).replace("-", " ")
-        return re.sub(r"[^a-z0-9]", "", drop.sub(" ", x))
 
-    def lead(x: str) -> str:
-        return next((w for w in re.sub(r"[()\[\]+±?,/\\0-9-]", " ", x.lower()).split() if len(w) >= 3 and w not in small), "")
+@F.pandas_udf(T.BooleanType())
+def all_alike(a, b):
+    """True if every stem of the first array and every stem of the second match in SAME_STEM of their letters or more."""
+    from difflib import SequenceMatcher
 
-    def one(names) -> str:
-        stems = sorted({stem(n) for n in names})
-        if len(stems) <= 1 or len({lead(n) for n in names} - {""}) == 1:
-            return "one"
-        return "one" if min(SequenceMatcher(None, a, b).ratio() for a, b in combinations(stems, 2)) >= 0.82 else "several"
+    def alike(x: str, y: str) -> bool:
+        x, y = min(x, y), max(x, y)
+        return x == y or 2 * min(len(x), len(y)) >= SAME_STEM * (len(x) + len(y)) and SequenceMatcher(None, x, y).ratio() >= SAME_STEM
 
-    return s.map(lambda x: None if x is None else one([n for n in x if n is not None]))
+    return pd.Series([all(alike(x, y) for x in xs for y in ys) for xs, ys in zip(a, b)], dtype="boolean")

@@ -63,6 +63,13 @@ def forest_cv(rows: DataFrame, features: list[str], label: str, group: str, grid
     return rows.sparkSession.createDataFrame([(*o, i == best, n_invalid) for i, o in enumerate(out)], "point int, parameters string, auroc double, average_precision double, chosen boolean, n_invalid bigint")
 
 
+def first_best(points: DataFrame, point: str, score: str) -> DataFrame:
+    """Adds ``chosen``: of the points with the highest score the first. NULL and NaN scores are never chosen."""
+    usable = points.filter(F.col(score).isNotNull() & ~F.isnan(score))
+    best = usable.agg(F.min(F.struct((-F.col(score)).alias("s"), F.col(point).alias("p"))).alias("_b"))  # one line
+    return points.crossJoin(best).withColumn("chosen", F.coalesce(F.col(point) == F.col("_b.p"), F.lit(False))).drop("_b")
+
+
 def principal_components(rows: DataFrame, vec: str, k: int = 2, keep: tuple[str, ...] = ()) -> DataFrame:
     """Scores on the first k principal components of standardised vectors (signs: the largest loading is positive)."""
     from pyspark.ml.feature import PCA, StandardScaler

@@ -94,6 +94,27 @@ def priority_select(df: DataFrame, key: list[str], priority: Column, order: list
     return first_seen(df.withColumn("priority", priority).filter("priority IS NOT NULL"), [F.col(k) for k in key], [F.col("priority"), *order])
 
 
+def priority_cohort(df: DataFrame, target: list[str], key: list[str], cohort: str, whole: list[str], rest: str, n: int, order: list[str]) -> DataFrame:
+    """One row for each (target, key): of its first cohort in ``whole`` and then ``rest``, the first along ``order``.
+
+    Every pair of a cohort in ``whole`` stays, so a pair that an earlier cohort has is in no
+    later one. Of the pairs left to ``rest`` each target keeps the first ``n`` along ``order``.
+    Rows of other cohorts are out. The pick of a pair is a map-side minimum; only the pairs
+    that are left over are ranked, and cut before they are shuffled.
+    """
+    rank = F.coalesce(*(F.when(F.col(cohort) == c, i) for i, c in enumerate([*whole, rest])))
+    first = priority_select(df, [*target, *key], rank, [F.col(o) for o in order])
+    taken = first.filter(F.col("priority") < len(whole)).select(df.columns)
+    left = top_n(first.filter(F.col("priority") == len(whole)), target, [F.col(c) for c in [*order, *key]], n)
+    return taken.unionByName(left.select(df.columns))
+
+
+def error_rate(df: DataFrame, within: list[str], order: str, bad: str, last: int = 200, least: int = 50, limit: float = 0.05) -> DataFrame:
+    """Adds ``rate``, the mean of ``bad`` over the ``last`` rows, and ``pause``: at least ``least`` of them are there and the rate is over ``limit``."""
+    w = W.partitionBy(*within).orderBy(order).rowsBetween(1 - last, 0)
+    return df.withColumn("rate", F.avg(bad).over(w)).withColumn("pause", (F.count(F.lit(1)).over(w) >= least) & (F.col("rate") > limit))
+
+
 def hash_order(seed: int, *ids: str) -> Column:
     """A reproducible order that looks random: the SHA-256 of seed and ids."""
     return F.sha2(F.concat_ws("|", F.lit(str(seed)), *(F.col(i).cast("string") for i in ids)), 256)

@@ -11,7 +11,7 @@ from ..functions.text import filled
 from ..operators import labels
 from ..operators.identity import content_hash
 from .filters import LABELS, POOL, STRICT, USABLE
-from .registry import Plan
+from .registry import Plan, hash_sql
 
 plan = Plan()
 q = plan.add
@@ -179,14 +179,49 @@ def agg_25(t):
     return c.groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("n_molecules"))
 
 
-@q("agg_26_rollup_measures", f"SELECT l_suppkey, l_returnflag, count(DISTINCT l_partkey) AS n_parts, count(*) FILTER (WHERE l_discount >= 0.05) AS n_strict, count(*) FILTER (WHERE l_discount >= 0.05 AND l_quantity >= 25) AS n_active, {_fl('CASE WHEN count(*) FILTER (WHERE l_discount >= 0.05) > 0 THEN count(*) FILTER (WHERE l_discount >= 0.05 AND l_quantity >= 25)::DOUBLE / count(*) FILTER (WHERE l_discount >= 0.05) END')} AS active_share, {_fl('avg(l_quantity) FILTER (WHERE l_discount >= 0.05)')} AS mean_strict, quantile_cont(CASE WHEN l_discount >= 0.05 THEN l_quantity END, 0.5) AS median_strict, max(l_quantity) AS best, arg_max(l_partkey, struct_pack(a := l_extendedprice, b := l_orderkey, c := l_linenumber)) AS top_part FROM lineitem GROUP BY ALL")
+_ST, _TO, _AC = "l_discount >= 0.05", "l_discount >= 0.03", "l_quantity >= 25"
+_ROLL = {
+    "n_rows": "count(*)",
+    "n_strict": f"count(CASE WHEN {_ST} THEN 1 END)",
+    "n_tolerant": f"count(CASE WHEN {_TO} THEN 1 END)",
+    "n_strict_active": f"count(CASE WHEN {_ST} AND {_AC} THEN 1 END)",
+    "n_tolerant_active": f"count(CASE WHEN {_TO} AND {_AC} THEN 1 END)",
+    "mean_strict": f"avg(CASE WHEN {_ST} THEN l_quantity END)",
+    "max_all": "max(l_quantity)",
+    "max_strict": f"max(CASE WHEN {_ST} THEN l_quantity END)",
+    "min_strict": f"min(CASE WHEN {_ST} THEN l_quantity END)",
+    "n_above": "count(CASE WHEN l_quantity >= 40 THEN 1 END)",
+    "n_above_outside": f"count(CASE WHEN l_quantity >= 40 AND NOT {_ST} THEN 1 END)",
+    "n_high": f"count(CASE WHEN {_ST} AND l_tax <= 0.02 THEN 1 END)",
+    "n_medium": f"count(CASE WHEN {_ST} AND l_tax > 0.02 AND l_tax <= 0.05 THEN 1 END)",
+    "n_low": f"count(CASE WHEN {_ST} AND l_tax > 0.05 THEN 1 END)",
+}
+_ORDER = "l_quantity, l_extendedprice, l_orderkey, l_linenumber"
+
+
+@q(
+    "agg_26_rollup_measures",
+    f"""WITH g AS (SELECT l_suppkey, l_returnflag, {', '.join(f'{v} AS {k}' for k, v in _ROLL.items())}, count(DISTINCT l_partkey) AS n_parts, count(DISTINCT CASE WHEN {_ST} THEN l_partkey END) AS n_parts_strict,
+  quantile_cont(CASE WHEN {_ST} THEN l_quantity END, 0.5) AS median_strict, arg_max(struct_pack(a := l_partkey, b := l_extendedprice, c := l_discount), CASE WHEN {_ST} THEN struct_pack({', '.join(f'{c} := {c}' for c in _ORDER.split(', '))}) END) AS top
+  FROM lineitem GROUP BY ALL)
+SELECT l_suppkey, l_returnflag, n_rows, n_parts, n_parts_strict, n_strict, n_tolerant, n_strict_active, n_tolerant_active, {_fl('CASE WHEN n_strict > 0 THEN n_strict_active::DOUBLE / n_strict END')} AS strict_active_share,
+  {_fl('CASE WHEN n_tolerant > 0 THEN n_tolerant_active::DOUBLE / n_tolerant END')} AS tolerant_active_share, {_fl('mean_strict')} AS mean_strict, median_strict, max_all, max_strict, min_strict, n_above, n_above_outside, {_fl('n_strict::DOUBLE / n_rows')} AS coverage,
+  coalesce(top.a::VARCHAR, 'none') AS top_part, top.b AS top_price, top.c AS top_discount, 'HIGH=' || n_high || ', MED=' || n_medium || ', LOW=' || n_low AS confidence FROM g""",
+)
 def agg_26(t):
-    s, x = F.col("l_discount") >= 0.05, F.col("l_quantity")
-    a = s & (x >= 25)
-    g = t.lineitem.groupBy("l_suppkey", "l_returnflag").agg(
-        F.countDistinct("l_partkey").alias("n_parts"), F.count(F.when(s, 1)).alias("n_strict"), F.count(F.when(a, 1)).alias("n_active"), F.avg(F.when(s, x)).alias("m"), F.percentile(F.when(s, x), F.lit(0.5)).alias("median_strict"), F.max(x).alias("best"), F.max_by("l_partkey", F.struct("l_extendedprice", "l_orderkey", "l_linenumber")).alias("top_part")
-    )
-    return g.select("l_suppkey", "l_returnflag", "n_parts", "n_strict", "n_active", flat(safe_ratio(F.col("n_active"), F.col("n_strict")), 6).alias("active_share"), flat(F.col("m"), 6).alias("mean_strict"), "median_strict", "best", "top_part")
+    """Over twenty measures of a group in one pass; distinct parts are counted apart, over the same grouping, so that rows are not expanded."""
+    keys = ["l_suppkey", "l_returnflag"]
+    strict = F.expr(_ST)
+    order = F.struct(*_ORDER.split(", "))
+    g = t.lineitem.groupBy(*keys).agg(*(F.expr(v).alias(k) for k, v in _ROLL.items()), F.percentile(F.when(strict, F.col("l_quantity")), F.lit(0.5)).alias("median_strict"), F.max(F.when(strict, F.struct(order.alias("o"), "l_partkey", "l_extendedprice", "l_discount"))).alias("top"))
+    parts = t.lineitem.groupBy(*keys, "l_partkey").agg(F.max(strict).alias("s")).groupBy(*keys).agg(F.count("l_partkey").alias("n_parts"), F.count(F.when(F.col("s"), F.col("l_partkey"))).alias("n_parts_strict"))
+    out = g.join(parts, keys)
+    share = lambda a, b: flat(safe_ratio(F.col(a), F.col(b)), 6)
+    return out.select(
+        *keys, "n_rows", "n_parts", "n_parts_strict", "n_strict", "n_tolerant", "n_strict_active", "n_tolerant_active", share("n_strict_active", "n_strict").alias("strict_active_share"), share("n_tolerant_active", "n_tolerant").alias("tolerant_active_share"), flat(F.col("mean_strict"), 6).alias("mean_strict"),
+        "median_strict", "max_all", "max_strict", "min_strict", "n_above", "n_above_outside", share("n_strict", "n_rows").alias("coverage"), F.coalesce(F.col("top.l_partkey").cast("string"), F.lit("none")).alias("top_part"), F.col("top.l_extendedprice").alias("top_price"), F.col("top.l_discount").alias("top_discount"),
+        F.format_string("HIGH=%d, MED=%d, LOW=%d", "n_high", "n_medium", "n_low").alias("confidence"),
+    )
 
 
 @q("agg_27_summary_string", "SELECT l_suppkey, 'A=' || count(*) FILTER (WHERE l_returnflag = 'A') || ', N=' || count(*) FILTER (WHERE l_returnflag = 'N') || ', R=' || count(*) FILTER (WHERE l_returnflag = 'R') AS summary FROM lineitem GROUP BY 1")
@@ -223,12 +258,14 @@ def agg_31(t):
     return t.orders.groupBy("o_orderpriority").agg(one("F").alias("pct_f"), one("O").alias("pct_o"))
 
 
-@q("agg_34_key_variants", r"WITH k AS (SELECT name, lower(trim(regexp_replace(nfc_normalize(name), '[\s\x{00A0}]+', ' ', 'g'))) AS key FROM names WHERE name IS NOT NULL) SELECT key, count(*) AS n_rows, count(DISTINCT name) AS n_variants, count(DISTINCT name) > 1 AS review FROM k GROUP BY 1")
+@q("agg_34_key_variants", r"WITH k AS (SELECT name, lower(trim(regexp_replace(nfc_normalize(name), '[\s\x{00A0}]+', ' ', 'g'))) AS key FROM names WHERE name IS NOT NULL) SELECT key, count(*) AS n_rows, string_agg(DISTINCT name, ' | ' ORDER BY name) AS variants, count(DISTINCT name) AS n_variants, count(DISTINCT name) > 1 AS review FROM k GROUP BY 1")
 def agg_34(t):
     from ..functions.text import name_key
 
     k = t.names.filter("name IS NOT NULL").select("name", name_key(F.col("name")).alias("key"))
-    return k.groupBy("key").agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("name").alias("n_variants"), (F.countDistinct("name") > 1).alias("review"))
+    spellings = k.groupBy("key", "name").agg(F.count(F.lit(1)).alias("n"))  # repeats are counted before spellings are gathered
+    one = spellings.groupBy("key").agg(F.sum("n").alias("n_rows"), F.array_join(F.array_sort(F.collect_list("name")), " | ").alias("variants"), F.count(F.lit(1)).alias("n_variants"))
+    return one.withColumn("review", F.col("n_variants") > 1)
 
 
 @q("agg_35_frequent_unresolved", "SELECT lower(trim(name)) AS key, count(*) AS n_rows, count(DISTINCT file_path) AS n_files FROM names WHERE name IS NOT NULL AND (status = 404 OR len(coalesce(cids, [])) = 0) GROUP BY 1 HAVING count(*) >= 2")
@@ -252,11 +289,9 @@ def agg_38(t):
 
 @q("agg_39_name_groups")
 def agg_39(t):
-    from ..functions.names import name_group
+    from ..operators.variants import variant_groups
 
-    n = t.names.filter("name IS NOT NULL").select(F.explode("cids").alias("cid"), F.lower(F.trim("name")).alias("n")).distinct()
-    g = n.groupBy("cid").agg(F.array_sort(F.collect_set("n")).alias("names")).filter(F.size("names") >= 2)
-    return g.select("cid", F.size("names").alias("n_names"), name_group(F.col("names")).alias("kind"))
+    return variant_groups(t.names.filter("name IS NOT NULL").select(F.explode("cids").alias("cid"), F.lower(F.trim("name")).alias("n")), "cid", "n")
 
 
 @q("agg_40_two_population_profile", f"SELECT natural_product, count(*) AS n, {_fl('avg(molecular_weight)', 4)} AS mean_weight, {_fl('stddev_pop(molecular_weight)', 4)} AS std_weight, {_fl('quantile_cont(molecular_weight, 0.5)', 4)} AS median_weight FROM compound_structures WHERE natural_product IS NOT NULL AND molecular_weight IS NOT NULL AND NOT isnan(molecular_weight) GROUP BY 1")
@@ -266,7 +301,7 @@ def agg_40(t):
     return s.groupBy("natural_product").agg(F.count(F.lit(1)).alias("n"), flat(F.avg(x), 4).alias("mean_weight"), flat(F.stddev_pop(x), 4).alias("std_weight"), flat(F.percentile(x, F.lit(0.5)), 4).alias("median_weight"))
 
 
-@q("agg_41_content_hash", "WITH l AS (SELECT sha256(r_regionkey || ':' || r_name) AS h FROM region), c AS (SELECT h, h || '*' || count(*) AS e, count(*) AS n FROM l GROUP BY h), b AS (SELECT ('0x' || substring(h, 1, 8))::BIGINT % 4096 AS b, sha256(string_agg(e, chr(10) ORDER BY e)) AS h, sum(n)::BIGINT AS n FROM c GROUP BY 1) SELECT sha256(string_agg(b || ':' || h, chr(10) ORDER BY b || ':' || h)) AS content_hash, sum(n)::BIGINT AS n_lines FROM b")
+@q("agg_41_content_hash", hash_sql("region", "r_regionkey || ':' || r_name"))
 def agg_41(t):
     return content_hash(t.region, F.concat_ws(":", F.col("r_regionkey").cast("string"), "r_name"))
 

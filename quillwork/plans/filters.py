@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.columns import first_filled, flat, n_if
+from ..functions.names import NONSPECIFIC, nonspecific
 from ..functions.text import connectivity, filled
 from ..operators import labels
 from ..operators.identity import with_row_id
@@ -137,10 +138,11 @@ def fil_13(t):
     return t.plant_index.filter("scientific_name IS NOT NULL").select("plant_index", encoding_loss(F.col("scientific_name")).alias("lost"))
 
 
-@q("fil_14_nonspecific_name", r"SELECT record_id, CASE WHEN regexp_matches(name, '(?i)\bextracts?\b') THEN 'extract' WHEN regexp_matches(name, '(?i)\bunknown\b') THEN 'unknown' WHEN regexp_matches(name, '(?i)\boils?\b') THEN 'oil' WHEN regexp_matches(name, '(?i)\bfractions?\b') THEN 'fraction' WHEN regexp_matches(name, '(?i)\bcrude\b') THEN 'crude' END AS pattern FROM names")
-def fil_14(t):
-    from ..functions.names import nonspecific
+_GENERAL = " ".join(f"WHEN regexp_matches(name, '{p}') THEN '{n}'" for n, p in NONSPECIFIC)
+
 
+@q("fil_14_nonspecific_name", f"SELECT record_id, CASE {_GENERAL} END AS pattern FROM names")
+def fil_14(t):
     return t.names.select("record_id", nonspecific(F.col("name")).alias("pattern"))
 
 

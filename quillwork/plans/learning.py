@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import learning as op
-from .registry import Plan
+from .registry import Plan, hash_sql
 
 plan = Plan()
 q = plan.add
@@ -55,18 +55,28 @@ def ml_10(t):
     return c.select("inchikey_connectivity", (F.col("heavy_atom_count") < 6).alias("too_small"), (F.col("heavy_atom_count") > 70).alias("too_large"), F.col("smiles_flat").contains(".").alias("is_mixture"))
 
 
-@q("ml_05_frozen_before_scoring", "SELECT true AS frozen, true AS disjoint")
+@q("ml_04_first_best", f"WITH p AS (SELECT l_linenumber AS point, floor(avg(CASE WHEN l_returnflag = 'R' THEN 1.0::DOUBLE ELSE 0 END) * 50 + 0.5) / 50 AS score FROM lineitem GROUP BY 1) SELECT point, score, point = (SELECT min(point) FROM p WHERE score = (SELECT max(score) FROM p)) AS chosen FROM p")
+def ml_04(t):
+    """Of points with equal scores the first is chosen; the scores are rounded to fiftieths, so that there are ties."""
+    from ..functions.columns import flat
+
+    p = t.lineitem.groupBy(F.col("l_linenumber").alias("point")).agg(F.avg(F.when(F.col("l_returnflag") == "R", 1.0).otherwise(0.0)).alias("s"))
+    return op.first_best(p.select("point", (F.floor(F.col("s") * 50 + 0.5) / 50).alias("score")), "point", "score")
+
+
+@q("ml_05_frozen_before_scoring", hash_sql("(SELECT * FROM embeddings WHERE NOT embedding[10] > 0)", "vec_id || ':' || label", ", true AS frozen, (SELECT count(*) FROM embeddings WHERE embedding[10] > 0) AS n_test, 0::BIGINT AS n_both"))
 def ml_05(t):
-    from ..operators.identity import content_hash
+    """The training rows are hashed, written and hashed again before a test row is read; no test row is among them."""
     from ..operators.joins import overlap_counts
-    from ..operators.quality import one_row
+    from ..operators.quality import double_run
+    from ..session import materialize
 
     held = F.element_at("embedding", 10) > 0
-    train, test = t.embeddings.filter(~held), t.embeddings.filter(held)
     line = F.concat_ws(":", F.col("vec_id").cast("string"), F.col("label").cast("string"))
-    frozen = content_hash(train, line).first()["content_hash"]
-    disjoint = overlap_counts(train, test, "vec_id").first()["n_both"] == 0
-    return one_row(t.spark, {"frozen": ("boolean", frozen == content_hash(train.repartition(3), line).first()["content_hash"]), "disjoint": ("boolean", disjoint)})
+    train, test = t.embeddings.filter(~held), t.embeddings.filter(held)
+    runs = iter((train, materialize(train.select("vec_id", "label").repartition("label"), "frozen")))
+    gate = double_run(lambda: next(runs), line).withColumnRenamed("same", "frozen")
+    return gate.crossJoin(test.agg(F.count(F.lit(1)).alias("n_test"))).crossJoin(overlap_counts(train, test, "vec_id").select("n_both"))  # one line each
 
 
 @q("ml_06_score_all_rows")

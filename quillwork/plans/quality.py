@@ -8,7 +8,7 @@ from ..functions import names as fn
 from ..operators import quality as op
 from ..operators.identity import first_seen
 from ..sources import tables
-from .registry import Plan
+from .registry import Plan, hash_sql
 
 plan = Plan()
 q = plan.add
@@ -35,9 +35,10 @@ def int_04(t):
     return one.unionByName(two).unionByName(op.violations(t.lineitem, {"discount in range": F.col("l_discount").between(0, 1)}))
 
 
-@q("int_05_double_run", "SELECT true AS same")
+@q("int_05_double_run", hash_sql("(SELECT o_custkey, count(*) AS n, max(o_orderkey) AS m FROM orders GROUP BY 1)", "concat_ws(':', o_custkey, n, m)", ", true AS same"))
 def int_05(t):
-    return op.one_row(t.spark, {"same": ("boolean", op.double_run(lambda: t.orders.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"), F.max("o_totalprice").alias("m"))))})
+    build = lambda: t.orders.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"), F.max("o_orderkey").alias("m"))
+    return op.double_run(build, F.concat_ws(":", *(F.col(c).cast("string") for c in ("o_custkey", "n", "m"))))
 
 
 @q("int_06_map_validation", "SELECT 'name present' AS \"check\", (SELECT count(*) FROM plant_index WHERE NOT coalesce(length(trim(scientific_name)) > 0, false)) AS n_violations UNION ALL SELECT 'index positive', (SELECT count(*) FROM plant_index WHERE NOT plant_index > 0) UNION ALL SELECT 'unique plant_index', (SELECT coalesce(sum(n - 1), 0)::BIGINT FROM (SELECT count(*) AS n FROM plant_index GROUP BY plant_index))")
@@ -56,18 +57,11 @@ def int_08(t):
     return op.mismatches(s, s.filter("s_acctbal >= 0"), "s_suppkey", "s_name")
 
 
-@q("int_01_hash_gate", "SELECT true AS unchanged, 0::BIGINT AS n_changed")
+@q("int_01_hash_gate", hash_sql("orders", "concat_ws(':', o_orderkey, o_custkey, o_orderstatus)", ", true AS unchanged, (SELECT count(*) FROM orders WHERE o_orderstatus = 'F') AS n_stage"))
 def int_01(t):
-    import os
-    import tempfile
-
-    with tempfile.TemporaryDirectory() as d:  # control-plane files on the driver
-        a, m = os.path.join(d, "a.txt"), os.path.join(d, "manifest.json")
-        with open(a, "w") as f:
-            f.write("frozen")
-        tables.write_manifest(m, {"stage": 1}, [a])
-        bad = tables.verify_manifest(m)
-    return op.one_row(t.spark, {"unchanged": ("boolean", not bad), "n_changed": ("bigint", len(bad))})
+    """The input of a stage, hashed before and after it runs."""
+    line = F.concat_ws(":", *(F.col(c).cast("string") for c in ("o_orderkey", "o_custkey", "o_orderstatus")))
+    return op.hash_gate(lambda: t.orders, line, lambda d: d.filter("o_orderstatus = 'F'").agg(F.count(F.lit(1)).alias("n_stage")))
 
 
 @q("cas_06_review_queue", r"SELECT record_id, flags FROM (SELECT record_id, array_to_string(list_filter([CASE WHEN len(coalesce(cids, [])) < 1 THEN 'missing_id' END, CASE WHEN contains(name, '?') THEN 'uncertain_name' END, CASE WHEN length(trim(name)) < 4 THEN 'very_short_name' END, CASE WHEN regexp_matches(name, '-\s+') THEN 'spacing_anomaly' END], lambda x: x IS NOT NULL), ';') AS flags FROM names) WHERE flags <> ''")
@@ -81,12 +75,21 @@ def cas_07(t):
     return first_seen(a, [F.col("target_chembl_id"), F.col("doc_id")], [F.col("first_activity")])
 
 
-@q("cas_03_evidence_cascade", "WITH known AS (SELECT DISTINCT molregno FROM compound_structures WHERE natural_product = 1), exact AS (SELECT molregno, max(pchembl_value) AS best FROM activities WHERE NOT isnan(pchembl_value) AND molregno IS NOT NULL GROUP BY 1) SELECT s.molregno, CASE WHEN k.molregno IS NOT NULL AND s.molecular_weight < 400 THEN 'curated' WHEN e.best >= 6 THEN 'strong' WHEN e.best >= 5 THEN 'moderate' WHEN e.best IS NOT NULL THEN 'weak' ELSE 'none' END AS evidence FROM compound_structures s LEFT JOIN known k USING (molregno) LEFT JOIN exact e USING (molregno)")
+_USABLE = "standard_relation = '=' AND pchembl_value IS NOT NULL AND NOT isnan(pchembl_value) AND molregno IS NOT NULL"
+
+
+@q("cas_03_evidence_cascade", f"""WITH kb AS (SELECT DISTINCT molregno FROM compound_bioactivity_raw WHERE is_strict AND molregno IS NOT NULL AND pchembl_value >= 8),
+  exact AS (SELECT molregno, max(pchembl_value) AS best, count(*) AS n FROM activities WHERE {_USABLE} AND target_type = 'SINGLE PROTEIN' GROUP BY 1),
+  related AS (SELECT molregno, max(pchembl_value) AS best, count(*) AS n FROM activities WHERE {_USABLE} AND target_type IN ('PROTEIN COMPLEX', 'CELL-LINE', 'ORGANISM') GROUP BY 1)
+SELECT s.molregno, CASE WHEN kb.molregno IS NOT NULL THEN 'known' WHEN e.best >= 6 THEN 'supported' WHEN e.best >= 5 THEN 'partly supported' WHEN e.best IS NOT NULL THEN 'contradicted' WHEN r.best IS NOT NULL THEN 'related target only' ELSE 'no report' END AS evidence,
+  CASE WHEN kb.molregno IS NOT NULL THEN 1 WHEN e.n IS NOT NULL THEN e.n WHEN r.n IS NOT NULL THEN r.n ELSE 0 END AS n_reports FROM compound_structures s LEFT JOIN kb USING (molregno) LEFT JOIN exact e USING (molregno) LEFT JOIN related r USING (molregno)""")
 def cas_03(t):
-    s = t.compound_structures.select("molregno", "molecular_weight", (F.col("natural_product") == 1).alias("known"))
-    e = t.activities.filter("NOT isnan(pchembl_value) AND molregno IS NOT NULL").groupBy("molregno").agg(F.max("pchembl_value").alias("best"))
-    rule = F.when(F.col("known") & (F.col("molecular_weight") < 400), "curated").when(F.col("best") >= 6, "strong").when(F.col("best") >= 5, "moderate").when(F.col("best").isNotNull(), "weak").otherwise("none")
-    return s.join(e, "molregno", "left").select("molregno", rule.alias("evidence"))
+    kb = t.compound_bioactivity_raw.filter("is_strict AND molregno IS NOT NULL AND pchembl_value >= 8").select("molregno").distinct()
+    usable = t.activities.filter(_USABLE)
+    kind = F.when(F.col("target_type") == "SINGLE PROTEIN", "exact").when(F.col("target_type").isin("PROTEIN COMPLEX", "CELL-LINE", "ORGANISM"), "related")
+    one = usable.select("molregno", "pchembl_value", kind.alias("kind")).groupBy("molregno")  # both tiers in one pass
+    best = one.agg(*(f(F.when(F.col("kind") == k, F.col("pchembl_value"))).alias(f"{k}_{n}") for k in ("exact", "related") for n, f in (("best", F.max), ("n", F.count))))
+    return op.evidence_cascade(t.compound_structures.select("molregno"), kb, best, "molregno")
 
 
 @q("cas_05_confusion_status", "WITH x AS (SELECT l_orderkey, l_linenumber, l_partkey, (l_discount * 7 + l_tax * 3) >= 0.5 AS p, CASE WHEN l_linestatus = 'F' THEN l_returnflag = 'R' END AS y FROM lineitem) SELECT CASE WHEN y IS NULL THEN 'unlabelled' WHEN p AND y THEN 'TP' WHEN p THEN 'FP' WHEN y THEN 'FN' ELSE 'TN' END AS status, count(*) AS n FROM x GROUP BY 1")

@@ -88,19 +88,25 @@ def win_11(t):
     return n.select(F.concat(F.lit("C"), F.lpad(F.col("row_id").cast("string"), 6, "0")).alias("candidate_id"), "inchikey_connectivity")
 
 
-@q("win_12_rolling_error_rate", f"SELECT user_id, event_id, {_fl('avg(CASE WHEN event_type = $$error$$ OR value < 5 THEN 1.0::DOUBLE ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id ROWS 199 PRECEDING)')} AS rate FROM events")
+_BAD = "CASE WHEN event_type = $$error$$ OR value < 5 THEN 1.0::DOUBLE ELSE 0 END"
+_LAST = "OVER (PARTITION BY user_id ORDER BY event_id ROWS 199 PRECEDING)"
+
+
+@q("win_12_rolling_error_rate", f"SELECT user_id, event_id, {_fl(f'avg({_BAD}) {_LAST}')} AS rate, count(*) {_LAST} >= 50 AND avg({_BAD}) {_LAST} > 0.05 AS pause FROM events")
 def win_12(t):
-    w = W.partitionBy("user_id").orderBy("event_id").rowsBetween(-199, 0)
-    bad = F.when((F.col("event_type") == "error") | (F.col("value") < 5), 1.0).otherwise(0.0)
-    return t.events.select("user_id", "event_id", flat(F.avg(bad).over(w), 6).alias("rate"))
+    return op.error_rate(t.events.select("user_id", "event_id", F.when((F.col("event_type") == "error") | (F.col("value") < 5), 1.0).otherwise(0.0).alias("bad")), ["user_id"], "event_id", "bad").select("user_id", "event_id", flat(F.col("rate"), 6).alias("rate"), "pause")
 
 
-_PRIO = "CASE WHEN l_discount >= 0.09 THEN 1 WHEN l_tax >= 0.07 THEN 2 WHEN l_quantity >= 45 THEN 3 END"
+#: Cohort groups by priority; D is the rest, of which each supplier has its first twelve.
+_PRIO = "CASE WHEN l_discount >= 0.1 THEN 'A' WHEN l_tax >= 0.08 AND l_quantity >= 45 THEN 'B' WHEN l_extendedprice < 1000 THEN 'C' WHEN l_returnflag = 'R' AND l_quantity >= 50 THEN 'E' ELSE 'D' END"
 
 
-@q("win_13_priority_cohort", f"WITH p AS (SELECT l_partkey, l_orderkey, l_linenumber, {_PRIO} AS priority FROM lineitem), r AS (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY priority, l_orderkey, l_linenumber) AS i FROM p WHERE priority IS NOT NULL) SELECT l_partkey, l_orderkey, l_linenumber, priority FROM r WHERE i = 1")
+@q("win_13_priority_cohort", f"""WITH p AS (SELECT l_suppkey, l_partkey, l_orderkey, l_linenumber, {_PRIO} AS cohort FROM lineitem), o AS (SELECT *, CASE cohort WHEN 'A' THEN 1 WHEN 'B' THEN 2 WHEN 'C' THEN 3 WHEN 'E' THEN 4 ELSE 5 END AS i FROM p),
+  f AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey, l_partkey ORDER BY i, l_orderkey, l_linenumber) AS k FROM o), u AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey, cohort ORDER BY l_orderkey, l_linenumber, l_partkey) AS r FROM f WHERE k = 1)
+SELECT l_suppkey, l_partkey, l_orderkey, l_linenumber, cohort FROM u WHERE cohort <> 'D' OR r <= 12""")
 def win_13(t):
-    return op.priority_select(t.lineitem.select("l_partkey", "l_orderkey", "l_linenumber", "l_discount", "l_tax", "l_quantity"), ["l_partkey"], F.expr(_PRIO), [F.col("l_orderkey"), F.col("l_linenumber")]).select("l_partkey", "l_orderkey", "l_linenumber", "priority")
+    rows = t.lineitem.select("l_suppkey", "l_partkey", "l_orderkey", "l_linenumber", F.expr(_PRIO).alias("cohort"))
+    return op.priority_cohort(rows, ["l_suppkey"], ["l_partkey"], "cohort", ["A", "B", "C", "E"], "D", 12, ["l_orderkey", "l_linenumber"])
 
 
 @q("win_14_compact_ranges", "WITH i AS (SELECT v, v - row_number() OVER (ORDER BY v) AS g FROM (SELECT DISTINCT molregno AS v FROM compound_structures)) SELECT CASE WHEN min(v) = max(v) THEN min(v)::VARCHAR ELSE min(v) || '-' || max(v) END AS span, count(*) AS n FROM i GROUP BY g")

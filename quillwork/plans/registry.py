@@ -13,6 +13,13 @@ from ..session import table
 MODULES = ("compaction", "filters", "joins", "aggregates", "ranking", "statistics", "strings", "ingest", "similarity", "quality", "learning", "incremental")
 
 
+def hash_sql(rows: str, line: str, more: str = "") -> str:
+    """SQL for ``identity.content_hash`` of the lines of a table or sub-query; ``more`` adds columns."""
+    return f"""WITH l AS (SELECT sha256({line}) AS h FROM {rows}), c AS (SELECT h, h || '*' || count(*) AS e, count(*) AS n FROM l GROUP BY h),
+  b AS (SELECT ('0x' || substring(h, 1, 8))::BIGINT % 4096 AS b, sha256(string_agg(e, chr(10) ORDER BY e)) AS h, sum(n)::BIGINT AS n FROM c GROUP BY 1)
+SELECT sha256(string_agg(b || ':' || h, chr(10) ORDER BY b || ':' || h)) AS content_hash, sum(n)::BIGINT AS n_lines{more} FROM b"""
+
+
 class Tables:
     """The tables of a data directory, by name: ``t.orders``."""
 

@@ -67,39 +67,50 @@ def str_08(t):
     return t.names.select("record_id", fn.clean(F.col("name")).alias("name"))
 
 
-_SHAPE = r"""SELECT plant_index, CASE WHEN regexp_matches(scientific_name, '(?i)\bsubsp\b') THEN 'subspecies' WHEN regexp_matches(scientific_name, '(?i)\bvar\b') THEN 'variety'
-  WHEN starts_with(trim(scientific_name), '.') OR regexp_matches(scientific_name, '\(\s*\)') THEN 'defect'
-  WHEN contains(scientific_name, '(') AND contains(scientific_name, ')') THEN CASE WHEN len(string_split_regex(trim(split_part(scientific_name, '(', 1)), '\s+')) = 2 THEN 'parenthetical author' ELSE 'defect' END
-  WHEN regexp_matches(scientific_name, ' (ex|et|&|sensu|non) ') OR regexp_matches(scientific_name, '\bf\.') OR n > 3 THEN CASE WHEN n >= 2 THEN 'several authors' ELSE 'defect' END
-  WHEN n = 3 THEN 'one author' WHEN n = 2 THEN 'no author' ELSE 'defect' END AS shape,
-  CASE WHEN len(w) >= 2 THEN w[1] || ' ' || w[2] END AS binomial
-FROM (SELECT *, len(string_split_regex(trim(scientific_name), '\s+')) AS n, string_split_regex(trim(split_part(regexp_replace(scientific_name, '^[.\s]+', ''), '(', 1)), '\s+') AS w FROM plant_index)"""
+_WORDS = r"list_filter(string_split_regex({c}, '[\s\x{{00A0}}\x{{2000}}-\x{{200A}}\x{{202F}}\x{{3000}}]+'), lambda x: x <> '')"
+_NAME = _WORDS.format(c="scientific_name")
+_LEAD = _WORDS.format(c="split_part(scientific_name, '(', 1)")
+_BARE_LEAD = _WORDS.format(c=r"split_part(regexp_replace(scientific_name, '^[.\s\x{00A0}]+', ''), '(', 1)")
+_SHAPE = rf"""SELECT plant_index, CASE WHEN regexp_matches(scientific_name, '(?i)\bsubsp\b') THEN 'subspecies' WHEN regexp_matches(scientific_name, '(?i)\bvar\b') THEN 'variety'
+  WHEN starts_with(coalesce(w[1], '.'), '.') OR regexp_matches(scientific_name, '\(\s*\)') THEN 'defect'
+  WHEN contains(scientific_name, '(') AND contains(scientific_name, ')') THEN CASE WHEN len(h) = 2 THEN 'parenthetical author' ELSE 'defect' END
+  WHEN regexp_matches(scientific_name, ' (ex|ex\.|et|&|sensu|non) ') OR len(w) > 3 THEN CASE WHEN len(w) >= 2 THEN 'several authors' ELSE 'defect' END
+  WHEN len(w) = 3 THEN 'one author' WHEN len(w) = 2 THEN 'no author' ELSE 'defect' END AS shape,
+  CASE WHEN len(b) >= 2 THEN b[1] || ' ' || b[2] END AS binomial
+FROM (SELECT plant_index, scientific_name, {_NAME} AS w, {_LEAD} AS h, {_BARE_LEAD} AS b FROM plant_index WHERE scientific_name IS NOT NULL)"""
 
 
 @q("str_09_name_shape", _SHAPE)
 def str_09(t):
-    return t.plant_index.select("plant_index", fn.shape_class(F.col("scientific_name")).alias("shape"), fn.binomial(F.col("scientific_name")).alias("binomial"))
+    return t.plant_index.filter("scientific_name IS NOT NULL").select("plant_index", fn.shape_class(F.col("scientific_name")).alias("shape"), fn.binomial(F.col("scientific_name")).alias("binomial"))
 
 
-@q("str_11_author_tokens", r"SELECT len(string_split_regex(trim(scientific_name), '\s+')) AS n_tokens, count(*) AS n FROM plant_index WHERE scientific_name IS NOT NULL GROUP BY 1")
+@q("str_11_short_query", f"""SELECT plant_index, CASE WHEN b THEN 'parenthetical author' WHEN len(w) = 3 THEN 'one author' WHEN len(w) > 3 THEN 'several authors' ELSE 'other' END AS pattern,
+  CASE WHEN b THEN trim(split_part(scientific_name, '(', 1)) WHEN len(w) >= 3 THEN w[1] || ' ' || w[2] ELSE trim(scientific_name) END AS query
+FROM (SELECT plant_index, scientific_name, {_NAME} AS w, contains(scientific_name, '(') AND contains(scientific_name, ')') AS b FROM plant_index WHERE scientific_name IS NOT NULL)""")
 def str_11(t):
-    return t.plant_index.filter("scientific_name IS NOT NULL").groupBy(F.size(F.split(F.regexp_replace("scientific_name", r"^\s+|\s+$", ""), r"\s+")).cast("bigint").alias("n_tokens")).agg(F.count(F.lit(1)).alias("n"))
+    return t.plant_index.filter("scientific_name IS NOT NULL").select("plant_index", fn.short_query(F.col("scientific_name")).alias("q")).select("plant_index", "q.pattern", "q.query")
 
 
-@q("str_13_unmatched_class", r"SELECT record_id, CASE WHEN regexp_matches(name, '^\([^)]+\)-') THEN 'stereo prefix' WHEN contains(name, ', ') THEN 'inverted' WHEN regexp_matches(name, '\([A-Za-z0-9\s\-]{2,}\)|\[.+\]') THEN 'bracketed synonym' WHEN lower(name) LIKE '%s' OR regexp_matches(lower(name), 'derivatives|fraction|extract|glycosides|alkaloids') THEN 'class or plural' ELSE 'other' END AS kind FROM names WHERE name IS NOT NULL")
+@q("str_13_unmatched_class", r"SELECT record_id, CASE WHEN regexp_matches(name, '^\([^)]+\)-') THEN 'stereo prefix' WHEN contains(name, ', ') THEN 'inverted' WHEN regexp_matches(name, '\([A-Za-z0-9\s\-]{2,}\)|\[.+\]') THEN 'bracketed synonym' WHEN lower(name) LIKE '%s' OR regexp_matches(lower(name), 'derivatives|fraction|extract|glycosides|alkaloids|phenols|flavonoids|tannins|saponins') THEN 'class or plural' ELSE 'other' END AS kind FROM names WHERE name IS NOT NULL")
 def str_13(t):
     return t.names.filter("name IS NOT NULL").select("record_id", fn.unmatched_class(F.col("name")).alias("kind"))
 
 
-@q("str_14_stereo_free_key", r"""SELECT record_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(translate(translate(lower(trim(nfc_normalize(name))), '?±+"''', ''), '-', ' '), '\b(alpha|beta|gamma|delta|epsilon|omega)\b', ' ', 'g'), '\b(cis|trans|meso|allo|neo|iso|sec|tert)\b', ' ', 'g'), '\b[0-9]+[a-z]?\b', ' ', 'g'), '\b[ezrsdl]\b', ' ', 'g'), '\bdl\b', ' ', 'g'), '[^a-z0-9]', '', 'g') AS key FROM names""")
+_DROP = ", ".join(f"'{w}'" for w in fn.STEREO_WORDS)
+
+
+@q("str_14_stereo_free_key", rf"""SELECT record_id, regexp_replace(array_to_string(list_filter(string_split_regex(regexp_replace(lower(nfc_normalize(name)), '[?\x{{00B1}}+]', '', 'g'), '[^\p{{L}}\p{{M}}\p{{N}}_]+'), lambda w: NOT list_contains([{_DROP}], w) AND NOT regexp_matches(w, '^[0-9]+[a-z]?$')), ''), '[^a-z0-9]', '', 'g') AS key FROM names""")
 def str_14(t):
     return t.names.select("record_id", fn.stereo_free(F.col("name")).alias("key"))
 
 
-@q("str_16_bracket_aware_split")
+@q("str_16_bracket_aware_split", "WITH p AS (SELECT plant_index, list_filter(list_concat([trim(coalesce(synonym, '-') || ' (a, b [c, d])')], list_transform(string_split(coalesce(family, ''), ','), lambda x: trim(x))), lambda x: x <> '') AS l FROM plant_index WHERE NOT regexp_matches(coalesce(synonym, '-') || coalesce(family, ''), '[(（【\\[\\])）】]') AND NOT contains(coalesce(synonym, '-'), ',')) SELECT plant_index, unnest(range(len(l))) AS pos, unnest(l) AS term FROM p")
 def str_16(t):
+    """Lines with a bracketed tail of their own; names that hold brackets or commas themselves are tested against brute force."""
     line = F.concat(F.coalesce("synonym", F.lit("-")), F.lit(" (a, b [c, d]), "), F.coalesce("family", F.lit("")), F.lit(","))
-    return t.plant_index.select("plant_index", F.posexplode(fn.split_outside_brackets(line)).alias("pos", "term"))
+    plain = ~F.concat(F.coalesce("synonym", F.lit("-")), F.coalesce("family", F.lit(""))).rlike(r"[(（【\[\])）】]") & ~F.coalesce("synonym", F.lit("-")).contains(",")
+    return t.plant_index.filter(plain).select("plant_index", F.posexplode(fn.split_outside_brackets(line)).alias("pos", "term"))
 
 
 @q("str_17_light_term", r'''SELECT plant_index, regexp_replace(regexp_replace(lower(family), '\s+', ' ', 'g'), '^[\s.,;:!?''"()\[\]{}\x{2013}\x{2014}-]+|[\s.,;:!?''"()\[\]{}\x{2013}\x{2014}-]+$', '', 'g') AS term FROM plant_index''')
@@ -118,13 +129,12 @@ def str_19(t):
     return t.names.select("record_id", fn.quality_flags(F.col("name"), F.col("cids")).alias("flags"))
 
 
-@q("str_20_header_to_field", "SELECT * FROM (VALUES ('Plant Name', 'plant_name'), ('PubChem CID:', 'pubchem_cid'), ('Phytochemical', 'compound_name'), ('Other', NULL), ('Reference link', 'reference_link')) v(header, field)")
+@q("str_20_header_to_field", "SELECT doc_id, source AS header, CASE WHEN regexp_matches(h, 'monograph|^plant') THEN 'plant' WHEN regexp_matches(h, 'compound') THEN 'compound' WHEN regexp_matches(h, 'assay|trial') THEN 'study' WHEN regexp_matches(h, 'label$|^field') THEN 'collection' END AS field FROM (SELECT doc_id, source, lower(trim(source)) AS h FROM documents WHERE source IS NOT NULL)")
 def str_20(t):
     from ..sources.html import field_of
 
-    rules = {"plant_name": r"plant name|^plant$", "common_name": "common", "compound_name": "phytochemical|compound", "pubchem_cid": "pubchem|^cid$", "reference_link": "reference|citation|^source$"}
-    h = t.spark.createDataFrame([("Plant Name",), ("PubChem CID:",), ("Phytochemical",), ("Other",), ("Reference link",)], "header string")
-    return h.select("header", field_of(F.col("header"), rules).alias("field"))
+    rules = {"plant": "monograph|^plant", "compound": "compound", "study": "assay|trial", "collection": "label$|^field"}
+    return t.documents.filter("source IS NOT NULL").select("doc_id", F.col("source").alias("header"), field_of(F.col("source"), rules).alias("field"))
 
 
 @q("str_21_doi_url", "SELECT activity_id, loaded_at, '10.1234/j.' || doc_id AS doi, 'https://doi.example/10.1234/j.' || doc_id || '.' AS url FROM activities WHERE doc_id IS NOT NULL")
@@ -154,9 +164,13 @@ def str_25(t):
     return t.documents.filter("text IS NOT NULL").select("doc_id", F.lower("text").rlike("pain|ache|swelling|inflam").alias("flag"))
 
 
-@q("str_26_phrase_context", "SELECT doc_id, count(*) AS n_hits FROM (SELECT doc_id, unnest(regexp_extract_all(text, 'hydrophilic|antioxidant')) FROM documents) GROUP BY 1")
+_PHRASES = ("hydrophilic", "antioxidant", "toxic")
+
+
+@q("str_26_phrase_context", f"WITH d AS (SELECT doc_id, lower(text) AS t, phrase FROM documents, (VALUES {', '.join(f'({p!r})' for p in _PHRASES)}) v(phrase) WHERE contains(lower(text), phrase)), p AS (SELECT doc_id, t, phrase, unnest(range(1, length(t) + 1)) AS i FROM d) SELECT doc_id, phrase, substring(t, greatest(1, i - 40), i - greatest(1, i - 40)) AS before, substring(t, i + length(phrase), 40) AS after, count(*) AS n FROM p WHERE substring(t, i, length(phrase)) = phrase GROUP BY ALL")
 def str_26(t):
-    return t.documents.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"(?s).{0,40}?(?:hydrophilic|antioxidant)"), F.lit(0))).alias("context")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_hits"))
+    hits = fn.phrase_contexts(t.documents.select("doc_id", F.lower("text").alias("t")), "t", _PHRASES)
+    return hits.groupBy("doc_id", "phrase", "before", "after").agg(F.count(F.lit(1)).alias("n"))
 
 
 @q("str_27_formula_class", r"SELECT molregno, CASE WHEN molecular_formula IS NULL OR NOT regexp_matches(molecular_formula, '[\p{L}\p{N}]') THEN 'missing' WHEN regexp_matches(molecular_formula, 'Cl|Br|F|I') THEN 'halogen' WHEN contains(molecular_formula, 'N') THEN 'nitrogen' ELSE 'plain' END AS kind FROM compound_structures")
@@ -176,22 +190,35 @@ def str_30(t):
     return t.part.select("p_partkey", F.regexp_replace(F.regexp_replace(F.lower("p_name"), "[^a-z0-9]+", "-"), "^-+|-+$", "").alias("slug"))
 
 
-@q("str_10_resolver", "WITH b AS (SELECT plant_index, scientific_name, family, string_split_regex(trim(split_part(regexp_replace(scientific_name, '^[.\\s]+', ''), '(', 1)), '\\s+') AS w FROM plant_index) SELECT plant_index, CASE WHEN family IS NULL THEN 'checked by hand' WHEN len(w) >= 2 THEN w[1] || ' ' || w[2] END AS query, family IS NULL AS from_override FROM b")
+_REST = lambda r: rf"regexp_extract(scientific_name, '(?i)^\s*(.*?)\s*\b{r}\b\.?\s*([A-Za-z]+)', ['a', 'b'])"
+
+
+@q("str_10_resolver", rf"""WITH b AS (SELECT plant_index, scientific_name, family, {_NAME} AS w, {_LEAD} AS h, {_REST("subsp")} AS s, {_REST("var")} AS v,
+    contains(scientific_name, '(') AND contains(scientific_name, ')') AS br, regexp_matches(scientific_name, ' (ex|ex\.|&|et|sensu|non) ') OR regexp_matches(scientific_name, '(?i)\b(Hook\.|Burm\.|L\.|Forst\.|Schult\.|Hallier)\s+f\.') AS j FROM plant_index WHERE scientific_name IS NOT NULL),
+  c AS (SELECT *, {_WORDS.format(c="v.a")} AS vw FROM b),
+  r AS (SELECT plant_index, family, CASE WHEN s.b <> '' THEN struct_pack(p := 'subspecies', q := trim(split_part(s.a, '(', 1)) || ' subsp. ' || s.b)
+    WHEN v.b <> '' THEN struct_pack(p := 'variety', q := CASE WHEN len(vw) >= 2 THEN vw[1] || ' ' || vw[2] ELSE v.a END || ' var. ' || v.b)
+    WHEN br AND len(h) = 2 THEN struct_pack(p := 'parenthetical author', q := h[1] || ' ' || h[2])
+    WHEN (j OR len(w) > 3) AND len(w) >= 2 THEN struct_pack(p := 'several authors', q := w[1] || ' ' || w[2])
+    WHEN len(w) = 3 THEN struct_pack(p := 'one author', q := w[1] || ' ' || w[2]) ELSE struct_pack(p := 'review', q := trim(scientific_name)) END AS x FROM c)
+SELECT plant_index, CASE WHEN family IS NULL THEN 'review' ELSE x.p END AS pattern, CASE WHEN family IS NULL THEN 'checked by hand' ELSE x.q END AS query, family IS NULL AS from_override, CASE WHEN family IS NULL OR x.p = 'review' THEN 'manual review' ELSE 'ready' END AS status FROM r""")
 def str_10(t):
     from ..operators.joins import override
 
-    p = t.plant_index.select("plant_index", "scientific_name", "family")
-    by_hand = p.filter("family IS NULL").select("plant_index", F.lit("checked by hand").alias("query"))
-    return override(p, by_hand, "plant_index", fn.binomial(F.col("scientific_name")), "query").select("plant_index", "query", "from_override")
+    p = t.plant_index.filter("scientific_name IS NOT NULL").select("plant_index", "family", fn.query_name(F.col("scientific_name")).alias("r"))
+    by_hand = p.filter("family IS NULL").select("plant_index", F.lit("checked by hand").alias("query"))  # stands for a table of corrections
+    out = override(p, by_hand, "plant_index", F.col("r.query"), "query")
+    pattern = F.when(F.col("from_override"), "review").otherwise(F.col("r.pattern"))
+    return out.select("plant_index", pattern.alias("pattern"), "query", "from_override", F.when(pattern == "review", "manual review").otherwise("ready").alias("status"))
 
 
-@q("str_12_two_variants", "WITH r AS (SELECT name, count(*) AS n_raw FROM names WHERE name IS NOT NULL GROUP BY 1), k AS (SELECT lower(trim(name)) AS name, count(*) AS n_clean FROM names WHERE name IS NOT NULL GROUP BY 1) SELECT r.name, CASE WHEN n_raw = n_clean THEN 'same' WHEN n_raw > n_clean THEN 'raw is better' ELSE 'candidate is better' END AS decision FROM r JOIN k ON k.name = lower(trim(r.name))")
+@q("str_12_two_variants", "WITH n AS (SELECT record_id, name, status >= 500 AS failed, CASE WHEN len(coalesce(cids, [])) > 0 THEN 1 ELSE 0 END AS hit FROM names WHERE name IS NOT NULL), r AS (SELECT name, CASE WHEN bool_or(coalesce(failed, false)) THEN NULL ELSE sum(hit)::BIGINT END AS n_raw FROM n GROUP BY 1), k AS (SELECT lower(trim(name)) AS k, sum(hit)::BIGINT AS n_clean FROM n GROUP BY 1) SELECT r.name, CASE WHEN n_raw > 0 THEN 'raw matched' WHEN n_raw = 0 AND n_clean > 0 THEN 'improved' WHEN n_raw = 0 AND n_clean = 0 THEN 'both empty' ELSE 'needs review' END AS decision FROM r JOIN k ON k.k = lower(trim(r.name))")
 def str_12(t):
-    n = t.names.filter("name IS NOT NULL")
-    r = n.groupBy("name").agg(F.count(F.lit(1)).alias("n_raw"))
-    k = n.groupBy(F.lower(F.trim("name")).alias("k")).agg(F.count(F.lit(1)).alias("n_clean"))
-    d = F.when(F.col("n_raw") == F.col("n_clean"), "same").when(F.col("n_raw") > F.col("n_clean"), "raw is better").otherwise("candidate is better")
-    return r.join(k, F.col("k") == F.lower(F.trim("name"))).select("name", d.alias("decision"))
+    """Rows found under a name as it is written against rows found under its plain form; a failed look-up has no count."""
+    n = t.names.filter("name IS NOT NULL").select("name", F.coalesce(F.col("status") >= 500, F.lit(False)).alias("failed"), F.when(F.coalesce(F.size("cids"), F.lit(0)) > 0, 1).otherwise(0).alias("hit"))
+    r = n.groupBy("name").agg(F.when(~F.bool_or("failed"), F.sum("hit")).alias("n_raw"))
+    k = n.groupBy(F.lower(F.trim("name")).alias("k")).agg(F.sum("hit").alias("n_clean"))
+    return r.join(k, F.col("k") == F.lower(F.trim("name"))).select("name", fn.variant_decision(F.col("n_raw"), F.col("n_clean")).alias("decision"))
 
 
 @q("str_28_tier_cascade", r"SELECT inchikey_connectivity, CASE WHEN stereo_resolved AND length(trim(coalesce(inchikey, ''))) = 27 THEN 'high' WHEN regexp_matches(coalesce(compound_names, ''), '[\p{L}\p{N}]') THEN 'medium' ELSE 'low' END AS tier FROM compounds_unique")
@@ -209,9 +236,11 @@ def str_31(t):
 
 @q("str_15_name_group")
 def str_15(t):
-    # names of a genus: variants of one another, or several
-    g = t.plant_index.filter(filled(F.col("scientific_name"))).select(F.substring_index(fn.species_key(F.col("scientific_name")), " ", 1).alias("genus"), fn.species_key(F.col("scientific_name")).alias("n")).distinct()
-    return g.groupBy("genus").agg(F.array_sort(F.collect_set("n")).alias("names")).filter(F.size("names") >= 2).select("genus", F.size("names").alias("n_names"), fn.name_group(F.col("names")).alias("kind"))
+    """Names of a genus: variants of one another, or several."""
+    from ..operators.variants import variant_groups
+
+    key = fn.species_key(F.col("scientific_name"))
+    return variant_groups(t.plant_index.filter(filled(F.col("scientific_name"))).select(F.substring_index(key, " ", 1).alias("genus"), key.alias("n")), "genus", "n")
 
 
 QUERIES, SQL = plan.queries, plan.sql

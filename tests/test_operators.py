@@ -256,3 +256,47 @@ def test_deal_edges(spark):
         balance.place(e, "g", "label", [0.0])
     odd = spark.createDataFrame([(1, None, "a"), (None, 1, "b"), (2, 3, "c")], "g bigint, label int, n string")
     assert sorted(r.g for r in balance.place(odd, "g", "label", [1.0, 1.0]).collect()) == [1, 2]
+
+
+def test_variant_groups_by_brute_force(spark, monkeypatch):
+    import random
+    import re
+    from difflib import SequenceMatcher
+
+    from quillwork.functions import names
+    from quillwork.operators import variants
+
+    monkeypatch.setattr(variants, "CHUNK", 3)  # several chunks a group
+    rng = random.Random(4)
+    words = ["quercetin", "quercetol", "rutinoside", "rutinosid", "cis", "2", "alpha", "(E)", "acid", "3'b", "L", "kaempferol"]
+    rows = []
+    for g in range(150):
+        base = rng.sample(words, 2)
+        for _ in range(rng.randint(1, 7)):
+            w = [x if rng.random() < 0.85 else rng.choice(words) for x in base]
+            rows.append((g, rng.choice(["-", " ", ", "]).join(w).replace("s", rng.choice("sss§"))))
+    rows += [(None, "x"), (1, None), (900, "one"), (901, "?"), (901, "+")]
+    stem = lambda x: re.sub("[^a-z0-9]", "", "".join(w for w in re.split(r"\W+", re.sub("[?±+]", "", x.lower())) if w not in names.STEREO_WORDS and not re.fullmatch("[0-9]+[a-z]?", w)))
+    lead = lambda x: next((w for w in re.split(r"[\s()\[\]+±?,/\\0-9-]+", x.lower()) if len(w) >= 3 and w not in names.LIGHT_WORDS), "")
+    groups = {}
+    for g, n in rows:
+        if g is not None and n is not None:
+            groups.setdefault(g, set()).add(n)
+    want = {}
+    for g, ns in groups.items():
+        if len(ns) < 2:
+            continue
+        stems = sorted({stem(n) for n in ns})
+        alike = len(stems) == 1 or len({lead(n) for n in ns} - {""}) == 1 or all(SequenceMatcher(None, a, b).ratio() >= names.SAME_STEM for i, a in enumerate(stems) for b in stems[i + 1 :])
+        want[g] = (len(ns), "one" if alike else "several")
+    out = {r.g: (r.n_names, r.kind) for r in variants.variant_groups(spark.createDataFrame(rows, "g bigint, n string"), "g", "n").collect()}
+    assert out == want and {k for _, k in want.values()} == {"one", "several"}
+
+
+def test_query_names(spark):
+    from quillwork.functions import names
+
+    rows = [("Gunoa resiis L. subsp. vitipoa (L.) Vorth.", "subspecies", "Gunoa resiis L. subsp. vitipoa"), ("Gunoa resiis (L.) Vorth. subsp. vitipoa", "subspecies", "Gunoa resiis subsp. vitipoa"), ("Bodaia galaa L. var. vitrua (X.) Y.", "variety", "Bodaia galaa var. vitrua"), ("Rubria vadroka (L.) Br.", "parenthetical author", "Rubria vadroka"), ("Rubria vadroka L. ex Br.", "several authors", "Rubria vadroka"), ("Rubria Hook. f.", "several authors", "Rubria Hook."), ("Rubria vadroka L.", "one author", "Rubria vadroka"), (" Rubria vadroka ", "review", "Rubria vadroka"), ("Rubria subsp.", "review", "Rubria subsp."), ("", "review", "")]
+    out = spark.createDataFrame([(i, r[0]) for i, r in enumerate(rows)], "i int, n string").select("i", names.query_name(F.col("n")).alias("q")).orderBy("i").collect()
+    assert [(r.q.pattern, r.q.query) for r in out] == [r[1:] for r in rows]
+    assert spark.createDataFrame([(None,)], "n string").select(names.query_name(F.col("n")).alias("q")).first().q is None
