@@ -10,8 +10,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import forget, materialize
 from .prefix import running_total
@@ -33,8 +34,7 @@ def auroc(df: DataFrame, score: str, label: str, within: list[str] = ()) -> Data
 def average_precision(df: DataFrame, score: str, label: str, within: list[str] = ()) -> DataFrame:
     """Step-wise average precision over distinct scores; NULL without positives."""
     c = score_counts(df, score, label, list(within)).withColumn("both", F.col("pos") + F.col("neg"))
-    a = running_total(c, "s", "pos", list(within), descending=True).withColumnRenamed("before", "tp0")
-    b = running_total(a, "s", "both", list(within), descending=True)
+    b = running_total(c, "s", {"tp0": "pos", "before": "both"}, list(within), descending=True)
     step = F.col("pos") * (F.col("tp0") + F.col("pos")) / (F.col("before") + F.col("both"))
     return b.groupBy(*within).agg(F.sum(step).alias("x"), F.sum("pos").alias("n_pos")).select(*within, "n_pos", F.when(F.col("n_pos") > 0, F.col("x") / F.col("n_pos")).alias("average_precision"))
 
@@ -89,26 +89,77 @@ def enrichment(df: DataFrame, score: str, label: str, shares: tuple[float, ...]
     return out.select("n", "p", F.explode(lines).alias("l")).select("l.share", "n", F.col("p").alias("n_pos"), "l.found", recovery.alias("recovery"), (recovery / F.col("l.share")).alias("enrichment"))
 
 
-def poisson_weight(seed: int, draw: Column, *ids: str) -> Column:
-    """A Poisson(1) count from a hash of seed, draw and ids: how often a row is in a resample."""
-    u = F.pmod(F.xxhash64(F.lit(seed), draw, *(F.col(i) for i in ids)), F.lit(2**31 - 1)) / float(2**31 - 1)
-    # The distribution function of Poisson(1) at 0, 1, 2, ...
-    edges = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253)
-    return sum((F.when(u > e, 1).otherwise(0) for e in edges), F.lit(0))
+def uniform(seed: int, row: np.ndarray, draw: np.ndarray) -> np.ndarray:
+    """Numbers in [0, 1) for every row hash (down) and draw (across); they depend on nothing else."""
+    with np.errstate(over="ignore"):
+        x = row.astype("int64").view("uint64")[:, None] ^ np.uint64(seed * 0x9E3779B97F4A7C15 & (2**64 - 1))
+        x = x + (draw.astype("uint64")[None, :] + np.uint64(1)) * np.uint64(0xD1B54A32D192ED03)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(31)
+    return (x >> np.uint64(11)).astype(float) / 2.0**53
+
+
+#: The distribution function of Poisson(1) at 0, 1, 2, ...
+POISSON = np.array((0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253))
+#: Rows by draws of a block of drawn numbers.
+DRAWN = 2_000_000
+
+
+def drawn_sums(df: DataFrame, columns: list[str], n: int, seed: int, within: list[str], weigh) -> DataFrame:
+    """``within``, ``draw`` and the sums of ``columns``, each row weighted anew in every one of ``n`` draws.
+
+    ``df`` has a row hash ``_h`` and ``columns`` as doubles without NULLs. ``weigh`` turns drawn
+    uniform numbers into weights. A partition sums its rows itself, in blocks of a matrix
+    product, and gives one line for each of ``within`` (more where it holds very many of
+    them), so rows are never multiplied by draws.
+    """
+    schema = T.StructType([df.schema[c] for c in within] + [T.StructField("_sums", T.ArrayType(T.ArrayType(T.DoubleType())))])
+    draws, most = np.arange(n), max(1, DRAWN // n)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[tuple, np.ndarray] = {}
+
+        def flush():
+            out = pd.DataFrame([[*k, [list(r) for r in v]] for k, v in held.items()], columns=[*within, "_sums"])
+            held.clear()
+            return out
+
+        for pdf in batches:
+            groups = pdf.groupby(within, dropna=False, sort=False).indices.items() if within else [((), np.arange(len(pdf)))]
+            h, x = pdf["_h"].to_numpy("int64"), pdf[columns].to_numpy(float)
+            for k, rows in groups:
+                k = k if isinstance(k, tuple) else (k,)
+                total = held.setdefault(k, np.zeros((len(columns), n)))
+                for a in range(0, len(rows), most):
+                    at = rows[a : a + most]
+                    total += x[at].T @ weigh(uniform(seed, h[at], draws))
+            if len(held) * n * len(columns) > DRAWN:
+                yield flush()
+        if held:
+            yield flush()
+
+    lines = df.select(*within, "_h", *columns).mapInPandas(run, schema)
+    each = lines.select(*within, F.posexplode(F.arrays_zip(*(F.col("_sums")[i].alias(c) for i, c in enumerate(columns)))).alias("draw", "s"))
+    return each.groupBy(*within, "draw").agg(*(F.sum(F.col("s")[c]).alias(c) for c in columns))
 
 
 def bootstrap(df: DataFrame, means: dict[str, tuple[str, str | None]], n: int = 1000, seed: int = 42, within: list[str] = ()) -> DataFrame:
     """95 percent percentile intervals of means (``name: (value, label to filter by or None)``).
 
-    Rows get Poisson counts from hashes, so every draw is made where the row is; all draws
-    come out of one aggregation. NULL values are out.
+    Rows get Poisson counts from hashes of their ids, so a draw depends on the rows alone and
+    not on where they lie. NULL values are out.
     """
-    cols = df.columns
-    ids = [c for c in cols if c.endswith("_id") or c.endswith("key")] or cols
-    draws = df.select(*within, *{v for v, _ in means.values()}, *{c for _, c in means.values() if c}, *[i for i in ids if i not in within], F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("_b"))
-    w = poisson_weight(seed, F.col("_b"), *ids)
-    per = draws.withColumn("_w", w).filter("_w > 0").groupBy(*within, "_b").agg(*((F.sum(F.when(F.col(v).isNotNull() & (F.col(c) if c else F.lit(True)), F.col("_w") * F.col(v))) / F.sum(F.when(F.col(v).isNotNull() & (F.col(c) if c else F.lit(True)), F.col("_w")))).alias(name) for name, (v, c) in means.items()))
-    return per.groupBy(*within).agg(F.count(F.lit(1)).alias("n_draws"), *(x for name in means for x in (F.percentile(name, F.lit(0.025)).alias(f"{name}_lo"), F.percentile(name, F.lit(0.975)).alias(f"{name}_hi"))))
+    ids = [c for c in df.columns if c.endswith("_id") or c.endswith("key")] or df.columns
+    cols, parts = [], []
+    for i, (v, c) in enumerate(means.values()):
+        counts = F.col(v).isNotNull() & (F.coalesce(F.col(c), F.lit(False)) if c else F.lit(True))
+        parts += [F.when(counts, F.col(v).cast("double")).otherwise(0.0).alias(f"_v{i}"), F.when(counts, 1.0).otherwise(0.0).alias(f"_c{i}")]
+        cols += [f"_v{i}", f"_c{i}"]
+    rows = df.select(*within, F.xxhash64(*ids).alias("_h"), *parts)
+    sums = drawn_sums(rows, cols, n, seed, list(within), lambda u: np.searchsorted(POISSON, u, side="left").astype(float))
+    per = sums.select(*within, "draw", *(F.when(F.col(f"_c{i}") > 0, F.col(f"_v{i}") / F.col(f"_c{i}")).alias(name) for i, name in enumerate(means)))
+    return per.groupBy(*within).agg(F.count(F.lit(1)).alias("n_draws"), *(x for name in means for x in (F.percentile(name, F.lit(0.025)).alias(f"{name}_lo"), F.percentile(name, F.lit(0.975)).alias(f"{name}_hi"))))  # n values a group
 
 
 #: Distinct scores whose resampled counts are held at a time.

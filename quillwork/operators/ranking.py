@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialize
 from .identity import first_seen
-from .prefix import running_total, value_ranks
+from .prefix import quantiles, running_total, value_ranks
 
 
 def average_rank(value: str, within: list[str]) -> Column:
@@ -66,9 +66,9 @@ def expand_ranges(text: Column, most: int) -> Column:
 
 def quartile(df: DataFrame, value: str) -> DataFrame:
     """Adds ``quartile`` 1 to 4 by value edges, closed on the right, the lowest included; NULL stays NULL."""
-    edges = df.agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_e"))
+    edges = quantiles(df, value, {"_q1": 0.25, "_q2": 0.5, "_q3": 0.75})
     v = F.col(value)
-    return df.crossJoin(edges).withColumn("quartile", F.when(v <= F.col("_e")[0], 1).when(v <= F.col("_e")[1], 2).when(v <= F.col("_e")[2], 3).when(v.isNotNull(), 4)).drop("_e")  # one line of edges
+    return df.crossJoin(edges).withColumn("quartile", F.when(v <= F.col("_q1"), 1).when(v <= F.col("_q2"), 2).when(v <= F.col("_q3"), 3).when(v.isNotNull(), 4)).drop("_q1", "_q2", "_q3")  # one line of edges
 
 
 def global_rank(df: DataFrame, value: str, descending: bool = True) -> DataFrame:
@@ -83,8 +83,7 @@ def global_rank(df: DataFrame, value: str, descending: bool = True) -> DataFrame
 def cumulative(df: DataFrame, order: str, hit: Column) -> DataFrame:
     """Running number of hits and their share along a unique descending order: ``rank``, ``found``, ``share``."""
     d = df.withColumn("_h", F.when(hit, 1).otherwise(0)).withColumn("_one", F.lit(1))
-    a = running_total(d, order, "_h", descending=True).withColumnRenamed("before", "_hits")
-    b = running_total(a, order, "_one", descending=True)
+    b = running_total(d, order, {"_hits": "_h", "before": "_one"}, descending=True)
     total = d.agg(F.sum("_h").alias("_t"))
     return b.crossJoin(total).select(*df.columns, (F.col("before") + 1).cast("bigint").alias("rank"), (F.col("_hits") + F.col("_h")).cast("bigint").alias("found"), F.when(F.col("_t") > 0, (F.col("_hits") + F.col("_h")) / F.col("_t")).alias("share"))
 
@@ -121,6 +120,15 @@ def hash_order(seed: int, *ids: str) -> Column:
 
 
 def sample_n(df: DataFrame, strata: list[str], n: Column | int, seed: int, *ids: str) -> DataFrame:
-    """``n`` rows of each stratum in hash order (all of a smaller one)."""
+    """``n`` rows of each stratum in hash order (all of a smaller one).
+
+    The strata are counted first; only rows whose hash lies below a bound that the ``n``
+    smallest of a stratum pass all but surely (eight standard deviations) reach the sort.
+    """
+    take = n if isinstance(n, Column) else F.lit(n)
+    size = df.groupBy(*strata).agg(F.count(F.lit(1)).alias("_n"), F.max(take).alias("_take")).select(*(F.col(c).alias(f"_s{i}") for i, c in enumerate(strata)), "_n", "_take")
+    held = df.join(size, [F.col(c).eqNullSafe(F.col(f"_s{i}")) for i, c in enumerate(strata)]).withColumn("_h", hash_order(seed, *ids))
+    share = (F.col("_take") + 8 * F.sqrt("_take") + 16) / F.col("_n")
+    near = held.filter(F.conv(F.substring("_h", 1, 8), 16, 10).cast("bigint") <= share * float(2**32))
     w = W.partitionBy(*strata).orderBy("_h", *ids)
-    return df.withColumn("_h", hash_order(seed, *ids)).withColumn("_i", F.row_number().over(w)).filter(F.col("_i") <= n).drop("_h", "_i")
+    return near.withColumn("_i", F.row_number().over(w)).filter(F.col("_i") <= F.col("_take")).select(*df.columns)

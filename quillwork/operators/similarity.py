@@ -28,7 +28,32 @@ def _pack(bits: list, width: int) -> np.ndarray:
     return np.packbits(out, axis=1)
 
 
-_COUNT = np.array([bin(i).count("1") for i in range(256)], np.uint16)
+#: Tile of a search: queries by references.
+TILE_Q, TILE_R = 1_024, 4_096
+
+
+def _best_of(mine: np.ndarray, packed: np.ndarray, width: int, own: list[list[int]] | None) -> tuple[np.ndarray, np.ndarray]:
+    """Position and similarity of the best reference of each query, the first on ties; ``own`` are positions a query must not take."""
+    best, sim = np.zeros(len(mine), int), np.full(len(mine), -1.0)
+    for b in range(0, len(packed), TILE_R):
+        right = np.unpackbits(packed[b : b + TILE_R], axis=1, count=width).astype(np.float32)
+        n_ref = right.sum(1, dtype=float)
+        for a in range(0, len(mine), TILE_Q):
+            left = np.unpackbits(mine[a : a + TILE_Q], axis=1, count=width).astype(np.float32)
+            both = (left @ right.T).astype(float)  # whole numbers, exact
+            either = left.sum(1, dtype=float)[:, None] + n_ref[None, :] - both
+            s = np.divide(both, either, out=np.zeros_like(both), where=either > 0)
+            if own is not None:
+                for i, positions in enumerate(own[a : a + TILE_Q]):
+                    for p in positions:
+                        if b <= p < b + len(right):
+                            s[i, p - b] = -1.0
+            at = s.argmax(1)
+            top = s[np.arange(len(s)), at]
+            more = top > sim[a : a + TILE_Q]
+            best[a : a + TILE_Q][more] = at[more] + b
+            sim[a : a + TILE_Q][more] = top[more]
+    return best, sim
 
 
 def nearest(queries: DataFrame, references: DataFrame, width: int, key: str = "id", bits: str = "bits", label: str | None = None, exclude_self: bool = False) -> DataFrame:
@@ -55,19 +80,16 @@ def nearest(queries: DataFrame, references: DataFrame, width: int, key: str = "i
 
         def search(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
             keys, packed, y = held.value
-            n_ref = _COUNT[packed].sum(1).astype(float)
             names = np.array(keys, dtype=object)
+            where: dict = {}
+            if exclude_self:
+                for p, k in enumerate(keys):
+                    where.setdefault(k, []).append(p)
             for pdf in batches:
-                mine = _pack(pdf[bits].tolist(), width)
-                best, sim = np.zeros(len(pdf), int), np.full(len(pdf), -1.0)
-                for i in range(len(pdf)):
-                    both = _COUNT[packed & mine[i]].sum(1)
-                    either = n_ref + int(_COUNT[mine[i]].sum()) - both
-                    s = np.where(either > 0, both / np.maximum(either, 1), 0.0)
-                    if exclude_self:
-                        s[names == pdf[key].iloc[i]] = -1.0
-                    best[i] = int(s.argmax())
-                    sim[i] = s[best[i]]
+                if not len(pdf):
+                    continue
+                own = [where.get(k, ()) for k in pdf[key].tolist()] if exclude_self else None
+                best, sim = _best_of(_pack(pdf[bits].tolist(), width), packed, width, own)
                 res = pd.DataFrame({key: pdf[key], "nearest": names[best], "similarity": sim, "label": y[best]})
                 yield res[res["similarity"] >= 0]
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import numerics
+from .metrics import drawn_sums
 from .prefix import running_total, value_ranks
 
 
@@ -69,18 +70,19 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
 
 
 def permutation(df: DataFrame, value: str, group: str, first, second, ids: list[str], n: int = 10_000, seed: int = 42) -> DataFrame:
-    """Two-sided permutation test of the difference of means: every draw gives each row a side by its hash, with the first group's share.
+    """Two-sided permutation test of the difference of means: every draw gives each row a side by the hash of its ids, with the first group's share.
 
     One row: observed difference, draws, and ``p`` = (1 + draws at least as far) / (1 + draws).
     """
-    d = df.filter(F.col(value).isNotNull() & F.col(group).isin(first, second)).select(*ids, F.col(value).alias("v"), (F.col(group) == first).alias("g"))
-    seen = d.agg(F.avg(F.when(F.col("g"), F.col("v"))).alias("a"), F.avg(F.when(~F.col("g"), F.col("v"))).alias("b"), F.avg(F.col("g").cast("double")).alias("share")).first()
+    d = df.filter(F.col(value).isNotNull() & F.col(group).isin(first, second)).select(F.xxhash64(*ids).alias("_h"), F.col(value).cast("double").alias("v"), (F.col(group) == first).alias("g"), F.lit(1.0).alias("one"))
+    seen = d.agg(F.avg(F.when(F.col("g"), F.col("v"))).alias("a"), F.avg(F.when(~F.col("g"), F.col("v"))).alias("b"), F.avg(F.col("g").cast("double")).alias("share"), F.sum("v").alias("all"), F.sum("one").alias("n")).first()
     if seen["a"] is None or seen["b"] is None:
         return df.sparkSession.createDataFrame([(None, 0, None)], "difference double, n_draws bigint, p double")
-    far = abs(seen["a"] - seen["b"])
-    side = F.pmod(F.xxhash64(F.lit(seed), "b", *ids), F.lit(2**31 - 1)) / float(2**31 - 1) < seen["share"]
-    draws = d.select(*ids, "v", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("b")).groupBy("b").agg((F.avg(F.when(side, F.col("v"))) - F.avg(F.when(~side, F.col("v")))).alias("d"))
-    r = draws.agg(F.count("d").alias("n"), F.sum(F.when(F.abs("d") >= far - 1e-12, 1).otherwise(0)).alias("k")).first()
+    far, share = abs(seen["a"] - seen["b"]), seen["share"]
+    # the second side is what the first one leaves of the totals
+    draws = drawn_sums(d, ["v", "one"], n, seed, [], lambda u: (u < share).astype(float))
+    other = F.lit(float(seen["n"])) - F.col("one")
+    r = draws.select(F.when((F.col("one") > 0) & (other > 0), F.col("v") / F.col("one") - (F.lit(float(seen["all"])) - F.col("v")) / other).alias("d")).agg(F.count("d").alias("n"), F.sum(F.when(F.abs("d") >= far - 1e-12, 1).otherwise(0)).alias("k")).first()
     return df.sparkSession.createDataFrame([(seen["a"] - seen["b"], r["n"], (1 + (r["k"] or 0)) / (1 + r["n"]))], "difference double, n_draws bigint, p double")
 
 

@@ -10,6 +10,8 @@ from ..functions.smiles import scaffold
 from ..functions.text import filled
 from ..operators import labels
 from ..operators.identity import content_hash
+from ..operators.prefix import quantiles
+from ..operators.structures import by_text
 from .filters import LABELS, POOL, STRICT, USABLE
 from .registry import Plan, hash_sql
 
@@ -147,7 +149,7 @@ def agg_20(t):
 
 @q("agg_21_scaffold_diversity")
 def agg_21(t):
-    s = t.compound_structures.filter(filled(F.col("canonical_smiles"))).select(scaffold(F.col("canonical_smiles")).alias("scaffold")).groupBy("scaffold").agg(F.count(F.lit(1)).alias("n"))
+    s = by_text(t.compound_structures.filter(filled(F.col("canonical_smiles"))).select("canonical_smiles"), "canonical_smiles", scaffold, "scaffold").groupBy("scaffold").agg(F.count(F.lit(1)).alias("n"))
     top = s.filter("scaffold <> 'acyclic'").orderBy(F.desc("n"), "scaffold").limit(10).agg(F.sum("n").alias("top10"))
     whole = s.agg(F.sum("n").alias("n_molecules"), F.count(F.when(F.col("scaffold") != "acyclic", 1)).alias("n_scaffolds"), F.sum(F.when(F.col("scaffold") == "acyclic", F.col("n")).otherwise(0)).alias("n_acyclic"))
     return whole.crossJoin(top).select("n_molecules", "n_scaffolds", "n_acyclic", safe_ratio(F.col("top10"), F.col("n_molecules")).alias("top10_share"), safe_ratio(F.col("n_acyclic"), F.col("n_molecules")).alias("acyclic_share"))
@@ -155,16 +157,16 @@ def agg_21(t):
 
 @q("agg_22_quantiles_linear", f"SELECT event_type, {_fl('quantile_cont(value, 0.05)')} AS q05, {_fl('quantile_cont(value, 0.25)')} AS q25, {_fl('quantile_cont(value, 0.5)')} AS q50, {_fl('quantile_cont(value, 0.75)')} AS q75, {_fl('quantile_cont(value, 0.95)')} AS q95 FROM events GROUP BY 1")
 def agg_22(t):
-    p = F.percentile("value", F.array(*(F.lit(x) for x in (0.05, 0.25, 0.5, 0.75, 0.95))))
-    return t.events.groupBy("event_type").agg(p.alias("p")).select("event_type", *(flat(F.col("p")[i], 6).alias(n) for i, n in enumerate(("q05", "q25", "q50", "q75", "q95"))))
+    p = quantiles(t.events, "value", {"q05": 0.05, "q25": 0.25, "q50": 0.5, "q75": 0.75, "q95": 0.95}, ["event_type"])
+    return p.select("event_type", *(flat(F.col(n), 6).alias(n) for n in ("q05", "q25", "q50", "q75", "q95")))
 
 
 @q("agg_23_describe", f"SELECT l_returnflag, count(*) AS n, {_fl('avg(l_extendedprice)', 1)} AS mean, {_fl('stddev_samp(l_extendedprice)', 1)} AS std, {_fl('stddev_pop(l_extendedprice)', 1)} AS std_pop, {_fl('quantile_cont(l_extendedprice, 0.5)', 1)} AS median, min(l_extendedprice) AS lo, max(l_extendedprice) AS hi, {_fl('quantile_cont(l_extendedprice, 0.75) - quantile_cont(l_extendedprice, 0.25)', 1)} AS iqr FROM lineitem GROUP BY 1")
 def agg_23(t):
     x = F.col("l_extendedprice")
-    p = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    a = t.lineitem.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"), F.avg(x).alias("m"), F.stddev_samp(x).alias("s"), F.stddev_pop(x).alias("sp"), p.alias("p"), F.min(x).alias("lo"), F.max(x).alias("hi"))
-    return a.select("l_returnflag", "n", flat(F.col("m"), 1).alias("mean"), flat(F.col("s"), 1).alias("std"), flat(F.col("sp"), 1).alias("std_pop"), flat(F.col("p")[1], 1).alias("median"), "lo", "hi", flat(F.col("p")[2] - F.col("p")[0], 1).alias("iqr"))
+    p = quantiles(t.lineitem.select("l_returnflag", x), "l_extendedprice", {"p1": 0.25, "p2": 0.5, "p3": 0.75}, ["l_returnflag"])
+    a = t.lineitem.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"), F.avg(x).alias("m"), F.stddev_samp(x).alias("s"), F.stddev_pop(x).alias("sp"), F.min(x).alias("lo"), F.max(x).alias("hi"))
+    return a.join(p, "l_returnflag", "left").select("l_returnflag", "n", flat(F.col("m"), 1).alias("mean"), flat(F.col("s"), 1).alias("std"), flat(F.col("sp"), 1).alias("std_pop"), flat(F.col("p2"), 1).alias("median"), "lo", "hi", flat(F.col("p3") - F.col("p1"), 1).alias("iqr"))
 
 
 @q("agg_24_all_pseudo_group", f"SELECT coalesce(event_type, 'ALL') AS grp, count(*) AS n, {_fl('avg(value)', 4)} AS mean FROM events GROUP BY ROLLUP (event_type)")

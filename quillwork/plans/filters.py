@@ -9,6 +9,7 @@ from ..functions.names import NONSPECIFIC, nonspecific
 from ..functions.text import connectivity, filled
 from ..operators import labels
 from ..operators.identity import with_row_id
+from ..operators.prefix import quantiles
 from .registry import Plan
 
 plan = Plan()
@@ -109,7 +110,7 @@ def fil_07(t):
 
 @q("fil_08_cutoff_table", "WITH c(event_type, cutoff) AS (SELECT event_type, quantile_cont(value, 0.9) FROM events GROUP BY 1) SELECT event_id, value >= cutoff AS above FROM events JOIN c USING (event_type)")
 def fil_08(t):
-    cut = t.events.groupBy("event_type").agg(F.percentile("value", F.lit(0.9)).alias("cutoff"))
+    cut = quantiles(t.events, "value", {"cutoff": 0.9}, ["event_type"])
     return t.events.join(cut, "event_type").select("event_id", (F.col("value") >= F.col("cutoff")).alias("above"))
 
 

@@ -8,6 +8,7 @@ from ..functions.columns import flat
 from ..functions.smiles import circular_fingerprint, graph_counts, properties, scaffold
 from ..functions.text import connectivity, filled
 from ..operators import joins, similarity as op
+from ..operators.structures import by_text
 from .registry import Plan
 
 plan = Plan()
@@ -57,13 +58,13 @@ def joi_20(t):
 
 @q("ml_08_structure_graph")
 def ml_08(t):
-    s = t.compound_structures.filter(filled(F.col("canonical_smiles")))
-    return s.select("molregno", graph_counts(F.col("canonical_smiles")).alias("g")).select("molregno", "g.*")
+    s = t.compound_structures.filter(filled(F.col("canonical_smiles"))).select("molregno", "canonical_smiles")
+    return by_text(s, "canonical_smiles", graph_counts, "g").select("molregno", "g.*")
 
 
 @q("ml_09_scaffold")
 def ml_09(t):
-    return t.compound_structures.filter(filled(F.col("canonical_smiles"))).select("molregno", scaffold(F.col("canonical_smiles")).alias("scaffold"))
+    return by_text(t.compound_structures.filter(filled(F.col("canonical_smiles"))).select("molregno", "canonical_smiles"), "canonical_smiles", scaffold, "scaffold").select("molregno", "scaffold")
 
 
 _L = r"CASE WHEN regexp_matches(coalesce(standard_inchi_key,''), '[\p{L}\p{N}]') THEN substring(regexp_replace(upper(regexp_replace(standard_inchi_key, '^\s+|\s+$', '', 'g')), '^INCHIKEY=', ''), 1, 14) END"
@@ -115,8 +116,8 @@ def ml_12n(t):
 
 @q("ml_13_structure_properties")
 def ml_13(t):
-    s = t.compound_structures.filter(filled(F.col("canonical_smiles")))
-    return s.select("molregno", properties(F.col("canonical_smiles")).alias("p")).select("molregno", "p.*")
+    s = t.compound_structures.filter(filled(F.col("canonical_smiles"))).select("molregno", "canonical_smiles")
+    return by_text(s, "canonical_smiles", properties, "p").select("molregno", "p.*")
 
 
 QUERIES, SQL = plan.queries, plan.sql
