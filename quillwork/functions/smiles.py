@@ -87,12 +87,13 @@ def ring_core(near: list[list[int]]) -> list[int]:
     return [i for i in range(len(near)) if not gone[i]]
 
 
-def skeleton_key(text: str | None) -> str | None:
-    """A key equal for structures with the same rings and joining chains; None without rings or if unreadable.
+#: Keys of cores that a worker remembers, at most; many structures differ in side chains only.
+REMEMBERED = 200_000
+_remembered: dict[tuple, str] = {}
 
-    Atoms are told apart by element, by the multiset of (distance, label) to every other
-    atom of the core, and by their neighbours' labels, refined until nothing splits.
-    """
+
+def skeleton_key(text: str | None) -> str | None:
+    """A key equal for structures with the same rings and joining chains; None without rings or if unreadable."""
     if not text:
         return None
     graph = parse(text.strip())
@@ -103,39 +104,59 @@ def skeleton_key(text: str | None) -> str | None:
     if not core:
         return None
     index = {a: k for k, a in enumerate(core)}
-    n = len(core)
-    adj = [[index[j] for j in near[a] if j in index] for a in core]
-    profile = []
-    for s in range(n):
-        seen = [-1] * n
-        seen[s] = 0
-        ring, d, shells = [s], 0, []
-        while ring:
-            shells.append("".join(sorted(atoms[core[i]] for i in ring)) + str(sum(len(adj[i]) for i in ring)))
-            d += 1
-            nxt = []
-            for i in ring:
-                for j in adj[i]:
-                    if seen[j] < 0:
-                        seen[j] = d
-                        nxt.append(j)
-            ring = nxt
-        profile.append(atoms[core[s]] + "|" + ",".join(shells))
-    names = {p: k for k, p in enumerate(sorted(set(profile)))}
-    label, distinct = [names[p] for p in profile], len(names)
-    text_of = {k: p for p, k in names.items()}
-    trail = [";".join(f"{text_of[k]}*{label.count(k)}" for k in sorted(text_of))]
+    inside = (tuple([atoms[a] for a in core]), tuple([tuple([index[j] for j in near[a] if j in index]) for a in core]))
+    key = _remembered.get(inside)
+    if key is None:
+        if len(_remembered) >= REMEMBERED:
+            _remembered.clear()
+        key = _remembered[inside] = core_key(*inside)
+    return key
+
+
+def core_key(elements: tuple[str, ...], adj: tuple[tuple[int, ...], ...]) -> str:
+    """The key of a graph of atoms, equal however they are numbered.
+
+    Atoms are told apart by element and degree, by how many atoms of each such kind lie at
+    every distance, and by their neighbours' labels, refined until nothing splits. Atom sets
+    are bit masks: the ball around an atom grows to the union of its neighbours' balls.
+    """
+    n = len(elements)
+    kind = [(e, len(a)) for e, a in zip(elements, adj)]
+    kinds = sorted(set(kind))
+    masks = [sum(1 << i for i in range(n) if kind[i] == k) for k in kinds]
+    ball = [1 << i for i in range(n)]
+    profile: list[list] = [[kinds.index(k)] for k in kind]
+    while True:
+        wider = []
+        for i, a in enumerate(adj):
+            b = ball[i]
+            for j in a:
+                b |= ball[j]
+            wider.append(b)
+        if wider == ball:
+            break
+        for i, b in enumerate(wider):
+            shell = b & ~ball[i]
+            if shell:
+                profile[i] += [(shell & m).bit_count() for m in masks]
+        ball = wider
+    seen = [tuple(p) for p in profile]
+    counts: dict[tuple, int] = {}
+    for p in seen:
+        counts[p] = counts.get(p, 0) + 1
+    order = {p: k for k, p in enumerate(sorted(counts))}
+    label, trail = [order[p] for p in seen], [repr(kinds), repr(sorted(counts.items()))]
     while True:
-        signature = [(label[i], tuple(sorted(label[j] for j in adj[i]))) for i in range(n)]
-        order = {s: k for k, s in enumerate(sorted(set(signature)))}
-        counts: dict[int, int] = {}
-        label = [order[s] for s in signature]
-        for x in label:
-            counts[x] = counts.get(x, 0) + 1
-        trail.append(";".join(f"{s}*{counts[k]}" for s, k in sorted(order.items(), key=lambda e: e[1])))
-        if len(order) == distinct:
+        signature = [(label[i], *sorted([label[j] for j in a])) for i, a in enumerate(adj)]
+        counts = {}
+        for s in signature:
+            counts[s] = counts.get(s, 0) + 1
+        found = {s: k for k, s in enumerate(sorted(counts))}
+        trail.append(repr(sorted(counts.items())))
+        done = len(found) == len(order)
+        label, order = [found[s] for s in signature], found
+        if done:
             break
-        distinct = len(order)
     return hashlib.sha256("\n".join(trail).encode()).hexdigest()[:32]
 
 
