@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -95,8 +96,8 @@ def reserve(spark: SparkSession, label: str) -> str:
     return path
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back.
+def materialize(df: DataFrame, label: str, **options) -> DataFrame:
+    """Write ``df`` once to the shared folder and read it back; ``options`` go to the writer.
 
     It cuts the lineage durably (a lost executor loses nothing), gives the optimizer real
     sizes, and keeps column pruning for what follows.
@@ -104,12 +105,24 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     ship(spark)
     path = reserve(spark, label)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._quillwork_path = path
     return out
 
 
+def read_parquet(path: str, columns: list[str]):
+    """One file of a materialized table as an Arrow table, read where it is called: on a worker, without a shuffle.
+
+    Any file system that Arrow knows (local or mounted folders, HDFS, S3, GCS, Azure), by the URI Spark gives.
+    """
+    import pyarrow.fs
+    import pyarrow.parquet
+
+    system, at = pyarrow.fs.FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", re.sub(r"^file:/(?!/)", "file:///", path)))
+    return pyarrow.parquet.read_table(at, columns=columns, filesystem=system)
+
+
 def forget(df: DataFrame | None) -> None:
     """Delete the table behind a frame that ``materialize`` returned."""
     path = getattr(df, "_quillwork_path", None)
