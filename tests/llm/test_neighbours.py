@@ -84,3 +84,20 @@ def test_bound_covers_the_error():
 def test_found(spark, sf):
     check(q_vectors.p5_found(spark, sf), connect(sf), q_vectors.SQL["p5_found"])
     assert q_vectors.p5_neighbours(spark, sf).agg(F.max("rank")).first()[0] == 5
+
+
+def test_query_blocks_are_dealt_once(spark):
+    """Every point is a query in one group, whatever the files, and data rows meet it from all of them."""
+    assert neighbours._cut([3, 1, 4], 3) == [0, 2, 5, 8]
+    rng = np.random.default_rng(11)
+    vecs = {f"k{i:04d}": rng.normal(size=8) for i in range(3000)}
+    df = frame(spark, vecs).repartition(7)
+    out = neighbours.neighbours(df, "key", "vec", 8, 3).groupBy("key").count().collect()
+    assert len(out) == 3000 and all(r["count"] == 3 for r in out)
+    keys = rng.choice(3000, 20, replace=False)
+    x = np.array([vecs[f"k{i:04d}"] / np.linalg.norm(vecs[f"k{i:04d}"]) for i in range(3000)])
+    got = result(df, 3, 8)
+    for i in keys:
+        s = x @ x[i]
+        s[i] = -2
+        assert [sim for _, sim in got[f"k{i:04d}"]] == pytest.approx(sorted(s, reverse=True)[:3], abs=2e-5)
