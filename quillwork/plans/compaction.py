@@ -56,7 +56,7 @@ SQL = {
     "p1_report": _PLAN.rstrip() + ", " + _KEYS.strip().removeprefix("WITH ") + """
 SELECT (SELECT count(*) FROM names) AS n_rows, (SELECT count(*) FROM names WHERE name IS NULL AND status IS NULL) AS n_empty,
        (SELECT count(*) FROM r WHERE i = 1) AS n_written, (SELECT count(*) FROM r WHERE i = 1) AS n_written_ids,
-       (SELECT count(DISTINCT group_id) FROM r LEFT JOIN plan USING (file_path) WHERE i = 1) AS n_files_after,
+       (SELECT count(DISTINCT coalesce(group_id, -1)) FROM r LEFT JOIN plan USING (file_path) WHERE i = 1) AS n_files_after,
        (SELECT count(*) FROM plan) AS n_files_before, (SELECT CAST(sum(bytes) AS BIGINT) FROM plan) AS bytes_before,
        (SELECT count(*) FROM r WHERE i > 1) AS n_repeats, 0::BIGINT AS n_again, true AS balanced""",
 }

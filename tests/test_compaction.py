@@ -67,3 +67,32 @@ def test_hot_record(spark):
     df = spark.range(3000).select(F.col("id").alias("record_id"), F.format_string("f%d", F.col("id") % 50).alias("file_path"), F.lit(3).alias("file_bytes").cast("bigint"), F.lit(T0).alias("written_at"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.format_string("n%d", "id")).alias("name"), F.lit(200).alias("status"), F.array(F.lit("1")).alias("cids"))
     found = c.dropped(df, c.compact(df, 1000).written)
     assert found.count() == 999 and found.agg(F.min("record_id")).first()[0] == 3
+
+
+def test_oversized_files_and_rows_without_one_are_spread(spark):
+    path = F.when(F.col("id") < 2000, "big").when(F.col("id") < 4000, F.lit(None)).otherwise(F.format_string("f%d", "id"))
+    size = F.when(F.col("id") < 2000, 2000).when(F.col("id") < 4000, F.lit(None)).otherwise(1)
+    df = spark.range(5000).select(F.col("id").alias("record_id"), path.alias("file_path"), size.cast("bigint").alias("file_bytes"), F.lit(T0).alias("written_at"), F.format_string("n%d", "id").alias("name"), F.lit(200).alias("status"), F.array(F.lit("1")).alias("cids"))
+    done = c.compact(df, 250)
+    sizes = [r["count"] for r in done.written.groupBy("group_id").count().collect()]
+    assert sum(sizes) == 5000 and max(sizes) < 700 and len(sizes) >= 15 and done.report.first().balanced
+    files = done.written.select(F.input_file_name()).distinct().count()
+    assert files == len(sizes)
+
+
+def test_a_line_delivered_in_versions_is_the_earliest(spark):
+    df = rows(spark, (1, "a", 10, T1, "late", 200, ["1"], None), (1, "a", 10, T0, "early", 200, ["1"], None), (1, "a", 10, None, "none", 200, ["1"], None))
+    assert [r.name for r in c.compact(df, 100).written.collect()] == ["early"]
+
+
+def test_folder_of_real_files(spark, tmp_path):
+    folder = tmp_path / "in" / "a b%"
+    folder.mkdir(parents=True)
+    for i in range(300):
+        (folder / f"r{i:03d}.json").write_text('{"id": %d, "x": "%s"}\n' % (i, "y" * 80) * (2 if i == 7 else 1))
+    (folder / "note.txt").write_text("no record")
+    assert c.list_files(spark, f"file://{tmp_path}/in", "*.json").count() == 300
+    written, report = c.compact_folder(spark, f"file://{tmp_path}/in", "json", 5000, pattern="*.json")
+    r = report.first()
+    assert r.balanced and (r.n_rows, r.n_written, r.n_files_before) == (301, 301, 300)
+    assert written.select("id").distinct().count() == 300 and written.select(F.input_file_name()).distinct().count() <= r.bytes_before // 5000 + 1
