@@ -169,12 +169,13 @@ def snk_02(t):
 def src_03(t):
     import os
     import sqlite3
+    import tempfile
+    import uuid
 
-    path = reserve(t.spark, "sqlite").removeprefix("file://")
-    os.makedirs(os.path.dirname(path), exist_ok=True)
+    path = os.path.join(tempfile.mkdtemp(prefix="quillwork-"), f"nation-{uuid.uuid4().hex}.db")  # the source, a file on the driver
     con = sqlite3.connect(path)
     con.execute("CREATE TABLE nation (n_nationkey INTEGER PRIMARY KEY, n_name TEXT, n_regionkey INTEGER)")
-    con.executemany("INSERT INTO nation VALUES (?, ?, ?)", [tuple(r) for r in t.nation.limit(1000).collect()])  # 25 nations
+    con.executemany("INSERT INTO nation VALUES (?, ?, ?)", (tuple(r) for r in t.nation.select("n_nationkey", "n_name", "n_regionkey").toLocalIterator()))
     con.commit()
     con.close()
     schema = T.StructType([T.StructField("n_nationkey", T.IntegerType()), T.StructField("n_name", T.StringType()), T.StructField("n_regionkey", T.IntegerType())])

@@ -40,18 +40,23 @@ def read_jdbc(spark: SparkSession, url: str, query: str, partition: tuple[str, i
 
 
 def read_sqlite(spark: SparkSession, path: str, query: str, schema: T.StructType, split_on: str, partitions: int = 8) -> DataFrame:
-    """A read-only scan of a SQLite file that every worker can reach, in ``partitions`` slices of a whole-number column.
+    """A read-only scan of a SQLite file on the driver, which is sent to every worker, in ``partitions`` slices of a whole-number column.
 
     A row with a NULL in that column is in the first slice.
     """
+    import os
+
     names = schema.fieldNames()
+    spark.sparkContext.addFile(path)
+    held = os.path.basename(path)
 
     def scan(batches):
         import sqlite3
 
         import pandas as pd
+        from pyspark import SparkFiles
 
-        con = sqlite3.connect(f"file:{path}?mode=ro", uri=True)
+        con = sqlite3.connect(f"file:{SparkFiles.get(held)}?mode=ro", uri=True)
         try:
             for slices in batches:
                 for i in slices["id"]:

@@ -1,7 +1,10 @@
 import os
+import shutil
 import subprocess
 import sys
 
+import pytest
+
 from quillwork import session
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -36,3 +39,27 @@ print("rows", core()[0]["ml_09_scaffold"](spark, {sf!r}).count(), core()[0]["src
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True)
     assert "rows" in out.stdout, out.stderr[-2000:]
+
+
+def test_a_cluster_must_name_its_shared_folder():
+    class Cluster:
+        class conf:
+            @staticmethod
+            def get(key, default):
+                return default
+
+        class sparkContext:
+            master = "local-cluster[2,1,1024]"
+
+    with pytest.raises(RuntimeError):
+        session.shared_dir(Cluster)
+
+
+def test_a_broken_subpackage_is_an_error(tmp_path):
+    shutil.copytree(f"{ROOT}/quillwork", tmp_path / "quillwork", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(f"{ROOT}/__spark_entry__.py", tmp_path)
+    (tmp_path / "quillwork" / "llm").mkdir()
+    (tmp_path / "quillwork" / "llm" / "__init__.py").write_text("")
+    (tmp_path / "quillwork" / "llm" / "registry.py").write_text("import no_such_module\n")
+    out = subprocess.run([sys.executable, "-c", "import __spark_entry__"], cwd=tmp_path, capture_output=True, text=True)
+    assert out.returncode != 0 and "no_such_module" in out.stderr
