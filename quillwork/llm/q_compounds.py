@@ -18,6 +18,12 @@ def p2_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return survivors.resolve(*_three(spark, sf_dir))
 
 
+def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every group with its size and, where the election is unanimous, its survivor."""
+    found = survivors.elect(*_three(spark, sf_dir)).survivors
+    return found.select("group", "n_rows", "layer", F.when(F.col("rule") == "dominant", F.col("molregno")).alias("molregno"))
+
+
 def p2_reliability(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How reliable truth discovery finds each source."""
     return survivors.reliability_table(*_three(spark, sf_dir))
@@ -78,5 +84,10 @@ SELECT m.layer AS inchikey_connectivity, min(r.molregno) AS molregno
 FROM m JOIN r ON r.g = m.g AND r.c = m.c AND r.loaded_at = m.l AND r.trust = m.t GROUP BY m.g, m.layer
 """
 
-QUERIES = {"p2_survivors": p2_survivors, "p2_reliability": p2_reliability, "p2_found": p2_found, "p3_split": p3_split, "p3_profile": p3_profile, "p3_found": p3_found}
-SQL = {"p2_found": _P2}
+_P2_GROUPS = _P2[: _P2.index("SELECT m.layer AS")] + r"""
+SELECT m.g AS "group", m.n AS n_rows, m.layer, min(r.molregno) AS molregno
+FROM m LEFT JOIN r ON r.g = m.g AND r.c = m.c AND r.loaded_at IS NOT DISTINCT FROM m.l AND r.trust = m.t GROUP BY ALL
+"""
+
+QUERIES = {"p2_groups": p2_groups, "p2_survivors": p2_survivors, "p2_reliability": p2_reliability, "p2_found": p2_found, "p3_split": p3_split, "p3_profile": p3_profile, "p3_found": p3_found}
+SQL = {"p2_groups": _P2_GROUPS, "p2_found": _P2}
