@@ -48,9 +48,15 @@ def sta_05(t):
     return stats.kruskal(t.events, "value", "event_type").select("k", "n", flat(F.col("h"), 5).alias("h"), flat(F.col("epsilon2"), 8).alias("epsilon2"))
 
 
-@q("sta_07_hypergeometric")
+_CHOOSE = lambda n, k: f"(lgamma({n} + 1) - lgamma({k} + 1) - lgamma({n} - ({k}) + 1))"
+
+
+@q("sta_07_hypergeometric", f"""WITH r AS (SELECT row_number() OVER (ORDER BY o_totalprice DESC NULLS LAST, o_orderkey) AS i, o_orderpriority = '1-URGENT' AS m, (count(*) OVER () * 5 + 99) // 100 AS d FROM orders),
+  c AS (SELECT count(*) AS n, count(*) FILTER (m) AS marked, max(d)::BIGINT AS drawn, count(*) FILTER (m AND i <= d) AS found FROM r)
+SELECT n, marked, drawn, found, {_fl(f"list_sum(list_transform(range(found, least(marked, drawn) + 1), lambda x: exp({_CHOOSE('marked', 'x')} + {_CHOOSE('(n - marked)', 'drawn - x')} - {_CHOOSE('n', 'drawn')})))")} AS p FROM c""")
 def sta_07(t):
-    return stats.top_share(t.orders, "o_totalprice", "o_orderkey", F.col("o_orderpriority") == "1-URGENT")
+    out = stats.top_share(t.orders, "o_totalprice", "o_orderkey", F.col("o_orderpriority") == "1-URGENT")
+    return out.select("n", "marked", "drawn", "found", flat(F.col("p"), 6).alias("p"))
 
 
 @q("sta_08_recovery_enrichment", f"WITH c AS (SELECT s, sum(y) AS pos, count(*) AS b FROM {_SCORED} GROUP BY 1), r AS (SELECT pos, b, coalesce(sum(b) OVER (ORDER BY s DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(b) OVER () AS n, sum(pos) OVER () AS p FROM c) SELECT share, max(n)::BIGINT AS n, max(p)::BIGINT AS n_pos, sum(CASE WHEN before < ceil(n * share) THEN pos ELSE 0 END)::BIGINT AS found, {_fl('sum(CASE WHEN before < ceil(n * share) THEN pos ELSE 0 END)::DOUBLE / max(p) / share')} AS enrichment FROM r, (VALUES (0.01::DOUBLE), (0.05::DOUBLE)) v(share) GROUP BY share")
