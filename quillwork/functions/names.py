@@ -219,6 +219,10 @@ def url(c: Column) -> Column:
     return F.nullif(F.regexp_extract(c, r"https?://\S+", 0), F.lit(""))
 
 
+#: Brackets that keep commas together.
+OPENERS, CLOSERS = "([（【", ")]）】"
+
+
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def split_outside_brackets(s):
     """Parts between commas that no bracket encloses, trimmed, without empty ones; any closer ends any opener."""
@@ -226,9 +230,9 @@ def split_outside_brackets(s):
     def one(text: str) -> list[str]:
         depth, start, out = 0, 0, []
         for i, ch in enumerate(text):
-            if ch in "([（【":
+            if ch in OPENERS:
                 depth += 1
-            elif ch in ")]）】":
+            elif ch in CLOSERS:
                 depth = max(0, depth - 1)
             elif ch == "," and not depth:
                 out.append(text[start:i])
@@ -239,6 +243,29 @@ def split_outside_brackets(s):
     return s.map(one, na_action="ignore")
 
 
+def link_tiers(links: DataFrame, known: DataFrame, layers: DataFrame, found: DataFrame) -> DataFrame:
+    """``layer``, ``name``, ``tier`` and ``reason`` of links between names (key ``k``) and layers.
+
+    ``known``: distinct (k, layer) of synonyms; ``layers``: k with its least and greatest
+    layer; ``found``: k with the number of records a look-up gives. The first reason that
+    holds counts: a synonym of that layer; no record; records whose one layer is, or whose
+    layers are not, the link's; one record or several of unknown layer.
+    """
+    synonym = known.select("k", "layer", F.lit(True).alias("_synonym"))
+    j = links.join(synonym, ["k", "layer"], "left").join(layers, "k", "left").join(found, "k", "left")
+    one_layer = (F.col("lo") == F.col("hi")) & (F.col("lo") == F.col("layer"))
+    reason = (
+        F.when(F.col("_synonym"), "synonym match")
+        .when(F.coalesce("n", F.lit(0)) == 0, "name not found")
+        .when(one_layer, "same connectivity")
+        .when(F.col("lo").isNotNull(), "other connectivity")
+        .when(F.col("n") == 1, "one record")
+        .otherwise("several records")
+    )
+    tier = F.when(F.col("reason").isin("synonym match", "same connectivity", "one record"), "high").when(F.col("reason") == "other connectivity", "low").otherwise("medium")
+    return j.select("layer", "name", reason.alias("reason")).select("layer", "name", tier.alias("tier"), "reason")
+
+
 def phrase_contexts(rows: DataFrame, text: str, phrases: tuple[str, ...], reach: int = 40) -> DataFrame:
     """One line for each place where a phrase stands: ``phrase``, ``before`` and ``after`` (up to ``reach`` characters) in place of the text.
 

@@ -262,3 +262,19 @@ def properties(s: pd.Series) -> pd.DataFrame:
     """Column form of ``properties_of``; all NULL if unreadable."""
     rows = [(properties_of(x) if isinstance(x, str) else None) or (None,) * len(PROPERTIES) for x in s]
     return pd.DataFrame(rows, columns=list(PROPERTIES)).astype({n: "float64" if n == "ring_share" else "Int32" for n in PROPERTIES})
+
+
+def main_fragment(text: str | None) -> str | None:
+    """The part between dots with most atoms, the first on ties; a part that cannot be read has none. None if no part can be read."""
+    best, most = None, 0
+    for part in (text or "").strip().split("."):
+        graph = parse(part)
+        if graph is not None and len(graph[0]) > most:
+            best, most = part, len(graph[0])
+    return best
+
+
+@F.pandas_udf(T.StringType())
+def largest_fragment(s: pd.Series) -> pd.Series:
+    """Column form of ``main_fragment``."""
+    return s.map(main_fragment, na_action="ignore").astype(object)

@@ -182,34 +182,83 @@ def src_03(t):
     return tables.read_sqlite(t.spark, path, "SELECT n_nationkey, n_name, n_regionkey FROM nation", schema, "n_nationkey", 3)
 
 
-@q("src_08_fetch_retry", "SELECT * FROM (VALUES ('a', 200, 1), ('b', 200, 3), ('c', 404, 1), ('d', 503, 5), ('e', 0, 0)) v(url, status, attempts)")
-def src_08(t):
+def _fetched(t, first, refusals: int, **kw):
+    """Every status of the name cache as the first answer of a page, given ``refusals`` times before the page comes: answers, attempts and waits."""
     import io
     import urllib.error
 
-    script = {"a": [200], "b": [429, 503, 200], "c": [404], "d": [503] * 9}
-    tried = dict.fromkeys("abcde", 0)
+    schema = T.StructType([T.StructField(n, k) for n, k in (("status", T.IntegerType()), ("n", T.LongType()), ("final", T.IntegerType()), ("attempts", T.IntegerType()), ("shortest", T.DoubleType()), ("longest", T.DoubleType()))])
+
+    def run(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            out = []
+            for status, n in zip(pdf["status"], pdf["n"]):
+                tried, waits = [], []
+
+                class Answer(io.BytesIO):
+                    pass
+
+                def opener(req, timeout, status=status, tried=tried, Answer=Answer):
+                    tried.append(req)
+                    if len(tried) > refusals or status == 200:
+                        body = Answer(b"x")
+                        body.status = 200
+                        return body
+                    if pd.isna(status):
+                        raise TimeoutError
+                    raise urllib.error.HTTPError(req.full_url, int(status), "", {}, None)
 
-    class Answer(io.BytesIO):
-        status = 200
+                final, _ = web.fetch("http://x.example/p", opener=opener, sleep=waits.append, **kw)
+                out.append((status, n, final, len(tried), min(waits, default=None), max(waits, default=None)))
+            yield pd.DataFrame(out, columns=schema.fieldNames()).astype({"status": "Int32"})
 
-    def opener(req, timeout):
-        u = req.full_url[-1]
-        tried[u] += 1
-        code = script[u][tried[u] - 1]
-        if code != 200:
-            raise urllib.error.HTTPError(req.full_url, code, "", {}, None)
-        return Answer(b"x")
+    return t.names.groupBy("status").agg(F.count(F.lit(1)).alias("n")).mapInPandas(run, schema)
 
-    rules = web.robots("User-agent: *\nDisallow: /e", "http://x.example")
-    got = [(u, web.fetch(f"http://x.example/{u}", rules, opener=opener, sleep=lambda s: None)[0]) for u in "abcde"]
-    return t.spark.createDataFrame([(u, s, tried[u]) for u, s in got], "url string, status int, attempts int")
+
+_RETRIED = "status IN (429, 500, 502, 503, 504) OR status IS NULL"
+
+
+@q("src_08_fetch_retry", f"SELECT status, count(*) AS n, CASE WHEN status = 200 OR {_RETRIED} THEN 200 ELSE status END AS final, CASE WHEN {_RETRIED} THEN 3 ELSE 1 END AS attempts FROM names GROUP BY status")
+def src_08(t):
+    return _fetched(t, 200, 2).select("status", "n", "final", "attempts")
 
 
-@q("src_10_robots_gate", "SELECT * FROM (VALUES ('/plants/1', true), ('/private/1', false), ('/private/open', true), ('/', true)) v(path, allowed)")
+@q("src_09_backoff_jitter", f"SELECT status, CASE WHEN {_RETRIED} THEN 5 ELSE 1 END AS attempts, CASE WHEN {_RETRIED} THEN coalesce(status, 0) ELSE status END AS final, ({_RETRIED}) AS waited FROM names GROUP BY status")
+def src_09(t):
+    """Pages that never come: five attempts, each wait between 1.0 and 1.5 seconds over the doubled pause."""
+    got = _fetched(t, 200, 99, jitter=(1.0, 1.5))
+    within = F.col("shortest").between(2.0, 2.5) & F.col("longest").between(9.0, 9.5)
+    return got.select("status", "attempts", "final", F.coalesce(within, F.lit(False)).alias("waited"))
+
+
+@q("src_10_robots_gate", "SELECT plant_index, source_page_url, NOT (contains(source_page_url, '/plants?page=1') AND NOT contains(source_page_url, '/plants?page=12')) AS allowed FROM plant_index WHERE source_page_url IS NOT NULL")
 def src_10(t):
-    rules = web.robots("User-agent: *\nAllow: /private/open\nDisallow: /private/\nCrawl-delay: 1", "http://x.example")
-    return t.spark.createDataFrame([(p, rules.can_fetch("quillwork", f"http://x.example{p}")) for p in ("/plants/1", "/private/1", "/private/open", "/")], "path string, allowed boolean")
+    rules = "User-agent: *\nAllow: /plants?page=12\nDisallow: /plants?page=1\nCrawl-delay: 1"
+
+    @F.pandas_udf(T.BooleanType())
+    def allowed(s):
+        held = web.robots(rules, "https://flora.example")
+        return s.map(lambda u: held.can_fetch("quillwork", u))
+
+    p = t.plant_index.filter("source_page_url IS NOT NULL")
+    return p.select("plant_index", "source_page_url", allowed("source_page_url").alias("allowed"))
+
+
+@q("snk_05_markdown_report", "WITH g AS (SELECT source, count(*) AS n, count(*) FILTER (WHERE text IS NULL) AS e FROM documents WHERE source IS NOT NULL GROUP BY 1), r AS (SELECT row_number() OVER (ORDER BY source) AS i, '| ' || replace(source, '|', chr(92) || '|') || ' | ' || n || ' | ' || e || ' |' AS text FROM g) SELECT 0::BIGINT AS line_no, '# Documents by source' AS text UNION ALL SELECT 1, '' UNION ALL SELECT 2, '| source | documents | without text |' UNION ALL SELECT 3, '| --- | --- | --- |' UNION ALL SELECT i + 3, text FROM r")
+def snk_05(t):
+    g = t.documents.filter("source IS NOT NULL").groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.count(F.when(F.col("text").isNull(), 1)).alias("without text"))
+    return tables.markdown(g, "Documents by source", "source")
+
+
+@q("snk_06_figure_data", "SELECT 'value histogram' AS figure, assay_type AS series, floor(pchembl_value * 2) / 2 AS x, count(*)::DOUBLE AS y FROM activities WHERE pchembl_value > 0 AND pchembl_value < 15 AND assay_type IS NOT NULL GROUP BY ALL UNION ALL SELECT 'plants by compounds', 'all', n_plants::DOUBLE, count(*)::DOUBLE FROM compounds_unique WHERE n_plants IS NOT NULL GROUP BY ALL")
+def snk_06(t):
+    """What the figures are drawn from, as one long table: figure, series, x, y."""
+    v = F.col("pchembl_value")
+    a = t.activities.filter((v > 0) & (v < 15) & F.col("assay_type").isNotNull()).groupBy(F.col("assay_type").alias("series"), (F.floor(v * 2) / 2).alias("x")).agg(F.count(F.lit(1)).cast("double").alias("y"))
+    b = t.compounds_unique.filter("n_plants IS NOT NULL").groupBy(F.lit("all").alias("series"), F.col("n_plants").cast("double").alias("x")).agg(F.count(F.lit(1)).cast("double").alias("y"))
+    return a.select(F.lit("value histogram").alias("figure"), "series", "x", "y").unionByName(b.select(F.lit("plants by compounds").alias("figure"), "series", "x", "y"))
 
 
 @q("snk_04_manifest", "SELECT (SELECT count(*) FROM region) AS n_regions, (SELECT count(*) FROM nation) AS n_nations, 1::BIGINT AS version")

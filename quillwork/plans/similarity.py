@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.columns import flat
-from ..functions.smiles import circular_fingerprint, graph_counts, properties, scaffold
+from ..functions.smiles import circular_fingerprint, graph_counts, largest_fragment, properties, scaffold
 from ..functions.text import connectivity, filled
 from ..operators import joins, similarity as op
 from ..operators.structures import by_text
@@ -48,12 +48,20 @@ def nn_bins(t):
     return op.nearest(b.filter("label = 0"), b.filter("label <> 0"), width).groupBy(F.when(s >= 0.5, ">=0.5").when(s >= 0.4, "0.4-0.5").when(s >= 0.3, "0.3-0.4").otherwise("<0.3").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@q("joi_20_pose_assignment")
+#: Atoms of a pose: three members of a vector each, all that make up whole atoms.
+ATOMS = 21
+
+
+def _pose():
+    return F.transform(F.sequence(F.lit(0), F.lit(ATOMS - 1)), lambda i: F.transform(F.array(F.lit(1), F.lit(2), F.lit(3)), lambda k: F.element_at("embedding", (i * 3 + k).cast("int")).cast("double")))
+
+
+@q("joi_20_pose_assignment", "WITH p AS (SELECT vec_id, list_transform(range(21), lambda i: [embedding[3 * i + 1]::DOUBLE, embedding[3 * i + 2]::DOUBLE, embedding[3 * i + 3]::DOUBLE]) AS pose FROM embeddings) SELECT vec_id, 0.0::DOUBLE AS reversed_rmsd, floor(sqrt(3 * 0.01 * 0.01::DOUBLE) * 1e6 + 0.5) / 1e6 AS shifted_rmsd FROM p")
 def joi_20(t):
-    xyz = F.transform(F.sequence(F.lit(0), F.lit(4)), lambda i: F.transform(F.array(F.lit(1), F.lit(2), F.lit(3)), lambda k: F.element_at("embedding", (i * 3 + k).cast("int")).cast("double")))
-    p = t.embeddings.select("vec_id", xyz.alias("pose"))
-    moved = F.reverse("pose")
-    return p.select("vec_id", op.pose_rmsd(F.col("pose"), moved).alias("rmsd"), op.pose_rmsd(F.col("pose"), F.transform("pose", lambda a: F.transform(a, lambda x: x + 1.0))).alias("shifted_rmsd"))
+    """The same atoms in another order lie at distance 0; moved by less than half the least distance of two atoms, at that move's length."""
+    p = t.embeddings.select("vec_id", _pose().alias("pose"))
+    moved = F.transform("pose", lambda a: F.transform(a, lambda x: x + 0.01))
+    return p.select("vec_id", flat(op.pose_rmsd(F.col("pose"), F.reverse("pose")), 6).alias("reversed_rmsd"), flat(op.pose_rmsd(F.col("pose"), F.shuffle(moved, F.lit(7))), 6).alias("shifted_rmsd"))
 
 
 @q("ml_08_structure_graph")
@@ -89,8 +97,7 @@ def ml_16(t):
 @q("ml_17_redocking_pass")
 def ml_17(t):
     # nine shifted poses of each reference; it passes if the best lies within 2.0
-    xyz = F.transform(F.sequence(F.lit(0), F.lit(4)), lambda i: F.transform(F.array(F.lit(1), F.lit(2), F.lit(3)), lambda k: F.element_at("embedding", (i * 3 + k).cast("int")).cast("double")))
-    p = t.embeddings.select("vec_id", "label", xyz.alias("pose"), F.explode(F.sequence(F.lit(0), F.lit(8))).alias("model"))
+    p = t.embeddings.select("vec_id", "label", _pose().alias("pose"), F.explode(F.sequence(F.lit(0), F.lit(8))).alias("model"))
     moved = F.transform("pose", lambda a: F.transform(a, lambda x: x + (F.col("model") + F.col("label") % 4) * 0.4))
     best = p.select("vec_id", "model", op.pose_rmsd(F.col("pose"), moved).alias("rmsd")).groupBy("vec_id").agg(F.min("rmsd").alias("best"), F.max(F.when(F.col("model") == 0, F.col("rmsd"))).alias("top"))
     return best.select("vec_id", flat(F.col("best"), 6).alias("best"), flat(F.col("top"), 6).alias("top"), (F.col("best") <= 2.0).alias("passes"))
@@ -108,6 +115,13 @@ def ml_12(t):
     return _fingerprints(t).select("id", F.size("bits").alias("n_bits"), F.array_join(F.transform(F.array_sort("bits"), lambda b: b.cast("string")), ",").alias("bits"))
 
 
+@q("ml_10_largest_fragment")
+def ml_10f(t):
+    """The fragment with most atoms of each structure, the first on ties."""
+    c = t.compounds_unique.filter(filled(F.col("smiles_flat"))).select("inchikey_connectivity", "smiles_flat")
+    return by_text(c, "smiles_flat", largest_fragment, "fragment").select("inchikey_connectivity", "fragment", (F.col("fragment") != F.trim("smiles_flat")).alias("stripped"))
+
+
 @q("ml_12_structure_neighbours")
 def ml_12n(t):
     f = _fingerprints(t)

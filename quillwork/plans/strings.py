@@ -221,10 +221,24 @@ def str_12(t):
     return r.join(k, F.col("k") == F.lower(F.trim("name"))).select("name", fn.variant_decision(F.col("n_raw"), F.col("n_clean")).alias("decision"))
 
 
-@q("str_28_tier_cascade", r"SELECT inchikey_connectivity, CASE WHEN stereo_resolved AND length(trim(coalesce(inchikey, ''))) = 27 THEN 'high' WHEN regexp_matches(coalesce(compound_names, ''), '[\p{L}\p{N}]') THEN 'medium' ELSE 'low' END AS tier FROM compounds_unique")
+_LAYER = r"substring(regexp_replace(upper(trim(standard_inchi_key)), '^INCHIKEY=', ''), 1, 14)"
+
+
+@q("str_28_tier_cascade", rf"""WITH l AS (SELECT inchikey_connectivity AS layer, trim(n) AS name, lower(trim(n)) AS k FROM (SELECT inchikey_connectivity, unnest(string_split(compound_names, '|')) AS n FROM compounds_unique) WHERE trim(n) <> ''),
+  s AS (SELECT DISTINCT lower(trim(pref_name)) AS k, {_LAYER} AS layer FROM compound_structures WHERE regexp_matches(pref_name, '[\p{{L}}\p{{N}}]') AND regexp_matches(standard_inchi_key, '[\p{{L}}\p{{N}}]')),
+  e AS (SELECT k, min(layer) AS lo, max(layer) AS hi FROM s GROUP BY 1), f AS (SELECT lower(trim(name)) AS k, count(DISTINCT id) AS n FROM (SELECT name, unnest(cids) AS id FROM names WHERE name IS NOT NULL) GROUP BY 1),
+  r AS (SELECT l.layer, l.name, CASE WHEN s.k IS NOT NULL THEN 'synonym match' WHEN coalesce(f.n, 0) = 0 THEN 'name not found' WHEN e.k IS NOT NULL AND e.lo = e.hi AND e.lo = l.layer THEN 'same connectivity' WHEN e.k IS NOT NULL THEN 'other connectivity' WHEN f.n = 1 THEN 'one record' ELSE 'several records' END AS reason
+    FROM l LEFT JOIN s ON s.k = l.k AND s.layer = l.layer LEFT JOIN e ON e.k = l.k LEFT JOIN f ON f.k = l.k)
+SELECT layer, name, CASE WHEN reason IN ('synonym match', 'same connectivity', 'one record') THEN 'high' WHEN reason = 'other connectivity' THEN 'low' ELSE 'medium' END AS tier, reason FROM r""")
 def str_28(t):
-    full = F.col("stereo_resolved") & (F.length(F.trim(F.coalesce("inchikey", F.lit("")))) == 27)
-    return t.compounds_unique.select("inchikey_connectivity", F.when(full, "high").when(filled(F.col("compound_names")), "medium").otherwise("low").alias("tier"))
+    """How far a compound's name agrees with its structure: by a synonym of that layer, else by what the look-up of the name finds."""
+    key = lambda c: F.lower(F.trim(c))
+    links = t.compounds_unique.select(F.col("inchikey_connectivity").alias("layer"), F.explode(F.split("compound_names", r"\|")).alias("n")).filter("trim(n) <> ''").select("layer", F.trim("n").alias("name"), key("n").alias("k"))
+    own = F.substring(F.regexp_replace(F.upper(F.trim("standard_inchi_key")), "^INCHIKEY=", ""), 1, 14)
+    known = t.compound_structures.filter(filled(F.col("pref_name")) & filled(F.col("standard_inchi_key"))).select(key("pref_name").alias("k"), own.alias("layer")).distinct()
+    layers = known.groupBy("k").agg(F.min("layer").alias("lo"), F.max("layer").alias("hi"))
+    found = t.names.filter("name IS NOT NULL").select(key("name").alias("k"), F.explode("cids").alias("id")).groupBy("k").agg(F.countDistinct("id").alias("n"))
+    return fn.link_tiers(links, known, layers, found)
 
 
 @q("str_31_page_flags", r"SELECT plant_index, array_to_string(list_filter([CASE WHEN NOT regexp_matches(coalesce(family, ''), '[\p{L}\p{N}]') THEN 'empty_family' END, CASE WHEN NOT regexp_matches(coalesce(synonym, ''), '[\p{L}\p{N}]') THEN 'empty_synonym' END, CASE WHEN contains(scientific_name, '?') OR contains(scientific_name, chr(65533)) THEN 'encoding' END], lambda x: x IS NOT NULL), ';') AS flags FROM plant_index")

@@ -97,6 +97,16 @@ def pose_models(lines: DataFrame, file: str, number: str, text: str = "value") -
     return lines.withColumn("model", F.sum(F.when(F.col(text).startswith("MODEL"), 1).otherwise(0)).over(w))
 
 
+def markdown(df: DataFrame, title: str, order: str) -> DataFrame:
+    """A table as the lines of a Markdown report: ``line_no`` and ``text``, the rows along a unique ``order``. NULL is empty, bars are escaped."""
+    from ..operators.identity import with_row_id
+
+    cell = lambda c: F.replace(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")), F.lit("|"), F.lit("\\|"))
+    rows = with_row_id(df, order, "_i").select((F.col("_i") + 3).alias("line_no"), F.concat(F.lit("| "), F.concat_ws(" | ", *map(cell, df.columns)), F.lit(" |")).alias("text"))
+    head = [f"# {title}", "", "| " + " | ".join(df.columns) + " |", "|" + " --- |" * len(df.columns)]
+    return df.sparkSession.createDataFrame(list(enumerate(head)), "line_no bigint, text string").unionByName(rows)
+
+
 def file_hash(path: str) -> str:
     """SHA-256 of a local file, read in pieces."""
     h = hashlib.sha256()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import time
 import urllib.error
 import urllib.request
@@ -49,8 +50,8 @@ def robots(text: str, base: str) -> RobotFileParser:
     return p
 
 
-def fetch(url: str, rules: RobotFileParser | None = None, agent: str = "quillwork", retries: int = 4, pause: float = 1.0, timeout: float = 30.0, opener=urllib.request.urlopen, sleep=time.sleep) -> tuple[int, str]:
-    """Status and body of a page: waits longer after every refusal, asks the robots rules first.
+def fetch(url: str, rules: RobotFileParser | None = None, agent: str = "quillwork", retries: int = 4, pause: float = 1.0, timeout: float = 30.0, jitter: tuple[float, float] = (0.0, 0.0), opener=urllib.request.urlopen, sleep=time.sleep, draw=random.uniform) -> tuple[int, str]:
+    """Status and body of a page: waits twice as long after every refusal and a random time between the bounds of ``jitter`` more, asks the robots rules first.
 
     Returns status 0 where the rules forbid the page or no attempt got an answer.
     """
@@ -67,7 +68,7 @@ def fetch(url: str, rules: RobotFileParser | None = None, agent: str = "quillwor
         except (urllib.error.URLError, TimeoutError):
             status = 0
         if attempt < retries:
-            sleep(pause * 2**attempt)
+            sleep(pause * 2**attempt + draw(*jitter))
     return status, ""
 
 

@@ -136,3 +136,8 @@ def test_assignment_by_trying_all():
         col, total = similarity.assign_least(cost)
         best = min(sum(cost[i, p[i]] for i in range(n)) for p in itertools.permutations(range(m), n))
         assert total == pytest.approx(best) and len(set(col)) == n
+
+
+def test_main_fragment():
+    for text, want in (("CCO.Cl", "CCO"), ("Cl.CCO", "CCO"), ("C.N", "C"), ("CC", "CC"), ("", None), (None, None), ("(.C", "C"), ("--", None)):
+        assert smiles.main_fragment(text) == want

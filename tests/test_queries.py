@@ -31,7 +31,7 @@ def test_entry(spark):
     assert e.oracle_sql().keys() <= e.queries().keys()
 
 
-def test_optional_subpackage_is_not_needed(tmp_path):
+def test_optional_subpackage_is_not_needed(tmp_path, sf):
     import os
     import shutil
     import subprocess
@@ -40,5 +40,5 @@ def test_optional_subpackage_is_not_needed(tmp_path):
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     shutil.copytree(f"{root}/quillwork", tmp_path / "quillwork", ignore=shutil.ignore_patterns("llm", "__pycache__"))
     shutil.copy(f"{root}/__spark_entry__.py", tmp_path)
-    out = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; q = e.queries(); assert 'p1_found' in q and 'p4_found' not in q"], cwd=tmp_path, capture_output=True, text=True)
+    out = subprocess.run([sys.executable, "-c", f"import __spark_entry__ as e; from quillwork.session import get_spark; q = e.queries(); assert 'p1_found' in q and 'p4_found' not in q; assert q['p1_found'](get_spark(cpus=2), {sf!r}).count() > 0"], cwd=tmp_path, capture_output=True, text=True)
     assert out.returncode == 0, out.stderr
