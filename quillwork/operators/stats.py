@@ -5,11 +5,13 @@ from __future__ import annotations
 import math
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import numerics
 from .metrics import drawn_sums
 from .prefix import running_total, value_ranks
+from .ranking import sample_n
 
 
 def _with_rank(df: DataFrame, value: str) -> DataFrame:
@@ -103,3 +105,23 @@ def top_share(df: DataFrame, score: str, key: str, marked: Column, percent: int
         tied = running_total(rows.filter(F.col("s").eqNullSafe(F.lit(edge["s"]))).select("k", "m", F.lit(1).alias("c")), "k", "c")
         found += tied.filter(F.col("before") < drawn - edge["before"]).agg(F.sum("m")).first()[0]
     return df.sparkSession.createDataFrame([(n, k, drawn, found, numerics.hypergeom_sf(found, n, k, drawn) if n else None)], "n bigint, marked bigint, drawn bigint, found bigint, p double")
+
+
+def holm_adjust(tests: DataFrame, p: str, within: list[str], name: str) -> DataFrame:
+    """Adds ``adjusted``: Holm's step-down correction of the p-values of each family; ties by ``name``. NULL and NaN p-values are out.
+
+    A family is a list of tests that are read together, so it fits a task.
+    """
+    rows = tests.filter(F.col(p).isNotNull() & ~F.isnan(p))
+    order = W.partitionBy(*within).orderBy(p, name)
+    left = F.count(F.lit(1)).over(W.partitionBy(*within)) - F.row_number().over(order) + 1
+    stepped = rows.withColumn("_a", F.least(F.lit(1.0), F.col(p) * left))
+    return stepped.withColumn("adjusted", F.max("_a").over(order.rowsBetween(W.unboundedPreceding, W.currentRow))).drop("_a")
+
+
+def matched_controls(rows: DataFrame, case: Column, strata: list[str], seed: int, *ids: str) -> DataFrame:
+    """As many controls of each stratum as it has cases (all, where there are fewer), in hash order; strata without cases have none."""
+    flagged = rows.withColumn("_case", F.coalesce(case, F.lit(False)))
+    n = flagged.filter("_case").groupBy(*strata).agg(F.count(F.lit(1)).alias("_n_cases")).select(*(F.col(c).alias(f"_m{i}") for i, c in enumerate(strata)), "_n_cases")
+    pool = flagged.filter("NOT _case").join(n, [F.col(c).eqNullSafe(F.col(f"_m{i}")) for i, c in enumerate(strata)])
+    return sample_n(pool.select(*rows.columns, "_n_cases"), strata, F.col("_n_cases"), seed, *ids).drop("_n_cases")

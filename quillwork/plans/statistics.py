@@ -116,6 +116,18 @@ def sta_17(t):
     return stats.permutation(t.customer, "c_acctbal", "c_mktsegment", "BUILDING", "MACHINERY", ["c_custkey"])
 
 
+@q("sta_17_holm", f"WITH p AS (SELECT l_returnflag, l_linenumber, floor(avg(l_discount) * avg(l_discount) * 4 * 1e6 + 0.5) / 1e6 AS p FROM lineitem GROUP BY ALL), r AS (SELECT *, row_number() OVER w AS i, count(*) OVER (PARTITION BY l_returnflag) AS m FROM p WINDOW w AS (PARTITION BY l_returnflag ORDER BY p, l_linenumber)) SELECT l_returnflag, l_linenumber, p, {_fl('max(least(1, p * (m - i + 1))) OVER (PARTITION BY l_returnflag ORDER BY i)')} AS adjusted FROM r")
+def sta_17h(t):
+    p = t.lineitem.groupBy("l_returnflag", "l_linenumber").agg((F.floor(F.avg("l_discount") * F.avg("l_discount") * 4 * 1e6 + 0.5) / 1e6).alias("p"))
+    return stats.holm_adjust(p, "p", ["l_returnflag"], "l_linenumber").select("l_returnflag", "l_linenumber", "p", flat(F.col("adjusted"), 6).alias("adjusted"))
+
+
+@q("sta_17_matched_controls", "WITH n AS (SELECT c_nationkey, count(*) AS n FROM customer WHERE c_mktsegment = 'BUILDING' GROUP BY 1), r AS (SELECT c_custkey, c_nationkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY sha256('42|' || c_custkey), c_custkey) AS i FROM customer WHERE c_mktsegment <> 'BUILDING') SELECT c_custkey, c_nationkey FROM r JOIN n USING (c_nationkey) WHERE i <= n")
+def sta_17m(t):
+    c = t.customer.select("c_custkey", "c_nationkey", "c_mktsegment")
+    return stats.matched_controls(c, F.col("c_mktsegment") == "BUILDING", ["c_nationkey"], 42, "c_custkey").select("c_custkey", "c_nationkey")
+
+
 @q("sta_04_rank_biserial", f"WITH r AS (SELECT o_orderstatus AS g, {_RANK.format(x='o_totalprice')} AS r FROM orders WHERE o_orderstatus IN ('F', 'O')), u AS (SELECT count(*) FILTER (WHERE g = 'F')::DOUBLE AS n1, count(*) FILTER (WHERE g = 'O')::DOUBLE AS n2, sum(r) FILTER (WHERE g = 'F') AS s FROM r) SELECT {_fl('1 - 2 * (s - n1 * (n1 + 1) / 2) / (n1 * n2)', 8)} AS rank_biserial FROM u")
 def sta_04(t):
     return stats.mann_whitney(t.orders, "o_totalprice", "o_orderstatus", "F", "O").select(flat(F.col("rank_biserial"), 8).alias("rank_biserial"))
