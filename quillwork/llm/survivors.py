@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import filled, filled_number, filled_or_null, name_key, strip_ws
-from ..session import materialize
+from ..session import forget, materialize
 from . import compounds, truth
 from .components import components
 
@@ -44,7 +44,10 @@ def grouped(structures: DataFrame, bioactivity: DataFrame, trust: DataFrame) ->
     value = [F.when(filled_number(F.col(f)), F.col(f).cast("string")) if f == "molecular_weight" else filled_or_null(F.col(f)) for f in FIELDS]
     rows = structures.filter("molregno IS NOT NULL").select("molregno", *(v.alias(f) for v, f in zip(value, FIELDS)), source.alias("source"), "loaded_at", complete.alias("completeness"))
     rows = rows.withColumn("standard_inchi_key", F.regexp_replace(F.upper("standard_inchi_key"), "^INCHIKEY=", ""))
-    return rows.join(labels, "molregno").join(keyed.select("molregno", "layer"), "molregno").join(ranks, "source", "left").withColumn("trust", F.coalesce("trust", F.lit(0)))
+    out = rows.join(labels, "molregno").join(keyed.select("molregno", "layer"), "molregno").join(ranks, "source", "left").withColumn("trust", F.coalesce("trust", F.lit(0)))
+    out = materialize(out, "grouped")
+    forget(keyed)
+    return out
 
 
 def _claims(rows: DataFrame) -> DataFrame:
@@ -98,10 +101,9 @@ def elect(structures: DataFrame, bioactivity: DataFrame, trust: DataFrame) -> El
     NULL ``loaded_at`` is older than any; NULL sources vote as one source of the lowest prior;
     rows without molregno are left out; empty input gives no lines; extra columns are ignored.
     """
-    rows = materialize(grouped(structures, bioactivity, trust), "grouped")
+    rows = grouped(structures, bioactivity, trust)
     claims = materialize(_claims(rows).unionByName(_election(rows)), "claims")
     learnt, support = truth.discover(claims, _prior(trust))
-    support = materialize(support, "support")
     size = rows.groupBy("group").agg(F.count(F.lit(1)).alias("n_rows"), F.min("layer").alias("layer"))
     won = support.filter((F.col("field") == SURVIVOR) & F.col("wins")).select("group", F.col("value").cast("bigint").alias("molregno"), F.round("support", 9).alias("agreement"))
     survivors = size.join(won, "group").withColumn("rule", F.when(F.col("agreement") >= 1, "dominant").otherwise("support"))

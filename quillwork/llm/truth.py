@@ -72,4 +72,7 @@ def discover(claims: DataFrame, prior: DataFrame) -> tuple[DataFrame, DataFrame]
     near = weighed.join(top, ["group", "field"])
     first = near.filter((F.round("tau", 9) == F.col("top.tau")) & F.col("at").eqNullSafe(F.col("top.at"))).groupBy("group", "field").agg(F.min("value").alias("winner"))
     support = near.join(first, ["group", "field"]).select("group", "field", "value", (F.col("tau") / F.col("total")).alias("support"), "at", (F.col("value") == F.col("winner")).alias("wins"))
+    support = materialize(support, "support")
+    forget(votes)
+    forget(weighed)
     return learnt, support
