@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import filled, strip_ws
@@ -27,7 +27,6 @@ def by_text(rows: DataFrame, text: str, make: Callable[[Column], Column], name:
     is one line of the side that is sent back.
     """
     key = F.when(filled(F.col(text)), strip_ws(F.col(text)))
-    seen = Observation()
-    texts = materialize(rows.select(key.alias("_t")).filter("_t IS NOT NULL").distinct().observe(seen, F.count(F.lit(1)).alias("n")), "texts")
-    made = materialize(spread(texts, seen.get["n"]).select("_t", make(F.col("_t")).alias(name)), "drawn")
+    texts = materialize(rows.select(key.alias("_t")).filter("_t IS NOT NULL").distinct(), "texts")
+    made = materialize(spread(texts, texts.count()).select("_t", make(F.col("_t")).alias(name)), "drawn")
     return rows.withColumn("_t", key).join(made, "_t", "left").drop("_t")
