@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -219,9 +219,8 @@ def neighbours(vectors: DataFrame, key: str, vec: str, dim: int, k: int = 5) ->
     # Of a direction the k + 1 smallest keys are kept; the smallest stands for it. Groups are cut before they are shuffled.
     order = W.partitionBy("h").orderBy("key")
     kept = one.withColumn("pos", F.row_number().over(order)).filter(F.col("pos") <= k + 1).withColumn("id", F.first("rid").over(order))
-    seen = Observation()
-    kept = materialize(kept.select("h", "key", "pos", "id").observe(seen, F.sum(F.when(F.col("pos") == 1, 1)).alias("points")), "members")
-    n_points = seen.get["points"] or 0
+    kept = materialize(kept.select("h", "key", "pos", "id"), "members")
+    n_points = kept.filter("pos = 1").count()
     heads = kept.filter("pos = 1").select("h", "id")
     schema = T.StructType([T.StructField("n", T.IntegerType()), T.StructField("ids", T.BinaryType()), T.StructField("unit", T.BinaryType())])
     packed = unit.select("rid", "unit").join(heads.select(F.col("id").alias("rid")), "rid", "left_semi").mapInPandas(_pack, schema)

@@ -29,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -137,10 +137,9 @@ def summarise(values: DataFrame, keys: list[str], k: int = K) -> DataFrame:
                 yield rest
 
     # Written, so that the tree is laid over the partitions there really are.
-    seen = Observation()
     part = rows.mapInPandas(leaf, _schema(rows, keys)).withColumn("part", F.spark_partition_id())
-    part = materialize(part.observe(seen, F.max("part").alias("last")), "leaves")
-    leaves = (seen.get["last"] or 0) + 1
+    part = materialize(part, "leaves")
+    leaves = (part.agg(F.max("part")).first()[0] or 0) + 1
     while leaves > FAN_IN:
         part = part.withColumn("part", F.floor(F.col("part") / FAN_IN).cast("int"))
         part = merge(part, [*keys, "part"], k)
