@@ -86,9 +86,9 @@ def joi_10(t):
     return t.activities.filter(labels.usable()).select("molregno").join(t.compound_structures.filter("natural_product = 1").select("molregno"), "molregno", "left_semi").distinct()
 
 
-@q("joi_11_anti", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@q("joi_11_anti", "SELECT molregno FROM compound_structures WHERE NOT EXISTS (SELECT 1 FROM split_draft d WHERE d.molregno = compound_structures.molregno)")
 def joi_11(t):
-    return t.customer.select("c_custkey").join(t.orders.select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
+    return t.compound_structures.select("molregno").join(t.split_draft.select("molregno"), "molregno", "left_anti")
 
 
 @q("joi_12_map_last_wins", "SELECT s.molregno, coalesce(d.split_name, 'unassigned') AS split_name FROM compound_structures s LEFT JOIN (SELECT molregno, max(struct_pack(a := assigned_at, s := coalesce(split_name, ''))).s AS split_name FROM split_draft GROUP BY 1) d USING (molregno)")
